@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.intervals import plus_seconds
 from tidemark.functions.money import FeeSchedule, signed_qty
-from tidemark.plans.ordered import FILLS, SEGMENT, Measure, Series, tidy
+from tidemark.plans.ordered import FILLS, Measure, Series, tidy
 
 _FOLD_INPUT = ("_keep", "_add", "_gain", "_per_entry", "_fee")
 
@@ -33,7 +33,7 @@ def running_quantity(fills: DataFrame, series: Series = FILLS) -> DataFrame:
 def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
     """Positions after every fill, at weighted average cost.
 
-    Adds ``qty_before/qty_after``, ``avg_entry`` (after the fill), ``realized_pnl`` (running, fees
+    Adds ``previous_ts``, ``qty_before/qty_after``, ``avg_entry`` (after the fill), ``realized_pnl`` (running, fees
     included), ``is_closing`` and ``trade_pnl`` (closing fills only: price gain less their own fee).
     Needs columns side, qty, price, fee and the series' keys and order. Repeats of a fill id count
     once.
@@ -43,7 +43,9 @@ def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
     folded into one map, the maps are chained per key, and every segment is then replayed on its
     own from the right start.
     """
-    held = running_quantity(unique_fills(fills, series), series)
+    signed = signed_qty()
+    held = series.scan(unique_fills(fills, series), {"qty_after": Measure("sum", signed)}, previous=["ts"])
+    held = held.withColumns({"qty_before": F.col("qty_after") - signed, "previous_ts": F.col("prev.ts")}).drop("prev")
     before, after = F.col("qty_before").cast("double"), F.col("qty_after").cast("double")
     qty, price = F.col("qty").cast("double"), F.col("price").cast("double")
     same_side = (before == 0) | ((before > 0) == (F.col("side") == "buy"))
@@ -59,8 +61,8 @@ def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
             "_fee": F.col("fee").cast("double"),
         }
     )
-    started = held.join(_segment_starts(held, series), [*series.keys, SEGMENT], "left")
-    columns = [*series.keys, *[c for c in held.columns if c not in (*series.keys, SEGMENT, *_FOLD_INPUT)]]
+    started = held.join(_segment_starts(held, series), [*series.keys, series.seg], "left")
+    columns = [*series.keys, *[c for c in held.columns if c not in (*series.keys, series.seg, *_FOLD_INPUT)]]
     schema = T.StructType([held.schema[c] for c in columns])
     for name in ("avg_entry", "realized_pnl", "trade_pnl"):
         schema.add(name, T.DoubleType())
@@ -70,7 +72,7 @@ def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
         segment = segment.sort_values(order, kind="stable")
         return _replay_segment(segment)[schema.fieldNames()]
 
-    return started.groupBy(*series.keys, SEGMENT).applyInPandas(fold, schema)
+    return started.groupBy(*series.keys, series.seg).applyInPandas(fold, schema)
 
 
 def _replay_segment(segment: pd.DataFrame) -> pd.DataFrame:
@@ -102,13 +104,13 @@ def _segment_starts(held: DataFrame, series: Series) -> DataFrame:
         )
 
     keys = list(series.keys)
-    maps = held.groupBy(*keys, SEGMENT).agg(F.aggregate(rows, zero, compose).alias("m")).select(*keys, SEGMENT, "m.*")
-    schema = T.StructType([*[held.schema[k] for k in keys], held.schema[SEGMENT]])
+    maps = held.groupBy(*keys, series.seg).agg(F.aggregate(rows, zero, compose).alias("m")).select(*keys, series.seg, "m.*")
+    schema = T.StructType([*[held.schema[k] for k in keys], held.schema[series.seg]])
     schema = schema.add("_avg0", T.DoubleType()).add("_pnl0", T.DoubleType())
 
     def chain(segments: pd.DataFrame) -> pd.DataFrame:
         # One row per segment of this key, that is rows / segment_rows of the table at most.
-        segments = segments.sort_values(SEGMENT)
+        segments = segments.sort_values(series.seg)
         avg = realized = 0.0
         avgs, totals = [], []
         for a, b, p, q in segments[["a", "b", "p", "q"]].itertuples(index=False):

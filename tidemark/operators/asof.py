@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import close_time, step_seconds
-from tidemark.plans.ordered import BARS, POSITION, SEGMENT, Measure, Series, tidy
+from tidemark.plans.ordered import BARS, Measure, Series, tidy
 
 BAR_COLUMNS = ("open_time", "open", "high", "low", "close", "volume")
 
@@ -46,7 +46,7 @@ def last_n_bars(
     none for n <= 0. A bar that closes exactly at ``ts`` is not visible yet.
     """
     keys = list(series.keys)
-    numbered = series.index(bars, "bar_no").drop(SEGMENT)
+    numbered = series.index(bars, "bar_no").drop(series.seg)
     marks = numbered.select(
         *keys, close_time().alias("at"), F.lit(1).alias("kind"), "bar_no", F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id)
     )
@@ -78,7 +78,3 @@ def event_order(bars: DataFrame, tie_break: Sequence[str] = ("instrument_id",),
     line = Series((), ("close_time", "step_s", *tie_break), width=width)
     return tidy(line.index(timed, "event_no"))
 
-
-def position_gate(rows: DataFrame, warmup: int, series: Series) -> DataFrame:
-    """Add ``in_warmup``: true for the first ``warmup`` rows of each series."""
-    return tidy(series.index(rows).withColumn("in_warmup", F.col(POSITION) <= F.lit(warmup)))

@@ -23,16 +23,34 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, F.nullif(bottom, F.lit(0.0)))
 
 
+def _returns(strict: bool) -> Column:
+    before = F.col("prev.equity").cast("double")
+    complaint = F.lit("equity must stay positive to compute period returns")
+    bad = F.raise_error(complaint).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(before > 0, (_equity() - before) / before).when(before <= 0, bad)
+
+
+def _peak(axis: str) -> Measure:
+    """The highest equity so far with its earliest time."""
+    return Measure("max", F.struct(_equity().alias("e"), (-F.unix_micros(axis)).alias("t")))
+
+
+def _below_peak(axis: str) -> dict[str, Column]:
+    peak = F.col("_peak.e")
+    return {
+        "peak": peak,
+        "drawdown": F.when(peak > 0, (peak - _equity()) / peak).otherwise(0.0),
+        "days_since_peak": elapsed_days(F.timestamp_micros(-F.col("_peak.t")), F.col(axis)),
+    }
+
+
 def period_returns(equity: DataFrame, series: Series = EQUITY, strict: bool = True) -> DataFrame:
     """Add ``period_return``; NULL on the first point.
 
     A return from equity <= 0 raises, or is NULL when not strict.
     """
     seen = series.previous(equity, ["equity"])
-    before = F.col("prev.equity").cast("double")
-    bad = F.raise_error(F.lit("equity must stay positive to compute period returns")).cast("double") if strict else F.lit(None).cast("double")
-    change = F.when(before > 0, (_equity() - before) / before).when(before <= 0, bad)
-    return seen.withColumn("period_return", change).drop("prev")
+    return seen.withColumn("period_return", _returns(strict)).drop("prev")
 
 
 def drawdowns(equity: DataFrame, series: Series = EQUITY) -> DataFrame:
@@ -40,17 +58,8 @@ def drawdowns(equity: DataFrame, series: Series = EQUITY) -> DataFrame:
 
     The peak's time is that of its first occurrence: a plateau at the peak counts as duration.
     """
-    axis = series.order[0]
-    point = F.struct(_equity().alias("e"), (-F.unix_micros(axis)).alias("t"))
-    seen = series.running(equity, {"_peak": Measure("max", point)})
-    peak = F.col("_peak.e")
-    return seen.withColumns(
-        {
-            "peak": peak,
-            "drawdown": F.when(peak > 0, (peak - _equity()) / peak).otherwise(0.0),
-            "days_since_peak": elapsed_days(F.timestamp_micros(-F.col("_peak.t")), F.col(axis)),
-        }
-    ).drop("_peak")
+    seen = series.running(equity, {"_peak": _peak(series.order[0])})
+    return seen.withColumns(_below_peak(series.order[0])).drop("_peak")
 
 
 def equity_metrics(
@@ -59,7 +68,8 @@ def equity_metrics(
     """Return, growth, drawdown and risk ratios, one row per run, in one pass over the curve."""
     if periods_per_year < 1:
         raise ValueError("periods_per_year must be >= 1")
-    points = drawdowns(period_returns(equity, series, strict), series)
+    seen = series.scan(equity, {"_peak": _peak(series.order[0])}, previous=["equity"])
+    points = seen.withColumns({"period_return": _returns(strict), **_below_peak(series.order[0])})
     axis, rf, year = series.order[0], F.lit(float(risk_free_rate)), math.sqrt(periods_per_year)
     r, place = F.col("period_return"), F.struct(*series.order)
     totals = points.groupBy(*series.keys).agg(
@@ -95,11 +105,17 @@ def equity_metrics(
     )
 
 
+def _fee_sums() -> list[Column]:
+    return [
+        F.sum("fee").cast("double").alias("total_fees"),
+        single_currency("currency").alias("currency"),
+        F.count(F.lit(1)).alias("fills"),
+    ]
+
+
 def fee_totals(fills: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Total fees per run; a run that mixes currencies raises."""
-    return fills.groupBy(*keys).agg(
-        F.sum("fee").cast("double").alias("total_fees"), single_currency("currency").alias("currency"), F.count(F.lit(1)).alias("fills")
-    )
+    return fills.groupBy(*keys).agg(*_fee_sums())
 
 
 def fees_pct_of_gross(fees: Column, equity_change: Column) -> Column:
@@ -107,10 +123,9 @@ def fees_pct_of_gross(fees: Column, equity_change: Column) -> Column:
     return 100.0 * _ratio(fees, F.abs(equity_change + fees))
 
 
-def trade_metrics(positions: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Win rate, profit factor, averages and expectancy over closing fills."""
+def _trade_sums() -> list[Column]:
     pnl, closing = F.col("trade_pnl"), F.col("is_closing")
-    counted = positions.groupBy(*keys).agg(
+    return [
         F.count_if(closing).alias("trades"),
         F.count_if(closing & (pnl > 0)).alias("wins"),
         F.coalesce(F.sum(F.when(pnl > 0, pnl)), F.lit(0.0)).alias("_profit"),
@@ -118,34 +133,42 @@ def trade_metrics(positions: DataFrame, keys: tuple[str, ...] = ("run_id",)) ->
         F.avg(F.when(pnl > 0, pnl)).alias("avg_win"),
         F.avg(F.when(pnl < 0, pnl)).alias("avg_loss"),
         F.avg(F.when(closing, pnl)).alias("expectancy"),
-    )
-    return counted.withColumns(
-        {
-            "win_rate": F.try_divide(F.col("wins").cast("double"), F.col("trades").cast("double")),
-            "profit_factor": F.when(F.col("trades") > 0, _ratio(F.col("_profit"), F.col("_loss"))),
-        }
-    ).drop("_profit", "_loss")
+    ]
+
+
+def _trade_ratios() -> dict[str, Column]:
+    return {
+        "win_rate": F.try_divide(F.col("wins").cast("double"), F.col("trades").cast("double")),
+        "profit_factor": F.when(F.col("trades") > 0, _ratio(F.col("_profit"), F.col("_loss"))),
+    }
+
+
+def trade_metrics(positions: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Win rate, profit factor, averages and expectancy over closing fills."""
+    return positions.groupBy(*keys).agg(*_trade_sums()).withColumns(_trade_ratios()).drop("_profit", "_loss")
 
 
-def days_in_market(positions: DataFrame, series: Series = FILLS) -> DataFrame:
-    """Days with an open position between fills, plus what the last fill left open and when."""
-    seen = series.previous(positions, ["ts"])
-    held = F.when(F.col("qty_before") != 0, elapsed_days("prev.ts", "ts")).otherwise(0.0)
-    return seen.groupBy(*series.keys).agg(
+def _market_days(series: Series) -> list[Column]:
+    held = F.when(F.col("qty_before") != 0, elapsed_days("previous_ts", "ts")).otherwise(0.0)
+    return [
         F.sum(F.coalesce(held, F.lit(0.0))).alias("days_between_fills"),
         F.max_by("qty_after", F.struct(*series.order)).alias("final_qty"),
         F.max("ts").alias("last_fill_ts"),
-    )
+    ]
+
+
+def _market_share() -> Column:
+    """Time with an open position over the run's span, an open tail included."""
+    tail = F.when(F.col("final_qty") != 0, elapsed_days("last_fill_ts", "end_ts")).otherwise(0.0)
+    days = F.coalesce(F.col("days_between_fills") + tail, F.lit(0.0))
+    return F.when(F.col("total_days") > 0, days / F.col("total_days")).otherwise(0.0)
 
 
 def time_in_market(positions: DataFrame, spans: DataFrame, series: Series = FILLS) -> DataFrame:
     """Share of the run's span with an open position; ``spans`` holds end_ts and total_days."""
     keys = list(series.keys)
-    joined = spans.join(days_in_market(positions, series), keys, "left")
-    tail = F.when(F.col("final_qty") != 0, elapsed_days("last_fill_ts", "end_ts")).otherwise(0.0)
-    days = F.coalesce(F.col("days_between_fills") + tail, F.lit(0.0))
-    share = F.when(F.col("total_days") > 0, days / F.col("total_days")).otherwise(0.0)
-    return joined.select(*keys, share.alias("time_in_market"))
+    joined = spans.join(positions.groupBy(*keys).agg(*_market_days(series)), keys, "left")
+    return joined.select(*keys, _market_share().alias("time_in_market"))
 
 
 TEARSHEET = (
@@ -169,11 +192,8 @@ def tearsheet(
     """
     curve = equity_metrics(equity, risk_free_rate, periods_per_year).where(F.col("points") >= 2)
     positions = positions if positions is not None else replay(fills)
-    sheet = (
-        curve.join(fee_totals(positions), "run_id")
-        .join(trade_metrics(positions), "run_id")
-        .join(time_in_market(positions, curve.select("run_id", "end_ts", "total_days")), "run_id")
-    )
+    per_run = positions.groupBy(*FILLS.keys).agg(*_fee_sums(), *_trade_sums(), *_market_days(FILLS))
+    sheet = curve.join(per_run, "run_id").withColumns({**_trade_ratios(), "time_in_market": _market_share()})
     change = F.col("end_equity") - F.col("start_equity")
     sheet = sheet.withColumn("fees_pct_of_gross", fees_pct_of_gross(F.col("total_fees"), change))
     if slippage is None:

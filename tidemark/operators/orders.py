@@ -32,7 +32,7 @@ STATUS_OF_EVENT = {
 }
 TERMINAL = ("filled", "canceled", "rejected", "expired")
 
-EVENTS = Series(("order_id",), ("seq", "ts", "event_id"), width=1 << 20)
+EVENTS = Series(("order_id",), ("seq", "ts", "event_id"), width=1 << 20, segment_rows=None)
 
 
 def status_of(event_type: Column) -> Column:
@@ -46,7 +46,7 @@ def is_legal(before: Column, after: Column) -> Column:
 
 def checked_events(events: DataFrame, series: Series = EVENTS) -> DataFrame:
     """Add ``status`` (after the event) and ``problem`` (NULL when the step is legal)."""
-    seen = series.index(series.previous(events, ["event_type"]))
+    seen = series.scan(events, previous=["event_type"], index=POSITION)
     first = F.col(POSITION) == 1
     status, before = status_of(F.col("event_type")), status_of(F.col("prev.event_type"))
     problem = (

@@ -15,13 +15,13 @@ from tidemark.functions.intervals import is_aligned, step_seconds
 from tidemark.plans.ordered import POSITION, Measure, Series
 
 EVENT_COLUMNS = ("instrument_id", "interval", "check_name", "severity", "open_time", "details")
-ARRIVALS = Series(("instrument_id", "interval"), ("arrival",), width=1 << 20)
+ARRIVALS = Series(("instrument_id", "interval"), ("arrival",), width=1 << 20, segment_rows=None)
 _NO_DETAILS = "map<string,string>"
 
 
 def arrival_series(order_col: str, width: int = 1 << 20) -> Series:
     """Batches in the order of ``order_col`` (integer or timestamp)."""
-    return Series(("instrument_id", "interval"), (order_col,), width=width)
+    return Series(("instrument_id", "interval"), (order_col,), width=width, segment_rows=None)
 
 
 # -- one bar at a time --------------------------------------------------------------------------
@@ -115,7 +115,8 @@ def zero_volume_streaks(bars: DataFrame, threshold: int = 5, series: Series = AR
     It is stamped at the first bar with volume after the run, or at the last bar if there is none.
     """
     keys = list(series.keys)
-    placed = series.index(bars.select(*keys, *[c for c in ("open_time", "volume") if c not in series.order], *series.order))
+    needed = bars.select(*keys, *[c for c in ("open_time", "volume") if c not in series.order], *series.order)
+    placed = series.index(needed)
     traded = F.when(F.col("volume") != 0, F.col(POSITION))
     runs = series.running(placed, {"_traded": Measure("max", traded, inclusive=False)})
     since = F.col(POSITION) - F.coalesce(F.col("_traded"), F.lit(0)) - 1

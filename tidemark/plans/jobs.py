@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import is_closed, plus_seconds, step_seconds
-from tidemark.operators import accounting, asof, gaps, metrics, quality
-from tidemark.plans.ordered import POSITION, Series, tidy
+from tidemark.operators import accounting, gaps, metrics, quality
+from tidemark.plans.ordered import Series, tidy
 from tidemark.schemas import MONEY
+from tidemark.session import scratch
 from tidemark.sources.store import upsert
 
 # -- ingest -------------------------------------------------------------------------------------
@@ -65,24 +66,28 @@ def resume_plan(ranges: DataFrame, progress: DataFrame) -> DataFrame:
 # -- backtests ----------------------------------------------------------------------------------
 
 SignalRule = Callable[[DataFrame], DataFrame]
-RUN_BARS = Series(("run_id",), ("open_time",), width=30 * 86_400)
+RUN_BARS = Series(("run_id",), ("open_time",), width=30 * 86_400, segment_rows=None)
 
 
-def toggle_rule(every: Column | int, series: Series = RUN_BARS) -> SignalRule:
-    """Alternate buy and sell on every ``every``-th bar, starting with the first."""
-    length = F.lit(every) if isinstance(every, int) else every
+def toggle_rule(every: str | int) -> SignalRule:
+    """Alternate buy and sell on every ``every``-th bar (a number or a column), from the first on."""
 
     def rule(bars: DataFrame) -> DataFrame:
-        number = F.col(POSITION) - 1
+        number = F.col("bar_no") - 1
+        length = F.lit(every) if isinstance(every, int) else F.col(every)
         side = F.when((number / length).cast("long") % 2 == 0, "buy").otherwise("sell")
-        return series.index(bars).withColumn("signal", F.when(number % length == 0, side))
+        return bars.withColumn("signal", F.when(number % length == 0, side))
 
     return rule
 
 
 def signals(bars: DataFrame, rule: SignalRule, warmup: int, series: Series = RUN_BARS) -> DataFrame:
-    """Bars of every run with the rule's ``signal`` and ``in_warmup``."""
-    return asof.position_gate(rule(bars), warmup, series)
+    """Bars of every run with ``bar_no``, the rule's ``signal`` and ``in_warmup``.
+
+    A rule gets the bars of all runs, numbered from 1, and adds ``signal`` (buy, sell or NULL).
+    """
+    numbered = series.index(bars, "bar_no")
+    return rule(numbered).withColumn("in_warmup", F.col("bar_no") <= F.lit(warmup))
 
 
 def market_fills(signalled: DataFrame, qty: Decimal, fee_rate: Decimal, currency: str, series: Series = RUN_BARS) -> DataFrame:
@@ -102,6 +107,13 @@ def market_fills(signalled: DataFrame, qty: Decimal, fee_rate: Decimal, currency
     )
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and go on from what was written: later stages start from files, not from a
+    plan that repeats everything before them."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def backtest(
     bars: DataFrame,
     rule: SignalRule,
@@ -111,12 +123,18 @@ def backtest(
     currency: str = "USDT",
     starting_cash: float = 100_000.0,
     periods_per_year: int = 252,
+    workdir: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Every run of ``bars`` (keyed by run_id) at once: signals, counters, fills, positions, equity, tearsheet."""
+    """Every run of ``bars`` (keyed by run_id) at once: signals, counters, fills, positions, equity, tearsheet.
+
+    Fills, positions and equity are tables of their own below ``workdir`` (by default a fresh folder in the
+    shared scratch space): each is read several times.
+    """
+    workdir = workdir or scratch(bars.sparkSession, "backtest")
     signalled = signals(bars, rule, warmup)
-    fills = market_fills(signalled, qty, fee_rate, currency)
-    positions = accounting.replay(fills)
-    equity = accounting.equity_curve(bars, positions, starting_cash)
+    fills = staged(market_fills(signalled, qty, fee_rate, currency), f"{workdir}/fills")
+    positions = staged(accounting.replay(fills), f"{workdir}/positions")
+    equity = staged(accounting.equity_curve(bars, positions, starting_cash), f"{workdir}/equity")
     return {
         "signals": signalled,
         "counters": metrics.run_counters(signalled),

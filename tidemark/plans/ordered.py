@@ -6,9 +6,8 @@ into *segments* (key + slice of the ordering axis) and make the segment, not the
 work. What has to cross a segment border is reduced first to one row per segment, and only those
 summary rows are ever windowed by key:
 
-* ``running``   prefix sums / max / min / last, one large shuffle on (key, segment)
-* ``previous``  the row before, one large shuffle on (key, segment)
-* ``index``     exact 1-based position in the series
+* ``scan``      running sums / max / min / last, the row before, the exact position in the series:
+                any of them together, with one large shuffle on (key, segment)
 * ``rolling``   frames over the last n rows: equal blocks of positions plus an n-row overlap
 
 All of it is ordinary DataFrame code, so Catalyst still prunes, pushes down and code-generates.
@@ -16,6 +15,7 @@ All of it is ordinary DataFrame code, so Catalyst still prunes, pushes down and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEGMENT = "_segment"
+_SEGMENT = "_segment"
 POSITION = "_position"
 BLOCK = "_block"
 HALO = "_halo"
@@ -46,35 +46,42 @@ class Series:
     """How a table is ordered: its keys, its ordering columns and how finely it is cut.
 
     ``order`` must be a total order within a key. Its first column is the axis that segments are cut
-    on: a timestamp (``width`` in seconds) or an integer (``width`` in its own units). A segment
-    that still holds more than ``segment_rows`` rows is cut again into equal slices of the axis.
+    on: a timestamp (``width`` in seconds) or an integer (``width`` in its own units). Where the axis
+    itself bounds the rows of a segment (bars of a grid, sequence numbers) ``segment_rows`` is None;
+    elsewhere a segment with more rows than that is cut again into equal slices of the axis.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     width: int = 86_400
-    segment_rows: int = 1_000_000
+    segment_rows: int | None = 1_000_000
     block_rows: int = 65_536
 
     def with_(self, **changes: object) -> Series:
         return replace(self, **changes)
 
+    @property
+    def seg(self) -> str:
+        """The segment column. Its name depends on how the series is cut, so that a tag left by
+        another series is never mistaken for this one's."""
+        cut = repr((self.keys, self.order[0], self.width, self.segment_rows))
+        return f"{_SEGMENT}_{zlib.crc32(cut.encode()):08x}"
+
     # -- segments ---------------------------------------------------------------------------
 
     def segment(self, df: DataFrame) -> DataFrame:
         """Tag each row with the segment it belongs to; segments sort like the axis."""
-        if SEGMENT in df.columns:
+        if self.seg in df.columns:
             return df
         axis = self.order[0]
-        field = df.schema[axis].dataType
-        if isinstance(field, T.TimestampType | T.TimestampNTZType):
-            at = F.unix_micros(F.col(axis).cast("timestamp"))
-            width = self.width * _MICROS
+        if isinstance(df.schema[axis].dataType, T.TimestampType | T.TimestampNTZType):
+            at, width = F.unix_micros(F.col(axis).cast("timestamp")), self.width * _MICROS
         else:
             at, width = F.col(axis).cast("long"), self.width
-        tagged = df.withColumn("_at", at).withColumn(
-            "_bucket", F.floor(F.col("_at") / F.lit(width)).cast("long")
-        )
+        bucket = F.floor(at / F.lit(width)).cast("long")
+        if self.segment_rows is None:
+            return df.withColumn(self.seg, bucket)
+        tagged = df.withColumns({"_at": at, "_bucket": bucket})
         # Each row of `hot` stands for more than segment_rows input rows, so its size is at most
         # rows / segment_rows: that bound is what allows the broadcast.
         hot = (
@@ -91,86 +98,68 @@ class Series:
         )
         offset = F.col("_at") - F.col("_bucket") * F.lit(width)
         slice_no = F.floor(offset * F.coalesce(F.col("_slices"), F.lit(1)) / F.lit(width))
-        return (
-            tagged.join(F.broadcast(hot), [*self.keys, "_bucket"], "left")
-            .withColumn(
-                SEGMENT, F.col("_bucket") * F.lit(_SUBSEGMENTS) + slice_no.cast("long")
-            )
-            .select(*df.columns, SEGMENT)
-        )
-
-    def _local(self) -> Window:
-        return Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order)
-
-    def _between_segments(self) -> Window:
-        return Window.partitionBy(*self.keys).orderBy(SEGMENT)
-
-    def _attach(self, df: DataFrame, carries: DataFrame) -> DataFrame:
-        """Join per-segment carries back; both sides are clustered on (keys, segment)."""
-        return df.join(carries, [*self.keys, SEGMENT], "left")
+        tag = F.col("_bucket") * F.lit(_SUBSEGMENTS) + slice_no.cast("long")
+        joined = tagged.join(F.broadcast(hot), [*self.keys, "_bucket"], "left")
+        return joined.select(*df.columns, tag.alias(self.seg))
 
     # -- operations -------------------------------------------------------------------------
 
-    def running(
+    def scan(
         self,
         df: DataFrame,
-        measures: Mapping[str, Measure],
-        extra: Callable[[Window], Mapping[str, Column]] | None = None,
+        measures: Mapping[str, Measure] | None = None,
+        previous: Sequence[str] = (),
+        previous_as: str = "prev",
+        index: str | None = None,
     ) -> DataFrame:
-        """Add running aggregates in series order.
+        """Walk each series in order and add, in one pass:
+
+        * one column per running measure,
+        * ``previous_as``: a struct of the ``previous`` columns of the row before (NULL on the first),
+        * ``index``: the exact 1-based position.
 
-        Adds one column per measure. ``extra`` may add columns that only need the local window.
+        One summary row per segment is all that crosses segment borders. Every call reads ``df``
+        twice (rows and summary), so ask for everything at once instead of chaining calls.
         """
         df = self.segment(df)
+        local = Window.partitionBy(*self.keys, self.seg).orderBy(*self.order)
+        segments = Window.partitionBy(*self.keys).orderBy(self.seg)
+        before = segments.rowsBetween(Window.unboundedPreceding, -1)
         summary: list[Column] = []
         carry: list[Column] = []
-        before = self._between_segments().rowsBetween(Window.unboundedPreceding, -1)
-        for name, m in measures.items():
+        added: dict[str, Column] = {}
+        for name, m in (measures or {}).items():
             summary.append(_summarise(m, self.order).alias(f"_t_{name}"))
             carry.append(_combine(m.kind, F.col(f"_t_{name}")).over(before).alias(f"_c_{name}"))
-        carries = (
-            df.groupBy(*self.keys, SEGMENT).agg(*summary).select(*self.keys, SEGMENT, *carry)
-        )
-        local = self._local()
-        added = {}
-        for name, m in measures.items():
             frame = local.rowsBetween(Window.unboundedPreceding, 0 if m.inclusive else -1)
             added[name] = _merge(m.kind, F.col(f"_c_{name}"), _within(m).over(frame))
-        if extra is not None:
-            added.update(extra(local))
-        kept = [F.col(c) for c in df.columns if c not in added]
-        return self._attach(df, carries).select(*kept, *[c.alias(n) for n, c in added.items()])
+        if previous:
+            row = F.struct(*previous)
+            summary.append(F.max_by(row, F.struct(*self.order)).alias("_t_row"))
+            carry.append(F.lag("_t_row").over(segments).alias("_c_row"))
+            added[previous_as] = F.coalesce(F.lag(row).over(local), F.col("_c_row"))
+        if index:
+            summary.append(F.count(F.lit(1)).alias("_t_n"))
+            carry.append(F.sum("_t_n").over(before).alias("_c_n"))
+            place = F.coalesce(F.col("_c_n"), F.lit(0)) + F.row_number().over(local)
+            added[index] = place.cast("long")
+        carries = df.groupBy(*self.keys, self.seg).agg(*summary).select(*self.keys, self.seg, *carry)
+        kept = [c for c in df.columns if c not in added]
+        # Both sides are clustered on (keys, segment): the rows are shuffled once, by segment.
+        joined = df.join(carries, [*self.keys, self.seg], "left")
+        return joined.select(*kept, *[c.alias(n) for n, c in added.items()])
+
+    def running(self, df: DataFrame, measures: Mapping[str, Measure]) -> DataFrame:
+        """Add running aggregates in series order."""
+        return self.scan(df, measures)
 
     def previous(self, df: DataFrame, columns: Sequence[str], out: str = "prev") -> DataFrame:
         """Add ``out``, a struct of ``columns`` from the row before (NULL on the first row)."""
-        df = self.segment(df)
-        row = F.struct(*columns)
-        carries = (
-            df.groupBy(*self.keys, SEGMENT)
-            .agg(F.max_by(row, F.struct(*self.order)).alias("_last"))
-            .select(
-                *self.keys, SEGMENT, F.lag("_last").over(self._between_segments()).alias("_before")
-            )
-        )
-        seen = F.coalesce(F.lag(row).over(self._local()), F.col("_before"))
-        return self._attach(df, carries).select(*df.columns, seen.alias(out))
+        return self.scan(df, previous=columns, previous_as=out)
 
     def index(self, df: DataFrame, out: str = POSITION) -> DataFrame:
         """Add the exact 1-based position of each row in its series."""
-        df = self.segment(df)
-        carries = (
-            df.groupBy(*self.keys, SEGMENT)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .select(
-                *self.keys,
-                SEGMENT,
-                F.sum("_n")
-                .over(self._between_segments().rowsBetween(Window.unboundedPreceding, -1))
-                .alias("_start"),
-            )
-        )
-        place = F.coalesce(F.col("_start"), F.lit(0)) + F.row_number().over(self._local())
-        return self._attach(df, carries).select(*df.columns, place.cast("long").alias(out))
+        return self.scan(df, index=out)
 
     def rolling(
         self,
@@ -185,8 +174,8 @@ class Series:
         before them, so the largest task is bounded whatever the length of the series.
         """
         rows = max(self.block_rows, lookback)
-        placed = df if POSITION in df.columns else self.index(df)
-        base = [c for c in placed.columns if c not in (SEGMENT, POSITION, BLOCK)]
+        placed = self.index(df)
+        base = [c for c in placed.columns if c not in (self.seg, POSITION)]
         zero_based = F.col(POSITION) - 1
         home = F.floor(zero_based / F.lit(rows)).cast("long")
         near_end = zero_based % F.lit(rows) >= rows - lookback
@@ -231,9 +220,10 @@ def _merge(kind: str, carry: Column, local: Column) -> Column:
 
 def tidy(df: DataFrame) -> DataFrame:
     """Drop the helper columns."""
-    return df.drop(SEGMENT, POSITION, BLOCK, HALO)
+    cuts = [c for c in df.columns if c.startswith(_SEGMENT)]
+    return df.drop(*cuts, POSITION, BLOCK, HALO)
 
 
-BARS = Series(("instrument_id", "interval"), ("open_time",), width=30 * 86_400)
+BARS = Series(("instrument_id", "interval"), ("open_time",), width=30 * 86_400, segment_rows=None)
 FILLS = Series(("run_id",), ("ts", "fill_id"), width=365 * 86_400)
 EQUITY = Series(("run_id",), ("ts", "seq"), width=30 * 86_400)
