@@ -44,7 +44,9 @@ def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
     own from the right start.
     """
     signed = signed_qty()
-    held = series.scan(unique_fills(fills, series), {"qty_after": Measure("sum", signed)}, previous=["ts"])
+    # Segments are cut before repeats are dropped: a count that includes them only cuts finer.
+    once = unique_fills(series.segment(fills), series)
+    held = series.scan(once, {"qty_after": Measure("sum", signed)}, previous=["ts"])
     held = held.withColumns({"qty_before": F.col("qty_after") - signed, "previous_ts": F.col("prev.ts")}).drop("prev")
     before, after = F.col("qty_before").cast("double"), F.col("qty_after").cast("double")
     qty, price = F.col("qty").cast("double"), F.col("price").cast("double")

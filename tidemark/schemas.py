@@ -67,22 +67,19 @@ EXCHANGE_INFO = _fields(
     serverTime=T.LongType(),
     symbols=T.ArrayType(_SYMBOL),
 )
-# A kline frame; `k.x` tells whether the bar is closed.
+# The parts of a kline frame that are read; `k.x` tells whether the bar is closed. The event time
+# `E` is left out: it differs from `e` in case only and is read by path.
 KLINE_FRAME = _fields(
     e=T.StringType(),
-    E=T.LongType(),
     s=T.StringType(),
     k=_fields(
         t=T.LongType(),
-        T=T.LongType(),
-        s=T.StringType(),
         i=T.StringType(),
         o=T.StringType(),
         h=T.StringType(),
         l=T.StringType(),
         c=T.StringType(),
         v=T.StringType(),
-        n=T.LongType(),
         x=T.BooleanType(),
     ),
 )

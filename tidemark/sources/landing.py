@@ -53,7 +53,8 @@ def parse_frames(frames: DataFrame, value: str = "value") -> DataFrame:
     Adds symbol, interval, open_time, open, high, low, close, volume, is_closed, exchange_ts.
     """
     others = [c for c in frames.columns if c != value]
-    f = frames.withColumn("_f", F.from_json(value, KLINE_FRAME))
+    event_ms = F.get_json_object(value, "$.E").try_cast("long")
+    f = frames.withColumns({"_f": F.from_json(value, KLINE_FRAME), "_ms": event_ms})
     k = F.col("_f.k")
     parsed = f.where(F.col("_f.e") == "kline").select(
         *others,
@@ -62,7 +63,7 @@ def parse_frames(frames: DataFrame, value: str = "value") -> DataFrame:
         F.timestamp_millis(k["t"]).alias("open_time"),
         *[money(k[x]).alias(n) for x, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))],
         k["x"].alias("is_closed"),
-        F.timestamp_millis(F.col("_f.E")).alias("exchange_ts"),
+        F.timestamp_millis("_ms").alias("exchange_ts"),
     )
     required = ("interval", "open_time", "open", "high", "low", "close", "volume", "is_closed", "exchange_ts")
     return parsed.dropna(subset=list(required))
