@@ -18,6 +18,8 @@ from tidemark.catalog.base import (
 )
 from tidemark.operators import asof, gaps, indicators, quality
 from tidemark.functions import intervals
+from tidemark.plans.jobs import staged
+from tidemark.session import scratch
 
 _AT = f"instrument_id, {us('open_time')} AS open_time"
 _W = "PARTITION BY instrument_id ORDER BY open_time"
@@ -242,6 +244,12 @@ def maintenance(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("ts").alias("window_start"), intervals.plus_seconds("ts", 1800).alias("window_end"))
 
 
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps with their classification. The gaps, few beside the bars, become a table first."""
+    found = staged(gaps.gaps(candles(spark, sf, "15m"), *_window()), scratch(spark, "gaps"))
+    return gaps.classify(found, maintenance(spark, sf))
+
+
 def _window() -> tuple:
     return F.lit(_FROM).cast("timestamp"), F.lit(_TO).cast("timestamp")
 
@@ -273,20 +281,19 @@ def g2_expected_except_actual(spark: SparkSession, sf: str) -> DataFrame:
     list_sum(slots)::BIGINT AS slot_sum FROM classified""",
 )
 def e12_missing_runs(spark: SparkSession, sf: str) -> DataFrame:
-    found = gaps.missing_open_times(gaps.classify(gaps.gaps(candles(spark, sf, "15m"), *_window()), maintenance(spark, sf)))
+    found = gaps.missing_open_times(classified(spark, sf))
     total = F.aggregate("missing_open_times", F.lit(0).cast("long"), lambda a, t: a + F.unix_micros(t))
     return found.select("instrument_id", "gap_start", "gap_end", "missing_count", "classification", total.alias("slot_sum"))
 
 
 @query("c3_maintenance_overlap", f"{_GAPS_SQL} SELECT instrument_id, {us('gap_start')} AS gap_start FROM classified WHERE classification = 'maintenance'")
 def c3_maintenance_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    found = gaps.classify(gaps.gaps(candles(spark, sf, "15m"), *_window()), maintenance(spark, sf))
-    return found.where(F.col("classification") == "maintenance").select("instrument_id", "gap_start")
+    return classified(spark, sf).where(F.col("classification") == "maintenance").select("instrument_id", "gap_start")
 
 
 @query("d4_gap_summary", f"{_GAPS_SQL} SELECT classification, count(*) AS gaps, CAST(sum(missing_count) AS BIGINT) AS missing_count FROM classified GROUP BY 1")
 def d4_gap_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return gaps.summary(gaps.classify(gaps.gaps(candles(spark, sf, "15m"), *_window()), maintenance(spark, sf)))
+    return gaps.summary(classified(spark, sf))
 
 
 GAPS_SQL = _GAPS_SQL

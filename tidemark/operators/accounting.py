@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,28 +68,37 @@ def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
     schema = T.StructType([held.schema[c] for c in columns])
     for name in ("avg_entry", "realized_pnl", "trade_pnl"):
         schema.add(name, T.DoubleType())
-    order = list(series.order)
+    cluster, inputs = [*series.keys, series.seg], [*_FOLD_INPUT, "is_closing", "_avg0", "_pnl0"]
 
-    def fold(segment: pd.DataFrame) -> pd.DataFrame:
-        segment = segment.sort_values(order, kind="stable")
-        return _replay_segment(segment)[schema.fieldNames()]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, avg, realized = None, 0.0, 0.0
+        for batch in batches:
+            entries, totals, trades = [], [], []
+            for place, keep, add, gain, per_entry, fee, closing, avg0, pnl0 in _rows(batch, cluster, inputs):
+                if place != here:
+                    here, avg, realized = place, avg0, pnl0
+                delta = gain - per_entry * avg - fee
+                realized += delta
+                avg = keep * avg + add
+                entries.append(avg)
+                totals.append(realized)
+                trades.append(delta if closing else None)
+            yield _with_doubles(batch, columns, avg_entry=entries, realized_pnl=totals, trade_pnl=trades)
 
-    return started.groupBy(*series.keys, series.seg).applyInPandas(fold, schema)
+    laid_out = started.repartition(*cluster).sortWithinPartitions(*cluster, *series.order)
+    return laid_out.mapInArrow(fold, schema)
 
 
-def _replay_segment(segment: pd.DataFrame) -> pd.DataFrame:
-    first = segment.iloc[0]
-    avg, realized = float(first["_avg0"]), float(first["_pnl0"])
-    entries, totals, trades = [], [], []
-    steps = zip(*(segment[c].to_numpy() for c in _FOLD_INPUT), segment["is_closing"].to_numpy(), strict=True)
-    for keep, add, gain, per_entry, fee, closing in steps:
-        delta = gain - per_entry * avg - fee
-        realized += delta
-        avg = keep * avg + add
-        entries.append(avg)
-        totals.append(realized)
-        trades.append(delta if closing else None)
-    return segment.assign(avg_entry=entries, realized_pnl=totals, trade_pnl=pd.Series(trades, index=segment.index, dtype="float64"))
+def _rows(batch: pa.RecordBatch, key: Sequence[str], values: Sequence[str]) -> Iterator[tuple]:
+    """Rows of a batch as (key tuple, value, ...)."""
+    keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
+    return zip(keys, *(batch.column(c).to_pylist() for c in values), strict=True)
+
+
+def _with_doubles(batch: pa.RecordBatch, kept: Sequence[str], **added: list[float | None]) -> pa.RecordBatch:
+    """Some columns of a batch as they are, and new ones."""
+    arrays = [batch.column(c) for c in kept] + [pa.array(v, pa.float64()) for v in added.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
 
 
 def _segment_starts(held: DataFrame, series: Series) -> DataFrame:
@@ -110,19 +119,21 @@ def _segment_starts(held: DataFrame, series: Series) -> DataFrame:
     schema = T.StructType([*[held.schema[k] for k in keys], held.schema[series.seg]])
     schema = schema.add("_avg0", T.DoubleType()).add("_pnl0", T.DoubleType())
 
-    def chain(segments: pd.DataFrame) -> pd.DataFrame:
-        # One row per segment of this key, that is rows / segment_rows of the table at most.
-        segments = segments.sort_values(series.seg)
-        avg = realized = 0.0
-        avgs, totals = [], []
-        for a, b, p, q in segments[["a", "b", "p", "q"]].itertuples(index=False):
-            avgs.append(avg)
-            totals.append(realized)
-            realized += p + q * avg
-            avg = a * avg + b
-        return segments.assign(_avg0=avgs, _pnl0=totals)[schema.fieldNames()]
-
-    return maps.groupBy(*keys).applyInPandas(chain, schema)
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, avg, realized = None, 0.0, 0.0
+        for batch in batches:
+            avgs, totals = [], []
+            for key, a, b, p, q in _rows(batch, keys, ["a", "b", "p", "q"]):
+                if key != here:
+                    here, avg, realized = key, 0.0, 0.0
+                avgs.append(avg)
+                totals.append(realized)
+                realized += p + q * avg
+                avg = a * avg + b
+            yield _with_doubles(batch, [*keys, series.seg], _avg0=avgs, _pnl0=totals)
+
+    # One row per segment: rows / segment_rows of the table at most, streamed in batches.
+    return maps.repartition(*keys).sortWithinPartitions(*keys, series.seg).mapInArrow(chain, schema)
 
 
 # -- fees -----------------------------------------------------------------------------------------

@@ -16,6 +16,13 @@ from tidemark.schemas import MONEY
 from tidemark.session import scratch
 from tidemark.sources.store import upsert
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and go on from what was written: later stages start from files, not from a
+    plan that repeats everything before them."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # -- ingest -------------------------------------------------------------------------------------
 
 
@@ -37,11 +44,20 @@ def validate_and_ingest(
 
 
 def gap_scan(
-    candles: DataFrame, window_start: datetime | Column, window_end: datetime | Column, maintenance: DataFrame
+    candles: DataFrame,
+    window_start: datetime | Column,
+    window_end: datetime | Column,
+    maintenance: DataFrame,
+    workdir: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classified gaps, events to log, ranges to backfill)."""
-    found = gaps.classify(gaps.gaps(candles, window_start, window_end), maintenance)
-    return found, gaps.gap_events(found), gaps.ranges_to_backfill(found)
+    """(classified gaps, events to log, ranges to backfill).
+
+    The gaps are written below ``workdir`` once; everything after starts from there.
+    """
+    workdir = workdir or scratch(candles.sparkSession, "gap-scan")
+    found = staged(gaps.gaps(candles, window_start, window_end), f"{workdir}/gaps")
+    known = gaps.classify(found, maintenance)
+    return known, gaps.gap_events(known), gaps.ranges_to_backfill(known)
 
 
 RANGE_KEY = ("instrument_id", "interval", "range_start", "range_end")
@@ -107,13 +123,6 @@ def market_fills(signalled: DataFrame, qty: Decimal, fee_rate: Decimal, currency
     )
 
 
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and go on from what was written: later stages start from files, not from a
-    plan that repeats everything before them."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def backtest(
     bars: DataFrame,
     rule: SignalRule,

@@ -28,7 +28,7 @@ POSITION = "_position"
 BLOCK = "_block"
 HALO = "_halo"
 
-_SUBSEGMENTS = 1_000_000
+_SLICES = 10_000
 _MICROS = 1_000_000
 
 
@@ -48,7 +48,8 @@ class Series:
     ``order`` must be a total order within a key. Its first column is the axis that segments are cut
     on: a timestamp (``width`` in seconds) or an integer (``width`` in its own units). Where the axis
     itself bounds the rows of a segment (bars of a grid, sequence numbers) ``segment_rows`` is None;
-    elsewhere a segment with more rows than that is cut again into equal slices of the axis.
+    elsewhere a segment with more rows than that is cut into slices of the axis stretch it covers, and
+    slices that are still too large are cut once more.
     """
 
     keys: tuple[str, ...]
@@ -81,26 +82,40 @@ class Series:
         bucket = F.floor(at / F.lit(width)).cast("long")
         if self.segment_rows is None:
             return df.withColumn(self.seg, bucket)
-        tagged = df.withColumns({"_at": at, "_bucket": bucket})
-        # Each row of `hot` stands for more than segment_rows input rows, so its size is at most
-        # rows / segment_rows: that bound is what allows the broadcast.
-        hot = (
-            tagged.groupBy(*self.keys, "_bucket")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > self.segment_rows)
-            .select(
-                *self.keys,
-                "_bucket",
-                F.least(F.ceil(F.col("_n") / F.lit(self.segment_rows)), F.lit(_SUBSEGMENTS - 1))
-                .cast("long")
-                .alias("_slices"),
-            )
+        rows = df.withColumns({"_at": at, "_bucket": bucket})
+        first = self._crowded(rows, "_bucket", "_a")
+        sliced = self._slice(rows, first, "_bucket", "_a")
+        # What is crowded once more can only lie in a crowded bucket. As a rule there is none, and
+        # then the inner join with an empty relation costs nothing at run time.
+        inside = self._slice(rows, first, "_bucket", "_a", how="inner")
+        second = self._crowded(inside, "_bucket_a", "_b")
+        tagged = self._slice(sliced, second, "_bucket_a", "_b")
+        return tagged.select(*df.columns, F.col("_bucket_a_b").alias(self.seg))
+
+    def _crowded(self, rows: DataFrame, bucket: str, level: str) -> DataFrame:
+        """Buckets with more than ``segment_rows`` rows, the stretch of the axis they cover and the
+        number of slices to cut it into.
+
+        Each result row stands for more than segment_rows input rows, so there are fewer than
+        rows / segment_rows of them: that bound is what allows them to be broadcast.
+        """
+        counted = rows.groupBy(*self.keys, bucket).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_at").alias(f"_lo{level}"), F.max("_at").alias("_hi")
+        )
+        slices = F.least(F.ceil(F.col("_n") * F.lit(2.0) / F.lit(self.segment_rows)), F.lit(_SLICES - 1))
+        return counted.where(F.col("_n") > self.segment_rows).select(
+            *self.keys,
+            bucket,
+            f"_lo{level}",
+            (slices / (F.col("_hi") - F.col(f"_lo{level}") + 1)).alias(f"_per{level}"),
         )
-        offset = F.col("_at") - F.col("_bucket") * F.lit(width)
-        slice_no = F.floor(offset * F.coalesce(F.col("_slices"), F.lit(1)) / F.lit(width))
-        tag = F.col("_bucket") * F.lit(_SUBSEGMENTS) + slice_no.cast("long")
-        joined = tagged.join(F.broadcast(hot), [*self.keys, "_bucket"], "left")
-        return joined.select(*df.columns, tag.alias(self.seg))
+
+    def _slice(self, rows: DataFrame, crowded: DataFrame, bucket: str, level: str, how: str = "left") -> DataFrame:
+        """Number the slices of crowded buckets; the others keep slice 0."""
+        joined = rows.join(F.broadcast(crowded), [*self.keys, bucket], how)
+        slice_no = F.floor((F.col("_at") - F.col(f"_lo{level}")) * F.col(f"_per{level}"))
+        tag = F.col(bucket) * F.lit(_SLICES) + F.coalesce(slice_no, F.lit(0)).cast("long")
+        return joined.withColumn(f"{bucket}{level}", tag).drop(f"_lo{level}", f"_per{level}")
 
     # -- operations -------------------------------------------------------------------------
 
