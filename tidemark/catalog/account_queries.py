@@ -203,7 +203,7 @@ _CURVE = f"""{_EQUITY}, rets AS (SELECT *, lag(equity) OVER (PARTITION BY run_id
  dd AS (SELECT *, CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END AS drawdown,
    ((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY run_id, peak))) // 1000000) / 86400.0 AS days FROM peaks),
  m AS (SELECT run_id, count(*) AS points, min_by(equity, ts) AS s, max_by(equity, ts) AS e, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000) / 86400.0 AS total_days,
-   max(drawdown) AS mdd, max(days) AS ddd, avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(pow(least(r - 0.00001, 0), 2)) ) AS down,
+   max(drawdown) AS mdd, max(days) AS ddd, avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(pow(least(r - 0.00001, 0), 2)) FILTER (r IS NOT NULL)) AS down,
    sum(greatest(r - 0.00001, 0)) AS gain, sum(greatest(0.00001 - r, 0)) AS loss FROM dd GROUP BY 1),
  c AS (SELECT *, pow(e / s, 365.25 / total_days) - 1 AS cagr FROM m)"""
 _RF = 0.00001
@@ -428,7 +428,7 @@ def e18_equity_curve(spark: SparkSession, sf: str) -> DataFrame:
 _SHEET = f"""{_MARKED}, rets AS (SELECT *, lag(equity) OVER w AS b, max(equity) OVER w AS peak FROM equity WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
  dd AS (SELECT *, (equity - b) / b AS r, (peak - equity) / peak AS drawdown, ((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY run_id, peak))) // 1000000) / 86400.0 AS days FROM rets),
  m AS (SELECT run_id, min_by(equity, ts) AS s, max_by(equity, ts) AS e, max(ts) AS end_ts, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000) / 86400.0 AS total_days, max(drawdown) AS mdd, max(days) AS ddd,
-   avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(pow(least(r, 0), 2))) AS down, sum(greatest(r, 0)) AS gain, sum(greatest(-r, 0)) AS loss FROM dd GROUP BY 1),
+   avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(pow(least(r, 0), 2)) FILTER (r IS NOT NULL)) AS down, sum(greatest(r, 0)) AS gain, sum(greatest(-r, 0)) AS loss FROM dd GROUP BY 1),
  t AS (SELECT run_id, sum(fee) AS fees, {_TRADES}, sum(CASE WHEN q0 <> 0 THEN {_SECS.format(a='ts0', b='ts')} ELSE 0 END) AS secs, max_by(q, rn) AS q, max(ts) AS last FROM positions GROUP BY 1),
  sheet AS (SELECT m.run_id, (e - s) / s AS total_return, pow(e / s, 365.25 / total_days) - 1 AS cagr, mdd, ddd, mean / nullif(sd, 0) * sqrt(252) AS sharpe, mean / nullif(down, 0) * sqrt(252) AS sortino,
    gain / nullif(loss, 0) AS omega, wins / nullif(trades, 0) AS win_rate, gp / nullif(gl, 0) AS profit_factor, aw, al, ex,

@@ -82,7 +82,8 @@ def equity_metrics(
         F.max("days_since_peak").alias("drawdown_duration_days"),
         F.avg(r).alias("_mean"),
         F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("_deviation"),
-        F.sqrt(F.avg(F.pow(F.least(r - rf, F.lit(0.0)), 2))).alias("_downside"),
+        # least() skips NULL: the first point has no return and must not count as one of zero.
+        F.sqrt(F.avg(F.when(r.isNotNull(), F.pow(F.least(r - rf, F.lit(0.0)), 2)))).alias("_downside"),
         F.sum(F.greatest(r - rf, F.lit(0.0))).alias("_gains"),
         F.sum(F.greatest(rf - r, F.lit(0.0))).alias("_losses"),
     )
