@@ -8,7 +8,7 @@ from tidemark.plans.ordered import BARS
 
 RNG = np.random.default_rng(7)
 PRICES = np.round(np.abs(np.cumsum(RNG.normal(0, 3, 700)) + 400), 2)
-SMALL = BARS.with_(width=1_800, block_rows=40)
+SMALL = BARS.with_(width=30, block_rows=40)
 
 
 @pytest.fixture(scope="module")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.intervals import step_seconds
 from tidemark.plans.ordered import Measure, Series, tidy
 
-_SLOTS = Series(("instrument_id", "interval"), ("slot",), width=100_000, segment_rows=None)
+_SLOTS = Series(("instrument_id", "interval"), ("slot",), width=1 << 14, segment_rows=None)
 _TIMELINE = Series((), ("at", "kind", "start"), width=86_400)
 
 

@@ -15,11 +15,11 @@ from tidemark.functions.intervals import is_aligned, step_seconds
 from tidemark.plans.ordered import POSITION, Measure, Series
 
 EVENT_COLUMNS = ("instrument_id", "interval", "check_name", "severity", "open_time", "details")
-ARRIVALS = Series(("instrument_id", "interval"), ("arrival",), width=1 << 20, segment_rows=None)
+ARRIVALS = Series(("instrument_id", "interval"), ("arrival",), width=1 << 14, segment_rows=None)
 _NO_DETAILS = "map<string,string>"
 
 
-def arrival_series(order_col: str, width: int = 1 << 20) -> Series:
+def arrival_series(order_col: str, width: int = 1 << 14) -> Series:
     """Batches in the order of ``order_col`` (integer or timestamp)."""
     return Series(("instrument_id", "interval"), (order_col,), width=width, segment_rows=None)
 

@@ -82,7 +82,7 @@ def resume_plan(ranges: DataFrame, progress: DataFrame) -> DataFrame:
 # -- backtests ----------------------------------------------------------------------------------
 
 SignalRule = Callable[[DataFrame], DataFrame]
-RUN_BARS = Series(("run_id",), ("open_time",), width=30 * 86_400, segment_rows=None)
+RUN_BARS = Series(("run_id",), ("open_time",), width=8_192, segment_rows=None, in_steps=True)
 
 
 def toggle_rule(every: str | int) -> SignalRule:

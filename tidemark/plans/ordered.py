@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.intervals import step_seconds
+
 _SEGMENT = "_segment"
 POSITION = "_position"
 BLOCK = "_block"
@@ -46,7 +48,8 @@ class Series:
     """How a table is ordered: its keys, its ordering columns and how finely it is cut.
 
     ``order`` must be a total order within a key. Its first column is the axis that segments are cut
-    on: a timestamp (``width`` in seconds) or an integer (``width`` in its own units). Where the axis
+    on: a timestamp (``width`` in seconds, or in bar steps of the row's ``interval`` when
+    ``in_steps``) or an integer (``width`` in its own units). Where the axis
     itself bounds the rows of a segment (bars of a grid, sequence numbers) ``segment_rows`` is None;
     elsewhere a segment with more rows than that is cut into slices of the axis stretch it covers, and
     slices that are still too large are cut once more.
@@ -56,7 +59,8 @@ class Series:
     order: tuple[str, ...]
     width: int = 86_400
     segment_rows: int | None = 1_000_000
-    block_rows: int = 65_536
+    block_rows: int = 8_192
+    in_steps: bool = False
 
     def with_(self, **changes: object) -> Series:
         return replace(self, **changes)
@@ -65,7 +69,7 @@ class Series:
     def seg(self) -> str:
         """The segment column. Its name depends on how the series is cut, so that a tag left by
         another series is never mistaken for this one's."""
-        cut = repr((self.keys, self.order[0], self.width, self.segment_rows))
+        cut = repr((self.keys, self.order[0], self.width, self.segment_rows, self.in_steps))
         return f"{_SEGMENT}_{zlib.crc32(cut.encode()):08x}"
 
     # -- segments ---------------------------------------------------------------------------
@@ -76,10 +80,12 @@ class Series:
             return df
         axis = self.order[0]
         if isinstance(df.schema[axis].dataType, T.TimestampType | T.TimestampNTZType):
-            at, width = F.unix_micros(F.col(axis).cast("timestamp")), self.width * _MICROS
+            at, width = F.unix_micros(F.col(axis).cast("timestamp")), F.lit(self.width * _MICROS)
         else:
-            at, width = F.col(axis).cast("long"), self.width
-        bucket = F.floor(at / F.lit(width)).cast("long")
+            at, width = F.col(axis).cast("long"), F.lit(self.width)
+        if self.in_steps:
+            width = width * step_seconds("interval")
+        bucket = F.floor(at / width).cast("long")
         if self.segment_rows is None:
             return df.withColumn(self.seg, bucket)
         rows = df.withColumns({"_at": at, "_bucket": bucket})
@@ -239,6 +245,6 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.drop(*cuts, POSITION, BLOCK, HALO)
 
 
-BARS = Series(("instrument_id", "interval"), ("open_time",), width=30 * 86_400, segment_rows=None)
+BARS = Series(("instrument_id", "interval"), ("open_time",), width=8_192, segment_rows=None, in_steps=True)
 FILLS = Series(("run_id",), ("ts", "fill_id"), width=365 * 86_400)
 EQUITY = Series(("run_id",), ("ts", "seq"), width=30 * 86_400)
