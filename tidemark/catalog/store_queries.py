@@ -51,6 +51,18 @@ def a1_load_dataset_version(spark: SparkSession, sf: str) -> DataFrame:
     return load_version(stored, known, version, ["1h"]).select("symbol", "instrument_id", "open_time", "close")
 
 
+@query(
+    "c1_candle_instrument_join",
+    f"""{WITH_CANDLES} SELECT upper(instrument_id) AS symbol, count(*) AS bars, {r6('sum(close)')} AS close_sum FROM candles GROUP BY 1""",
+)
+def c1_candle_instrument_join(spark: SparkSession, sf: str) -> DataFrame:
+    bars = candles(spark, sf)
+    known = bars.select(F.col("instrument_id").alias("id"), F.upper("instrument_id").alias("symbol")).distinct()
+    version = DatasetVersion(("click", "error", "purchase", "signup", "view"), date(2024, 1, 1), date(2024, 12, 31))
+    joined = load_version(bars, known, version, ["1h"])
+    return joined.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("close").alias("close_sum"))
+
+
 @query(
     "a2_kline_files",
     f"""{WITH_CANDLES} SELECT {_AT}, {r6('open')} AS open, {r6('high')} AS high, {r6('low')} AS low, {r6('close')} AS close, {r6('volume')} AS volume, trade_count FROM candles""",

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.intervals import step_seconds
 
+_CHUNK = 10_000
 _NEXT = T.StructType([T.StructField("next_us", T.LongType())])
 _SLOT = T.StructType([T.StructField("open_us", T.LongType())])
 _BAR = T.StructType([T.StructField("close", T.DoubleType()), T.StructField("volume", T.DoubleType())])
@@ -52,6 +53,9 @@ class GapGate(StatefulProcessor):
             self.held.removeKey((slot,))
             out.append((key[0], key[1], slot, close, volume))
             slot += step
+            if len(out) == _CHUNK:
+                yield pd.DataFrame(out, columns=RELEASED.fieldNames())
+                out = []
         self.expected.update((slot,))
         yield pd.DataFrame(out, columns=RELEASED.fieldNames())
 
