@@ -175,7 +175,7 @@ def b6_normalised_instruments(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hot(spark: SparkSession, sf: str) -> DataFrame:
     return candles(spark, sf).withColumns(
-        {"venue": F.lit("binance"), "symbol": F.upper("instrument_id"), "is_closed": F.lit(True), "source": F.lit("events")}
+        {"venue": F.lit("venue-1"), "symbol": F.upper("instrument_id"), "is_closed": F.lit(True), "source": F.lit("events")}
     ).drop("arrival")
 
 
@@ -184,7 +184,7 @@ def _ticks(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(
         F.col("event_type").alias("instrument_id"), "ts", F.col("event_id").cast("string").alias("venue_trade_id"), money("value").alias("price"),
         F.regexp_extract("props", "[0-9]+", 0).cast(MONEY).alias("qty"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"),
-        F.lit("binance").alias("venue"), F.upper("event_type").alias("symbol"),
+        F.lit("venue-1").alias("venue"), F.upper("event_type").alias("symbol"),
     )
 
 
