@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, sharding, simhash
+from tidemark.llm import decontaminate, language, mixing, sharding, simhash
+from tidemark.llm import media as media_columns
 from tidemark.llm.text import documents, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +117,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = sharding.sharded(stored(digests, "digests"), SHARDS, size="size", key="key")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_language_mixture")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from the folds that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~held).select("text", "lang"))
+    name, share = language.predicted(F.col("languages"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), name.alias("lang_pred"), share.alias("score"), F.to_json("languages").alias("mixture"))
+
+
+@query("op8_gif")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a GIF, and what the stored file gives back."""
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.octet_length(text).cast("long").alias("n_bytes"))
+    media = stored(media_columns.with_media(docs).select("doc_id", "n_bytes", "media"), "media")
+    read = media_columns.with_digest(media)
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.col("digest.payload_bytes").alias("payload_bytes"),
+        F.col("digest.payload_sha256").alias("payload_sha256"),
+        F.col("digest.tail_crc32").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "digest.frames", "digest.millis"), F.concat_ws(",", F.col("digest.histogram").cast("array<string>"))).alias("feature"),
+    )
