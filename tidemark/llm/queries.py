@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, mixing, sharding, simhash
+from tidemark.llm import chunks, decontaminate, extract, language, licences, mixing, sharding, simhash, urllists
 from tidemark.llm import media as media_columns
 from tidemark.llm.text import documents, stored
 
@@ -147,3 +147,93 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.concat_ws("x", "digest.frames", "digest.millis"), F.concat_ws(",", F.col("digest.histogram").cast("array<string>"))).alias("feature"),
     )
+
+
+# Lists are derived from the pages themselves: hosts, domains, folders and single URLs come and go on days that follow from their digests.
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.lit("2024-01-01").cast("date")
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int")
+    pages = documents(spark, sf_dir, "pages").select("url", urllists.host(F.col("url")).alias("host")).where("host <> ''")
+    hosts = pages.select("host").distinct().withColumn("n", number(F.col("host")))
+    n = F.col("n")
+
+    def entry(rows: DataFrame, name: str, pattern, days, action: str) -> DataFrame:
+        return rows.select(F.lit(name).alias("list"), pattern.alias("pattern"), F.date_add(start, days).alias("day"), F.lit(action).alias("action"))
+
+    blocked, allowed = hosts.where("n % 3 <> 0"), hosts.where("n % 4 = 0")
+    folder = F.concat("host", F.lit("/en"))
+    single = pages.withColumn("n", number(F.col("url"))).where("n % 7 = 0")
+    path = F.rtrim(F.regexp_extract("url", r"//[^/?#]*(/[^?#]*)", 1), F.lit("/"))
+    parts = [
+        entry(blocked, "block", F.col("host"), n % 200, "add"),
+        entry(blocked, "block", F.col("host"), n % 200 + 30 + n % 60, "remove"),
+        entry(blocked.where("n % 2 = 0"), "block", F.col("host"), n % 200 + 120 + n % 60, "add"),
+        entry(hosts.where("n % 5 = 0"), "ads", F.regexp_replace("host", r"^[^.]*\.", ""), n % 90, "add"),
+        entry(allowed, "allow", folder, n % 150, "add"),
+        entry(allowed, "allow", folder, n % 150 + 100, "remove"),
+        entry(single, "urls", F.concat(F.col("host"), path), n % 366, "add"),
+    ]
+    entries = parts[0]
+    for part in parts[1:]:
+        entries = entries.union(part)
+    return entries
+
+
+OP4_SQL = r"""
+WITH page AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS day, lower(regexp_extract(url, '//(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+              regexp_extract(url, '//[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+hosts AS (SELECT host, ('0x' || substr(md5(host), 1, 4))::INT AS n FROM (SELECT DISTINCT host FROM page WHERE host <> '')),
+entries AS (
+ SELECT 'block' AS list, host AS pattern, DATE '2024-01-01' + n % 200 AS day, 0 AS gone FROM hosts WHERE n % 3 <> 0
+ UNION ALL SELECT 'block', host, DATE '2024-01-01' + (n % 200 + 30 + n % 60), 1 FROM hosts WHERE n % 3 <> 0
+ UNION ALL SELECT 'block', host, DATE '2024-01-01' + (n % 200 + 120 + n % 60), 0 FROM hosts WHERE n % 3 <> 0 AND n % 2 = 0
+ UNION ALL SELECT 'ads', regexp_replace(host, '^[^.]*\.', ''), DATE '2024-01-01' + n % 90, 0 FROM hosts WHERE n % 5 = 0
+ UNION ALL SELECT 'allow', host || '/en', DATE '2024-01-01' + n % 150, 0 FROM hosts WHERE n % 4 = 0
+ UNION ALL SELECT 'allow', host || '/en', DATE '2024-01-01' + (n % 150 + 100), 1 FROM hosts WHERE n % 4 = 0
+ UNION ALL SELECT 'urls', host || rtrim(path, '/'), DATE '2024-01-01' + n % 366, 0
+   FROM (SELECT host, path, ('0x' || substr(md5(url), 1, 4))::INT AS n FROM page) WHERE n % 7 = 0),
+daily AS (SELECT list, lower(pattern) AS pattern, day, max(gone) AS gone FROM entries GROUP BY ALL),
+changes AS (SELECT * FROM (SELECT *, lag(gone, 1, 1) OVER (PARTITION BY list, pattern ORDER BY day) AS before FROM daily) WHERE gone <> before),
+intervals AS (SELECT * FROM (SELECT list, pattern, gone, day AS valid_from, lead(day, 1, DATE '9999-12-31') OVER (PARTITION BY list, pattern ORDER BY day) AS valid_to FROM changes) WHERE gone = 0),
+names AS (SELECT page_id, day, unnest(list_distinct(list_concat(
+   list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+   list_transform(range(1, len(list_filter(string_split(path, '/'), lambda f: f <> '')) + 1), lambda i: host || '/' || array_to_string(list_slice(list_filter(string_split(path, '/'), lambda f: f <> ''), 1, i), '/'))))) AS pattern
+   FROM page WHERE host <> ''),
+active AS (SELECT page_id, list, names.pattern FROM names JOIN intervals ON names.pattern = intervals.pattern AND day >= valid_from AND day < valid_to),
+judged AS (SELECT page_id, arg_max({'blocked': list <> 'allow', 'pattern': pattern}, (length(pattern), CAST(list = 'allow' AS INT), pattern)) AS top,
+   string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM active GROUP BY page_id)
+SELECT page_id, url, CAST(day AS VARCHAR) AS fetched, coalesce(top.blocked, false) AS blocked, top.pattern AS pattern, coalesce(lists, '') AS lists
+FROM page LEFT JOIN judged USING (page_id)"""
+
+
+@query("op4_url_lists", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the list entries active on the day it was fetched."""
+    found = urllists.judged(captures(spark, sf_dir), list_entries(spark, sf_dir), day="fetched")
+    return found.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "verdict.blocked", "verdict.pattern", "verdict.lists")
+
+
+@query("op10_licence_sentences", licences.scan_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    found = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("licences.ids").alias("sentence_ids"), F.array_join("licences.names", ",").alias("licences"), F.col("licences.rest").alias("rest"))
+
+
+@query("op2_gear_chunks")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of documents that an earlier document holds."""
+    found = chunks.repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_bytes"), F.col("kept_id").alias("kept_doc_id"))
+
+
+@query("op9_page_template")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
