@@ -64,12 +64,12 @@ def test_against_plain_version_and_shifts(spark):
     draw = random.Random(4)
     words = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(n))
     passage = words(60)
-    rows = [(i, words(120), "en", "a") for i in range(20)]
+    rows = [(300 + i, words(120), "en", "a") for i in range(20)]
     rows += [(100 + i, f"{words(i)} {passage} {words(30)}", "en", "a") for i in range(12)] + [(200, passage, None, None), (201, passage + passage, None, None)] + ROWS
     df = documents(spark, rows)
     got = {tuple(r) for r in chunks.repeats(df).collect()}
     assert got == plain_repeats(rows, chunks.MIN_BYTES)
-    assert {r[0] for r in got} & set(range(20)) == set()
+    assert {r[0] for r in got} & set(range(300, 320)) == set()
     assert len({r[0] for r in got if 100 < r[0] <= 201}) >= 12
 
 
