@@ -439,21 +439,31 @@ _SHEET = f"""{_MARKED}, rets AS (SELECT *, lag(equity) OVER w AS b, max(equity)
     "k4_backtest_tearsheet",
     f"""{_SHEET} SELECT run_id, {r6('total_return')} AS total_return, {r6('cagr')} AS cagr, {r6('mdd')} AS max_drawdown, {r6('ddd')} AS drawdown_duration_days, {r6('sharpe')} AS sharpe, {r6('sortino')} AS sortino,
     {r6('omega')} AS omega, {r6('win_rate')} AS win_rate, {r6('profit_factor')} AS profit_factor, {r6('aw')} AS avg_win, {r6('al')} AS avg_loss, {r6('ex')} AS expectancy,
-    {r6('tim')} AS time_in_market, {r6('fees')} AS total_fees, {r6('pct')} AS fees_pct_of_gross, 'USDT' AS currency FROM sheet""",
+    {r6('tim')} AS time_in_market, {r6('fees')} AS total_fees, {r6('pct')} AS fees_pct_of_gross, {r6('cagr / nullif(mdd, 0)')} AS calmar, 'USDT' AS currency, CAST(NULL AS VARCHAR) AS problem FROM sheet""",
 )
 def k4_backtest_tearsheet(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.backtest(run_bars(spark, sf), _RULE, 5)["tearsheet"].drop("calmar", "slippage")
+    return jobs.backtest(run_bars(spark, sf), _RULE, 5)["tearsheet"].drop("slippage")
+
+
+_SHEET_FIGURES = ", ".join(
+    f"{r6(sql)} AS {name}"
+    for name, sql in {
+        "total_return": "total_return", "cagr": "cagr", "max_drawdown": "mdd", "drawdown_duration_days": "ddd", "sharpe": "sharpe", "sortino": "sortino",
+        "calmar": "cagr / nullif(mdd, 0)", "omega": "omega", "win_rate": "win_rate", "profit_factor": "profit_factor", "avg_win": "aw", "avg_loss": "al",
+        "expectancy": "ex", "time_in_market": "tim", "total_fees": "fees", "fees_pct_of_gross": "pct",
+    }.items()
+)
 
 
 @query(
     "d15_tearsheet_json",
-    f"""{_SHEET} SELECT run_id, {r6('total_return')} AS total_return, {r6('fees')} AS total_fees, true AS slippage_is_null, 'USDT' AS currency FROM sheet""",
+    f"""{_SHEET} SELECT run_id, {_SHEET_FIGURES}, true AS slippage_is_null, 'USDT' AS currency FROM sheet""",
 )
 def d15_tearsheet_json(spark: SparkSession, sf: str) -> DataFrame:
     text = metrics.tearsheet_json(jobs.backtest(run_bars(spark, sf), _RULE, 5)["tearsheet"])
     field = lambda name: F.get_json_object("tearsheet", f"$.{name}")
     return text.select(
-        "run_id", field("total_return").cast("double").alias("total_return"), field("total_fees").cast("double").alias("total_fees"),
+        "run_id", *[field(name).cast("double").alias(name) for name in metrics.TEARSHEET if name not in ("slippage", "currency")],
         (field("slippage").isNull() & F.col("tearsheet").contains('"slippage":null')).alias("slippage_is_null"), field("currency").alias("currency"),
     )
 

@@ -54,7 +54,8 @@ def last_n_bars(
         *keys, F.col("ts").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("bar_no"), request_id
     )
     # Requests sort before bars at the same instant, which makes "before" strict.
-    timeline = Series(series.keys, ("at", "kind", "bar_no", request_id), series.width, series.segment_rows)
+    # Segments are cut like those of the bars; a busy series is cut further by its requests.
+    timeline = Series(series.keys, ("at", "kind", "bar_no", request_id), series.width, 1_000_000, in_steps=series.in_steps)
     seen = timeline.running(marks.unionByName(asks), {"last_no": Measure("max", F.col("bar_no"))})
     count = F.lit(n) if isinstance(n, int) else n
     wanted = (

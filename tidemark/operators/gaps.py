@@ -31,13 +31,13 @@ def gaps(
     """Contiguous missing runs in the closed window, per (instrument_id, interval).
 
     ``window_start`` and ``window_end`` are constants. The grid starts at ``window_start`` and bars off it do not fill a slot. ``series_list`` names
-    the series to scan; by default those that have bars.
+    the series to scan, also such without any bar; by default those that have bars in the window.
     """
     start, end = _lit(window_start).cast("timestamp"), _lit(window_end).cast("timestamp")
     step = step_seconds("interval") * 1_000_000
     first = F.unix_micros(start)
     offset = F.unix_micros("open_time") - first
-    wanted = series_list if series_list is not None else candles
+    wanted = series_list if series_list is not None else candles.where(F.col("open_time").between(start, end))
     # Sentinels stand one slot before and one after the window, so its edges need no special case.
     slots = F.floor((F.unix_micros(end) - first) / step).cast("long") + 1
     edges = (

@@ -1,7 +1,8 @@
 """Technical indicators over bar series. Prices are read as doubles; every function adds columns.
 
-Rolling indicators are NULL until enough rows exist; exponential ones start at the first row. A NaN
-price affects the windows that contain it and no others.
+Rolling indicators are NULL until enough rows exist; a NaN price affects the windows that contain it and no
+others. Exponential ones start at the first price; where a price is NULL or NaN the mean of the prices before
+stands, and the next price goes on from it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordered import BARS, BLOCK, POSITION, Series, tidy
+from tidemark.plans.ordered import BARS, BLOCK, POSITION, Measure, Series, tidy
 
 _MAX_EXPONENT = 690.0  # exp() of more would leave the double range
 _NEGLIGIBLE = 45.0  # exp(-45) is below half a unit in the last place of a double
@@ -176,13 +177,27 @@ def _block_rows(spans: Sequence[int]) -> int | None:
     return max(shortest, min(longest // 2, 4 * shortest)) if shortest <= longest else None
 
 
+_MISSING = "_missing"
+
+
+def _numbered(bars: DataFrame, price: str, series: Series) -> DataFrame:
+    """Bars with the number of prices up to them as POSITION; bars without a price keep the number before."""
+    bars = bars.withColumn(_MISSING, _num(price).isNull() | F.isnan(_num(price)))
+    return series.scan(bars, {POSITION: Measure("count", F.when(~F.col(_MISSING), F.lit(1)))})
+
+
+def _present(value: Column) -> Column:
+    return F.when(~F.col(_MISSING), value)
+
+
 def _smooth(indexed: DataFrame, values: Mapping[str, tuple[Column, int]], rows: int, series: Series) -> DataFrame:
     """Add exponential means; ``values`` maps an output name to (input, span)."""
     keys = [*series.keys, BLOCK]
     blocked = indexed.withColumn(BLOCK, F.floor((F.col(POSITION) - 1) / F.lit(rows)).cast("long"))
     place = ((F.col(POSITION) - 1) % F.lit(rows)).cast("double")
     terms, ends, columns = {}, [], {}
-    running = Window.partitionBy(*keys).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+    # A bar without a price shares the number of the last price and comes after it.
+    running = Window.partitionBy(*keys).orderBy(POSITION, _MISSING).rowsBetween(Window.unboundedPreceding, 0)
     for name, (x, span) in values.items():
         if span == 1:
             continue
@@ -192,7 +207,9 @@ def _smooth(indexed: DataFrame, values: Mapping[str, tuple[Column, int]], rows:
         ends.append((F.sum(F.col(f"_x_{name}")) * F.lit(r ** (rows - 1))).alias(f"_b_{name}"))
         carried = F.coalesce(F.col(f"_b_{name}"), F.lit(0.0)) * F.pow(F.lit(r), place + 1)
         columns[name] = F.sum(f"_x_{name}").over(running) * F.pow(F.lit(r), place) + carried
-    added = {n: x for n, (x, span) in values.items() if span == 1}
+    # With a weight of 1 the mean is the last price itself, which starts every block anew: it is summed alone.
+    steps = Window.partitionBy(*series.keys, BLOCK, POSITION).orderBy(_MISSING).rowsBetween(Window.unboundedPreceding, 0)
+    added = {n: F.sum(x).over(steps) for n, (x, span) in values.items() if span == 1}
     if terms:
         blocked = blocked.withColumns({f"_x_{n}": t for n, t in terms.items()})
         # A block's end value, handed to the block after it.
@@ -207,7 +224,8 @@ def ema(bars: DataFrame, span: int, price: str = "close", out: str = "ema", seri
     """Exponential mean with weight 2/(span+1), starting at the first price."""
     _at_least("ema: span", span, 1)
     rows = _block_rows([span])
-    return tidy(_smooth(series.index(bars), {out: (_num(price), span)}, rows, series))
+    numbered = _numbered(bars, price, series)
+    return tidy(_smooth(numbered, {out: (_present(_num(price)), span)}, rows, series)).drop(_MISSING)
 
 
 def macd(
@@ -224,8 +242,8 @@ def macd(
     if fast >= slow:
         raise ValueError("macd: fast span must be < slow span")
     rows = _block_rows([fast, slow, signal])
-    indexed = series.index(bars)
-    both = {"_fast": (_num(price), fast), "_slow": (_num(price), slow)}
+    indexed = _numbered(bars, price, series)
+    both = {"_fast": (_present(_num(price)), fast), "_slow": (_present(_num(price)), slow)}
     if rows is not None:
         lines = _smooth(indexed, both, rows, series)
     else:
@@ -234,6 +252,6 @@ def macd(
             lines = _smooth(lines, {name: value}, _block_rows([value[1]]), series)
     lines = lines.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     smoothed = _smooth(
-        lines, {"macd_signal": (F.col("macd"), signal)}, rows or _block_rows([signal]), series
+        lines, {"macd_signal": (_present(F.col("macd")), signal)}, rows or _block_rows([signal]), series
     )
-    return tidy(smoothed.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")))
+    return tidy(smoothed.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))).drop(_MISSING)

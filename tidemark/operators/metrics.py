@@ -186,22 +186,32 @@ def tearsheet(
     periods_per_year: int = 252,
     slippage: DataFrame | None = None,
     positions: DataFrame | None = None,
+    strict: bool = False,
 ) -> DataFrame:
-    """One row per run with every figure. Runs need at least two equity points and one fill.
+    """One row per run of either table, with every figure that can be told.
 
-    ``slippage`` (run_id, slippage) is what fills alone cannot tell; without it the figure is NULL.
+    ``problem`` says what a run lacks: ``equity`` (fewer than two points) or ``fills`` (none); then figures that
+    need it are NULL, and fees and time in market without fills 0. With ``strict`` a run with a problem raises. ``slippage`` (run_id, slippage) is what fills alone cannot tell; without it the figure is NULL.
     """
-    curve = equity_metrics(equity, risk_free_rate, periods_per_year).where(F.col("points") >= 2)
+    curve = equity_metrics(equity, risk_free_rate, periods_per_year)
     positions = positions if positions is not None else replay(fills)
     per_run = positions.groupBy(*FILLS.keys).agg(*_fee_sums(), *_trade_sums(), *_market_days(FILLS))
-    sheet = curve.join(per_run, "run_id").withColumns({**_trade_ratios(), "time_in_market": _market_share()})
+    sheet = curve.join(per_run.withColumn("traded", F.lit(True)), "run_id", "full").withColumns({**_trade_ratios(), "time_in_market": _market_share()})
+    short, idle = F.coalesce(F.col("points") < 2, F.lit(True)), F.col("traded").isNull()
+    problem = F.when(short, "equity").when(idle, "fills")
+    if strict:
+        problem = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(" ", F.lit("run"), F.col("run_id").cast("string"), F.lit("lacks"), problem)))
+    sheet = sheet.withColumn("problem", problem.cast("string"))
+    curve_figures = [c for c in curve.columns if c != "run_id"]
+    sheet = sheet.withColumns({c: F.when(~short, F.col(c)) for c in curve_figures})
+    sheet = sheet.withColumns({c: F.when(idle, F.lit(0)).otherwise(F.col(c)).cast(sheet.schema[c].dataType) for c in ("total_fees", "time_in_market")})
     change = F.col("end_equity") - F.col("start_equity")
     sheet = sheet.withColumn("fees_pct_of_gross", fees_pct_of_gross(F.col("total_fees"), change))
     if slippage is None:
         sheet = sheet.withColumn("slippage", F.lit(None).cast("double"))
     else:
         sheet = sheet.join(slippage.select("run_id", F.col("slippage").cast("double")), "run_id", "left")
-    return sheet.select("run_id", *TEARSHEET)
+    return sheet.select("run_id", *TEARSHEET, "problem")
 
 
 def tearsheet_json(sheet: DataFrame) -> DataFrame:

@@ -49,13 +49,15 @@ def gap_scan(
     window_end: datetime | Column,
     maintenance: DataFrame,
     workdir: str | None = None,
+    series_list: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classified gaps, events to log, ranges to backfill).
 
-    The gaps are written below ``workdir`` once; everything after starts from there.
+    ``series_list`` (instrument_id, interval) names what is expected: a series without any bar is one gap. By
+    default it is what has bars within the window. The gaps are written below ``workdir`` once; everything after starts from there.
     """
     workdir = workdir or scratch(candles.sparkSession, "gap-scan")
-    found = staged(gaps.gaps(candles, window_start, window_end), f"{workdir}/gaps")
+    found = staged(gaps.gaps(candles, window_start, window_end, series_list), f"{workdir}/gaps")
     known = gaps.classify(found, maintenance)
     return known, gaps.gap_events(known), gaps.ranges_to_backfill(known)
 

@@ -103,7 +103,7 @@ class Series:
         number of slices to cut it into.
 
         Each result row stands for more than segment_rows input rows, so there are fewer than
-        rows / segment_rows of them: that bound is what allows them to be broadcast.
+        rows / segment_rows of them; how they are joined is left to Spark, which knows their size at run time.
         """
         counted = rows.groupBy(*self.keys, bucket).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_at").alias(f"_lo{level}"), F.max("_at").alias("_hi")
@@ -118,7 +118,7 @@ class Series:
 
     def _slice(self, rows: DataFrame, crowded: DataFrame, bucket: str, level: str, how: str = "left") -> DataFrame:
         """Number the slices of crowded buckets; the others keep slice 0."""
-        joined = rows.join(F.broadcast(crowded), [*self.keys, bucket], how)
+        joined = rows.join(crowded, [*self.keys, bucket], how)
         slice_no = F.floor((F.col("_at") - F.col(f"_lo{level}")) * F.col(f"_per{level}"))
         tag = F.col(bucket) * F.lit(_SLICES) + F.coalesce(slice_no, F.lit(0)).cast("long")
         return joined.withColumn(f"{bucket}{level}", tag).drop(f"_lo{level}", f"_per{level}")

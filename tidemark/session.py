@@ -45,10 +45,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder the cluster shares through ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests) a temporary folder of this machine is used.
+    Where that is unset, a session on one machine (tests, bench) gets a temporary folder of its own; on a
+    cluster its executors would not share one, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -47,11 +47,18 @@ def archive_rows(rows: DataFrame, dataset: str, batch: str) -> DataFrame:
 
 
 def write(rows: DataFrame, dataset: str, path: str, batch: str) -> None:
-    """Append one batch. Rows are ranged by partition and time: files are few and sorted, and a
-    large month spreads over many tasks."""
+    """Write one batch, replacing what an earlier attempt at it left in the same partitions.
+
+    Rows are ranged by partition and time: files are few and sorted, and a large month spreads over many tasks.
+    """
     order = [*PARTITIONS, TIME[dataset]]
     laid_out = archive_rows(rows, dataset, batch).repartitionByRange(*order).sortWithinPartitions(*order)
-    laid_out.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    _replace(laid_out, path, *PARTITIONS)
+
+
+def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Write the partitions that ``rows`` touch in place of those that are there; all others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def _read_schema(dataset: str) -> T.StructType:
@@ -65,8 +72,9 @@ def read_layout(spark: SparkSession, dataset: str, path: str) -> DataFrame:
     return spark.read.schema(_read_schema(dataset)).parquet(path).where(F.col("dataset") == dataset)
 
 
-def read(spark: SparkSession, dataset: str, path: str, report: DataFrame) -> DataFrame:
-    """The verified part of the archive with decimals restored; ``report`` comes from ``verify``."""
+def read(spark: SparkSession, dataset: str, path: str, report: DataFrame | None = None) -> DataFrame:
+    """The verified part of the archive with decimals restored; by default by the verdicts stored with it."""
+    report = reported(spark, path) if report is None else report
     good = report.where(F.col("checksum_ok") & (F.col("dataset") == dataset)).select(*PARTITIONS)
     stored = read_layout(spark, dataset, path).join(good, list(PARTITIONS), "left_semi")
     amounts = ("open", "high", "low", "close", "volume", "price", "qty")
@@ -89,6 +97,18 @@ def verify(rows: DataFrame, dataset: str, path: str, batch: str) -> DataFrame:
     return wanted.join(got, list(PARTITIONS), "left").withColumn("checksum_ok", F.coalesce(same, F.lit(False)))
 
 
+REPORT_SCHEMA = T.StructType(
+    [T.StructField(c, T.LongType() if c.endswith("count") else T.StringType()) for c in ("row_count", "content_hash", "read_count", "read_hash")]
+    + [T.StructField("checksum_ok", T.BooleanType())]
+    + [T.StructField(p, T.IntegerType() if p in ("year", "month") else T.StringType()) for p in PARTITIONS]
+)
+
+
+def reported(spark: SparkSession, path: str) -> DataFrame:
+    """The verdicts on everything archived below ``path``: one per dataset, month and batch."""
+    return spark.read.schema(REPORT_SCHEMA).parquet(f"{path}_report")
+
+
 def trim(hot: DataFrame, dataset: str, report: DataFrame, old: Column) -> DataFrame:
     """The hot table without the ``old`` rows of verified months; a failed month stays whole."""
     done = report.where("checksum_ok").select(
@@ -113,12 +133,14 @@ def archive(
 ) -> tuple[DataFrame, DataFrame]:
     """Write the old rows of ``hot``, verify them, log the verdicts, and return (report, trimmed hot).
 
-    The report is appended below ``<path>_report`` first and read from there. The trimmed table is a
-    plan: write it to a new location, then switch.
+    The report goes below ``<path>_report`` first and is read from there; each batch has one verdict per month,
+    the latest. A batch may be repeated: its months are replaced, not added, and read back once. Rows that have
+    been archived and trimmed stay archived if the batch is run again over the trimmed table. The trimmed table
+    is a plan: write it to a new location, then switch.
     """
     old = is_old(dataset, now, retention_days, since)
     rows = hot.where(old)
     write(rows, dataset, path, batch)
-    verify(rows, dataset, path, batch).write.mode("append").parquet(f"{path}_report")
-    report = hot.sparkSession.read.parquet(f"{path}_report").where((F.col("batch") == batch) & (F.col("dataset") == dataset))
+    _replace(verify(rows, dataset, path, batch), f"{path}_report", *PARTITIONS)
+    report = reported(hot.sparkSession, path).where((F.col("batch") == batch) & (F.col("dataset") == dataset))
     return report, trim(hot, dataset, report, old)

@@ -24,8 +24,8 @@ def load_version(
 ) -> DataFrame:
     """Candles of a dataset version with their symbol, whole days at both ends.
 
-    The filters reach the scan. At most one instrument row per member of ``symbol_set`` is
-    broadcast. Open bars are included unless ``closed_only``.
+    The filters reach the scan; the instruments are one row per member of ``symbol_set``, which Spark
+    broadcasts if their size allows. Open bars are included unless ``closed_only``.
     """
     for interval in intervals:
         step_of(interval)
@@ -41,4 +41,4 @@ def load_version(
     if closed_only:
         picked = picked.where("is_closed")
     names = instruments.where(F.col("id").isin(members)).select(F.col("id").alias("instrument_id"), "symbol")
-    return picked.join(F.broadcast(names), "instrument_id")
+    return picked.join(names, "instrument_id")
