@@ -134,7 +134,28 @@ def test_gap_gate_holds_and_releases_in_order(spark):
     b = bars(spark, range(8))
     pick = lambda *arrivals: b.where(F.col("arrival").isin(*arrivals))
     got = _collect(gapgate.gated(_feed(spark, pick(0, 1), pick(3, 5), pick(2, 3), pick(7), pick(1, 4))))
-    assert column(got, "close") == [0, 1, 2, 3, 4, 5]
+    assert column(got.where("status = 'released'"), "close") == [0, 1, 2, 3, 4, 5]
+    assert sorted((int(r.close), r.status) for r in got.where("status != 'released'").collect()) == [(1, "repeat"), (3, "repeat")]
+
+
+def test_gap_gate_reports_what_it_cannot_release(spark):
+    b = bars(spark, range(12))
+    pick = lambda low, high: b.where(F.col("arrival").between(low, high))
+    shifted = b.where("arrival = 7").withColumn("open_time", F.timestamp_micros(F.unix_micros("open_time") + 1))
+    got = _collect(gapgate.gated(_feed(spark, pick(5, 9), pick(0, 4).unionByName(shifted), pick(10, 11)))).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.status, []).append(int(r.close))
+    assert {k: sorted(v) for k, v in by.items()} == {"released": [5, 6, 7, 8, 9, 10, 11], "early": [0, 1, 2, 3, 4], "off_grid": [7]}
+    assert {(r.open, r.high, r.low, r.volume) for r in got if r.close == 6} == {(Decimal(6), Decimal(7), Decimal(5), Decimal(10))}
+
+
+def test_closed_bars_come_out_however_late(spark):
+    b = bars(spark, range(61)).withColumns({"symbol": F.lit("S"), "is_closed": F.lit(True), "exchange_ts": F.col("open_time")})
+    frames = landing.frames_of(b).withColumn("n", F.get_json_object("value", "$.k.c").cast("double"))
+    late = frames.where("n < 5")
+    got = _collect(bar_streams.closed_bars(_feed(spark, frames.where("n >= 5"), late, late).select("value")))
+    assert got.count() == 66 and sorted(column(bar_streams.stored_once(got), "close")) == list(range(61))
 
 
 def test_sequence_state_spans_batches(spark):
@@ -159,6 +180,16 @@ def test_staleness_repeats_while_idle(spark):
     assert len(idle) >= 3 and idle == sorted(idle) and idle[0] > 0.5
 
 
+def test_staleness_on_event_time_equals_the_recording(spark):
+    """Also across batches, where a timer has told of some checks before the next message comes."""
+    m = spark.createDataFrame([("A", at(0)), ("B", at(2)), ("A", at(5)), ("B", at(5)), ("A", at(9)), ("B", at(9))], "symbol string, at timestamp")
+    batches = [m.where(F.col("at") <= F.lit(at(t))).where(F.col("at") > F.lit(at(t - 3))) for t in (2, 5, 8, 11)]
+    stream = _feed(spark, *[b for b in batches if not b.isEmpty()])
+    got = _collect(watch.event_staleness(stream, 60, 20)).orderBy("symbol", "detected_at").collect()
+    want = watch.recorded_staleness(m, at(9), 60, 20).orderBy("symbol", "detected_at").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(want) > 10
+
+
 def test_recorded_staleness(spark):
     m = spark.createDataFrame([("A", at(0)), ("A", at(1)), ("A", at(1) + timedelta(seconds=63))], "symbol string, at timestamp")
     got = watch.recorded_staleness(m, at(2) + timedelta(seconds=3)).orderBy("detected_at").collect()

@@ -1,42 +1,63 @@
-"""Streams fed from the given tables in several micro-batches, then read back."""
+"""Streams fed from the given tables slice by slice, one run each on one checkpoint, then read back."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.catalog.base import CATALOG, WITH_CANDLES, WITH_DIRTY, candles, dirty, query, r6, table, us
 from tidemark.catalog.store_queries import _GOOD, frame_texts
+from tidemark.catalog.series_queries import ema_cte
+from tidemark.plans.jobs import staged
 from tidemark.session import scratch
+from tidemark.sources import landing
 from tidemark.streaming import bars as bar_streams
 from tidemark.streaming import gapgate, indicators, watch
 
 _AT = f"instrument_id, {us('open_time')} AS open_time"
-_CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2030-01-01")
+_SLICES = 3
+Run = Callable[[DataFrame, str], StreamingQuery]
+
 
+def delivered(rows: DataFrame, time: str, label: str, run: Run) -> str:
+    """Deliver ``rows`` to a stream in consecutive slices of ``time``; returns the path ``run`` has written to.
 
-def feed(rows: DataFrame, time: str, label: str) -> DataFrame:
-    """A stream that delivers ``rows`` in three consecutive slices of ``time``."""
+    The borders divide the stretch the data cover; the first slice is open to the past, the last to the future, and rows
+    without a time come last. Each slice is written by all tasks and then read in a run of its own, on the same
+    checkpoint: the order between slices is kept without a single task that writes them.
+    """
     spark = rows.sparkSession
     path = scratch(spark, label)
-    for low, high in zip(_CUTS, _CUTS[1:], strict=False):
-        part = rows.where((F.col(time) >= F.lit(low).cast("timestamp")) & (F.col(time) < F.lit(high).cast("timestamp")))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = staged(rows, f"{path}/all")
+    low, high = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    span = (high - low) // _SLICES + 1 if low is not None else 1
+    number = F.least(F.coalesce(F.floor((F.unix_micros(time) - F.lit(low or 0)) / F.lit(span)), F.lit(_SLICES - 1)), F.lit(_SLICES - 1))
+    for n in range(_SLICES):
+        rows.where(number == n).write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out").awaitTermination()
+    return f"{path}/out"
 
 
-def collected(stream: DataFrame, label: str) -> DataFrame:
-    spark = stream.sparkSession
-    path = scratch(spark, label)
-    bar_streams.to_table(stream, path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def collected(rows: DataFrame, time: str, label: str, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream makes of ``rows``, appended to a table."""
+    schema = []
+
+    def run(source: DataFrame, path: str) -> StreamingQuery:
+        made = stream(source)
+        schema.append(made.schema)
+        return bar_streams.to_table(made, path, f"{path}-checkpoint")
+
+    path = delivered(rows, time, label, run)
+    return rows.sparkSession.read.schema(schema[-1]).parquet(path)
 
 
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
-    texts = frame_texts(spark, sf)
-    timed = texts.withColumn("at", F.coalesce(F.timestamp_millis(F.get_json_object("value", "$.E").try_cast("long")), F.lit("2024-01-15").cast("timestamp")))
-    early = F.lit("2024-01-01").cast("timestamp")
-    return feed(timed.withColumn("at", F.greatest("at", early)), "at", "frames").select("value")
+    """Frames with the exchange time they come at; such without one come last."""
+    at = F.timestamp_millis(F.get_json_object("value", "$.E").try_cast("long"))
+    return frame_texts(spark, sf).withColumn("at", at)
 
 
 @query(
@@ -44,8 +65,7 @@ def _frames(spark: SparkSession, sf: str) -> DataFrame:
     f"""{WITH_CANDLES} SELECT upper(instrument_id) AS symbol, {us('open_time')} AS open_time, {r6('close')} AS close, epoch_us(open_time) + 3600000000 AS exchange_ts, true AS received FROM candles WHERE arrival % 2 = 0""",
 )
 def j1_closed_bar_stream(spark: SparkSession, sf: str) -> DataFrame:
-    closed = bar_streams.closed_bars(_frames(spark, sf))
-    done = collected(closed, "closed")
+    done = bar_streams.stored_once(collected(_frames(spark, sf), "at", "closed", lambda s: bar_streams.closed_bars(s.select("value"))))
     return done.select("symbol", "open_time", "close", "exchange_ts", F.col("local_recv_ts").isNotNull().alias("received"))
 
 
@@ -54,17 +74,21 @@ def j1_closed_bar_stream(spark: SparkSession, sf: str) -> DataFrame:
     f"""{WITH_CANDLES} SELECT upper(instrument_id) AS symbol, max({us('open_time')}) AS open_time, max_by({r6('close')}, open_time) AS close FROM candles WHERE arrival % 2 = 1 GROUP BY 1""",
 )
 def j2_latest_open_bar(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "latest")
-    bar_streams.each_update(bar_streams.latest_open_bars(_frames(spark, sf)), path, f"{path}-checkpoint").awaitTermination()
+    run = lambda s, out: bar_streams.each_update(bar_streams.latest_open_bars(s.select("value")), out, f"{out}-checkpoint")
+    path = delivered(_frames(spark, sf), "at", "latest", run)
     newest = F.max_by(F.struct("open_time", "close"), "batch_id")
     return spark.read.parquet(path).groupBy("symbol").agg(newest.alias("b")).select("symbol", "b.*")
 
 
-@query("j3_stream_indicators")
+_PANEL_SQL = f"""WITH {", ".join(f"{n} AS ({CATALOG[q].sql})" for n, q in (("e1", "e1_sma"), ("e2", "e2_ema"), ("e3", "e3_rsi"), ("e4", "e4_atr"), ("e5", "e5_bollinger"), ("e6", "e6_macd"), ("e7", "e7_rolling_volatility")))}
+ SELECT * FROM e1 {" ".join(f"JOIN {n} USING (instrument_id, open_time)" for n in ("e2", "e3", "e4", "e5", "e6", "e7"))}"""
+
+
+@query("j3_stream_indicators", _PANEL_SQL)
 def j3_stream_indicators(spark: SparkSession, sf: str) -> DataFrame:
     rows = candles(spark, sf).select("instrument_id", "interval", "open_time", "high", "low", "close")
-    done = collected(indicators.stream_indicators(feed(rows, "open_time", "bars")), "indicators")
-    return done.drop("interval")
+    done = collected(rows, "open_time", "indicators", indicators.stream_indicators).drop("interval")
+    return done.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in indicators.OUTPUTS})
 
 
 @query("j3_stream_macd", CATALOG["e6_macd"].sql)
@@ -74,7 +98,7 @@ def j3_stream_macd(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j3_stream_volatility", CATALOG["e7_rolling_volatility"].sql)
 def j3_stream_volatility(spark: SparkSession, sf: str) -> DataFrame:
-    return j3_stream_indicators(spark, sf).select("instrument_id", "open_time", F.nanvl("volatility", F.lit(None).cast("double")).alias("volatility"))
+    return j3_stream_indicators(spark, sf).select("instrument_id", "open_time", "volatility")
 
 
 _IDLE, _CHECK = 7200, 1800
@@ -89,7 +113,8 @@ _IDLE, _CHECK = 7200, 1800
 )
 def j4_staleness(spark: SparkSession, sf: str) -> DataFrame:
     seen = table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.col("ts").alias("at"))
-    return watch.recorded_staleness(seen, "2024-02-01", _IDLE, _CHECK)
+    end = seen.select("symbol").distinct().withColumn("at", F.lit("2024-02-01").cast("timestamp"))
+    return collected(seen.unionByName(end), "at", "stale", lambda s: watch.event_staleness(s, _IDLE, _CHECK))
 
 
 @query(
@@ -102,7 +127,7 @@ def j5_sequence_jumps(spark: SparkSession, sf: str) -> DataFrame:
     messages = table(spark, sf, "events").select(
         F.col("event_type").alias("stream"), F.col("event_id").alias("arrival"), F.expr("event_id div 3").alias("seq"), "ts"
     )
-    return collected(watch.sequence_jumps(feed(messages, "ts", "messages")), "jumps")
+    return collected(messages, "ts", "jumps", watch.sequence_jumps)
 
 
 @query(
@@ -118,15 +143,46 @@ def j6_gap_gate(spark: SparkSession, sf: str) -> DataFrame:
     late = (F.col("arrival") % 5 == 0) & (F.col("open_time") > F.col("first"))
     ten_days = F.expr("interval 10 days")
     sent = rows.join(begins, "instrument_id").withColumn("sent", F.when(late, F.col("open_time") + ten_days).otherwise(F.col("open_time")))
-    stream = feed(sent.select("instrument_id", "interval", "open_time", "close", "volume", "sent"), "sent", "live")
-    return collected(gapgate.gated(stream), "gated").select("instrument_id", "open_time", "close")
+    live = sent.select("instrument_id", "interval", "open_time", *gapgate.FIGURES, "sent")
+    return collected(live, "sent", "gated", gapgate.released).select("instrument_id", "open_time", "close")
 
 
 @query("j7_stream_ingest", f"{WITH_DIRTY} SELECT {_AT}, {r6('close')} AS close FROM dirty WHERE {_GOOD}")
 def j7_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "ingest")
-    stream = feed(dirty(candles(spark, sf)), "open_time", "dirty")
-    bar_streams.ingest(stream, path, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run = lambda s, out: bar_streams.ingest(s, out, f"{out}/checkpoint").trigger(availableNow=True).start()
+    path = delivered(dirty(candles(spark, sf)), "open_time", "ingest", run)
     return bar_streams.ingested(spark.read.parquet(f"{path}/candles")).select("instrument_id", "open_time", "close")
 
 
+_HOURS = "generate_series((SELECT min(open_time) FROM candles), (SELECT max(open_time) FROM candles), INTERVAL 1 HOUR)"
+
+
+@query(
+    "j8_live_chain",
+    f"""{WITH_CANDLES}, dense AS (SELECT i.instrument_id, t.open_time, coalesce(c.close, 50) AS close FROM (SELECT DISTINCT instrument_id FROM candles) i, (SELECT unnest({_HOURS}) AS open_time) t
+      LEFT JOIN candles c ON c.instrument_id = i.instrument_id AND c.open_time = t.open_time),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY open_time) AS rn FROM dense), {ema_cte('smooth', 'numbered', 'close', 12)}
+    SELECT n.instrument_id, {us('n.open_time')} AS open_time, {r6('y')} AS ema, CASE WHEN count(*) OVER w = 20 THEN {r6('avg(CAST(close AS DOUBLE)) OVER w')} END AS sma
+    FROM numbered n JOIN smooth s ON s.instrument_id = n.instrument_id AND s.rn = n.rn WINDOW w AS (PARTITION BY n.instrument_id ORDER BY n.open_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+)
+def j8_live_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames to closed bars, through the gate, to indicators, as one stream: no hour is missing, but every fifth comes ten days late."""
+    rows = candles(spark, sf)
+    hour = F.expr("interval 1 hour")
+    bounds = rows.agg(F.min("open_time").alias("first"), F.max("open_time").alias("last"))
+    hours = bounds.select("first", F.explode(F.sequence("first", "last", hour)).alias("open_time"))
+    grid = rows.select("instrument_id").distinct().join(hours)
+    known = rows.select("instrument_id", "open_time", *gapgate.FIGURES)
+    dense = grid.join(known, ["instrument_id", "open_time"], "left").na.fill(50, list(gapgate.FIGURES))
+    late = (F.hour("open_time") % 5 == 0) & (F.col("open_time") > F.col("first"))
+    sent = F.when(late, F.col("open_time") + F.expr("interval 10 days")).otherwise(F.col("open_time"))
+    bars = dense.withColumns({"symbol": F.upper("instrument_id"), "interval": F.lit("1h"), "is_closed": F.lit(True), "exchange_ts": F.col("open_time") + hour})
+    frames = landing.frames_of(bars.withColumn("exchange_ts", sent + hour))
+    timed = frames.withColumn("at", F.timestamp_millis(F.get_json_object("value", "$.E").cast("long")))
+
+    def chain(source: DataFrame) -> DataFrame:
+        closed = bar_streams.closed_bars(source.select("value"), received=False).withColumn("instrument_id", F.lower("symbol"))
+        return indicators.stream_indicators(gapgate.released(closed))
+
+    done = collected(timed, "at", "chain", chain)
+    return done.select("instrument_id", "open_time", F.nanvl("ema", F.lit(None).cast("double")).alias("ema"), F.nanvl("sma", F.lit(None).cast("double")).alias("sma"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -14,17 +14,25 @@ from tidemark.sources.store import CANDLE_KEY
 BAR_KEY = ("symbol", "interval", "open_time")
 
 
-def closed_bars(frames: DataFrame, repeats_within: str = "1 hour", received: bool = True) -> DataFrame:
-    """Closed bars of a frame stream with exchange and receive time, each bar once.
+def closed_bars(frames: DataFrame, repeats_within: str | None = None, received: bool = True) -> DataFrame:
+    """Every closed bar of a frame stream, late ones too, with exchange and receive time.
 
-    A bar that is delivered again within ``repeats_within`` of exchange time is dropped; state older
-    than that is forgotten.
+    Bars that are delivered again come again: whoever stores them resolves repeats by key (``stored_once``). With
+    ``repeats_within`` the stream itself drops a bar delivered again within that stretch of exchange time; Spark then
+    also drops bars that come later than that, which only suits feeds that cannot be that late.
     """
-    bars = parse_frames(frames).where("is_closed").withWatermark("exchange_ts", repeats_within)
-    once = bars.dropDuplicatesWithinWatermark(list(BAR_KEY))
+    once = parse_frames(frames).where("is_closed")
+    if repeats_within is not None:
+        once = once.withWatermark("exchange_ts", repeats_within).dropDuplicatesWithinWatermark(list(BAR_KEY))
     return once.withColumn("local_recv_ts", F.current_timestamp()) if received else once
 
 
+def stored_once(stored: DataFrame) -> DataFrame:
+    """What a stream of closed bars has stored, each bar once: the delivery with the latest exchange time."""
+    rest = [c for c in stored.columns if c not in BAR_KEY]
+    return stored.groupBy(*BAR_KEY).agg(F.max_by(F.struct(*rest), "exchange_ts").alias("_w")).select(*BAR_KEY, "_w.*")
+
+
 def latest_open_bars(frames: DataFrame) -> DataFrame:
     """The newest state of the bar still forming, per symbol and interval (update mode)."""
     bars = parse_frames(frames).where(~F.col("is_closed"))
@@ -40,10 +48,14 @@ def ingest(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        sound = quality.retained(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        sound.write.mode("overwrite").parquet(f"{path}/candles/b={batch_id}")
-        events = quality.violations(batch).withColumn("details", F.to_json("details"))
-        events.write.mode("overwrite").parquet(f"{path}/events/b={batch_id}")
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            sound = quality.retained(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            sound.write.mode("overwrite").parquet(f"{path}/candles/b={batch_id}")
+            events = quality.violations(batch).withColumn("details", F.to_json("details"))
+            events.write.mode("overwrite").parquet(f"{path}/events/b={batch_id}")
+        finally:
+            batch.unpersist()
 
     return bars.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
 

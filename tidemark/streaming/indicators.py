@@ -1,7 +1,8 @@
 """Indicators over a bar stream, equal to the batch forms on the same bars.
 
 State per series is the last few bars and six exponential means, whatever the length of the
-stream. Bars must arrive in order between micro-batches (see ``gapgate``); within one they are sorted.
+stream. Bars must arrive in order between micro-batches (see ``gapgate``); within one they are put in order as
+plain arrays, 32 bytes a bar, and walked piece by piece with the state carried along.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUTS = ("sma", "ema", "rsi", "atr", "bb_upper", "bb_middle", "bb_lower", "macd", "macd_signal", "macd_hist", "volatility")
+_PIECE = 1 << 16
 _STATE = T.StructType(
     [
         T.StructField("rows", T.LongType()),
@@ -43,8 +45,21 @@ class IndicatorProcessor(StatefulProcessor):
         self.state = handle.getValueState("indicator", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = pd.concat(list(rows)).sort_values("open_time", kind="stable")
-        seen, high, low, close, means = self.state.get() if self.state.exists() else (0, [], [], [], [None] * 4)
+        parts = [(c["open_time"].to_numpy(), c[["high", "low", "close"]].to_numpy(float)) for c in rows]
+        times, figures = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(times, kind="stable")
+        state = self.state.get() if self.state.exists() else (0, [], [], [], [None] * 4)
+        for at in range(0, len(order), _PIECE):
+            piece = order[at : at + _PIECE]
+            fresh = pd.DataFrame(figures[piece], columns=["high", "low", "close"]).assign(open_time=times[piece])
+            result, state = self._walk(key, fresh, state)
+            yield result
+        self.state.update(state)
+
+    def _walk(self, key, fresh: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        """Bars in order, and what has been carried up to them: their indicators, and what is carried on."""
+        seen, high, low, close, means = state
         prices = {
             "high": np.concatenate([high, fresh["high"].to_numpy(float)]),
             "low": np.concatenate([low, fresh["low"].to_numpy(float)]),
@@ -62,8 +77,8 @@ class IndicatorProcessor(StatefulProcessor):
         out["macd_hist"] = out["macd"] - out["macd_signal"]
         tails = [prices[c][-self.keep :].tolist() if self.keep else [] for c in ("high", "low", "close")]
         ends = [float(x[-1]) for x in (out["ema"], quick, late, out["macd_signal"])]
-        self.state.update((seen + added, *tails, ends))
-        yield pd.DataFrame({"instrument_id": key[0], "interval": key[1], "open_time": fresh["open_time"].to_numpy(), **{n: out[n] for n in OUTPUTS}})
+        shown = pd.DataFrame({"instrument_id": key[0], "interval": key[1], "open_time": fresh["open_time"].to_numpy(), **{n: out[n] for n in OUTPUTS}})
+        return shown, (seen + added, *tails, ends)
 
     def _rolling(self, prices: dict[str, np.ndarray], whole: bool) -> dict[str, np.ndarray]:
         """Rolling figures over kept and new bars; ``whole`` when no earlier bar was let go."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,66 @@ def stale_symbols(messages: DataFrame, threshold_seconds: float = 60.0, check_se
     )
 
 
+_SINCE = T.StructType([T.StructField(c, T.LongType()) for c in ("since_us", "told")])
+_TICKS = 50_000
+
+
+class EventStalenessProcessor(StatefulProcessor):
+    """The same watchdog on event time: checks happen every ``check`` after a message, as far as event time has got.
+
+    Between two messages of a symbol the checks are known at once; after its last one a timer tells when the
+    watermark, moved on by other symbols, has passed the next check.
+    """
+
+    def __init__(self, threshold_us: int, check_us: int) -> None:
+        self.check_us, self.first = check_us, threshold_us // check_us + 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _SINCE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = np.sort(np.concatenate([c["at_us"].to_numpy(np.int64) for c in rows]))
+        since, told = self.last.get() if self.last.exists() else (int(times[0]), self.first - 1)
+        for at in times.tolist():
+            yield from self._checks(key, since, told, at)
+            if at >= since:
+                since, told = at, self.first - 1
+        self._remember(since, told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        since, told = self.last.get()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        yield from self._checks(key, since, told, now)
+        self._remember(since, max(told, (now - since) // self.check_us))
+
+    def _checks(self, key, since: int, told: int, until: int) -> Iterator[pd.DataFrame]:
+        """Events of the checks after number ``told`` up to ``until``, in frames of bounded size."""
+        last = (until - since) // self.check_us
+        for low in range(told + 1, last + 1, _TICKS):
+            n = np.arange(low, min(low + _TICKS, last + 1))
+            at = pd.to_datetime(since + n * self.check_us, unit="us")
+            yield pd.DataFrame({"symbol": key[0], "idle_seconds": n * (self.check_us / 1e6), "detected_at": at})
+
+    def _remember(self, since: int, told: int) -> None:
+        self.last.update((int(since), int(told)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((since + (told + 1) * self.check_us) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def event_staleness(messages: DataFrame, threshold_seconds: int = 60, check_seconds: int = 1, late: str = "0 seconds") -> DataFrame:
+    """Staleness events of a stream (symbol, at) on its own time; ``late`` is how much messages may be out of order."""
+    processor = EventStalenessProcessor(threshold_seconds * 1_000_000, check_seconds * 1_000_000)
+    timed = messages.select("symbol", "at", F.unix_micros("at").alias("at_us")).withWatermark("at", late)
+    return timed.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=STALE, outputMode="Append", timeMode="EventTime"
+    )
+
+
 _ARRIVALS = Series(("symbol",), ("at",), width=86_400)
 
 
@@ -88,13 +149,13 @@ class SequenceProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", _SEQ)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = pd.concat(list(rows)).sort_values("arrival", kind="stable")["seq"].astype("int64")
-        before = fresh.shift()
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        self.last.update((int(fresh.iloc[-1]),))
-        jumped = before.notna() & (fresh != before + 1)
-        yield pd.DataFrame({"stream": key[0], "previous_sequence": before[jumped].astype("int64"), "received_sequence": fresh[jumped]})
+        parts = [(c["arrival"].to_numpy(np.int64), c["seq"].to_numpy(np.int64)) for c in rows]
+        arrival, seq = (np.concatenate(x) for x in zip(*parts, strict=True))
+        seq = seq[np.argsort(arrival, kind="stable")]
+        before = np.concatenate([self.last.get() if self.last.exists() else (seq[0] - 1,), seq[:-1]])
+        self.last.update((int(seq[-1]),))
+        jumped = seq != before + 1
+        yield pd.DataFrame({"stream": key[0], "previous_sequence": before[jumped], "received_sequence": seq[jumped]})
 
     def close(self) -> None:
         pass
