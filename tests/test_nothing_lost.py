@@ -1,5 +1,6 @@
 """Repeated, late, missing and empty inputs: nothing may vanish, nothing may be counted twice."""
 
+import shutil
 from datetime import timedelta
 from decimal import Decimal
 
@@ -7,10 +8,11 @@ import pytest
 from helpers import START, bars, column, fill_rows
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, indicators, metrics
+from tidemark.operators import asof, indicators, metrics, registry, versioning
 from tidemark.plans import jobs
 from tidemark.session import scratch
 from tidemark.sources import archive, store
+from tidemark.sources.candles import load_version, registered_version
 
 
 def _hot(spark, n=40):
@@ -135,3 +137,31 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(Session(), "x")
+
+
+def test_half_written_log_batch_does_not_count_twice(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    none = F.lit(None).cast("string")
+    runs = spark.createDataFrame([("a", "s"), ("b", "s")], "run_id string, strategy_id string").withColumns(
+        {c: none for c in ("code_hash", "params", "dataset_version_id", "git_sha", "operator")} | {"seed": F.lit(1), "started_at": F.lit(START), "finished_at": F.lit(START)}
+    )
+    sheet = runs.select("run_id", *[F.lit(1.0).alias(c) for c in metrics.TEARSHEET if c != "currency"], F.lit("USDT").alias("currency"))
+    registry.log_runs(runs, runs.limit(0), sheet, path)
+    shutil.rmtree(f"{path}/backtest_run")
+    registry.log_runs(runs, runs.limit(0), sheet, path)
+    registry.log_runs(runs, spark.read.parquet(f"{path}/backtest_run"), sheet, path)
+    assert sorted(r["backtest_run_id"] for r in registry.logged_metrics(spark, path).collect()) == ["a", "b"]
+
+
+def test_version_is_of_the_requested_days(spark):
+    have = bars(spark, range(5), times=[START + timedelta(days=i) for i in range(5)])
+    first, last = START.date(), (START + timedelta(days=2)).date()
+    version = versioning.dataset_versions(have, requested=(first, last)).first()
+    assert (version["row_count"], version["date_range_start"], version["date_range_end"]) == (3, first, last)
+    wide = versioning.dataset_versions(have.limit(5).where("arrival < 3"), requested=(first, (START + timedelta(days=9)).date())).first()
+    assert wide["content_hash"] != version["content_hash"]
+    known = versioning.register(versioning.dataset_versions(have).select(F.col("content_hash").alias("dataset_version_id"), "content_hash", "symbol_set", "date_range_start", "date_range_end", F.lit(START).alias("created_at")).limit(0), versioning.dataset_versions(have, requested=(first, last)), START)
+    loaded = load_version(have, spark.createDataFrame([("a", "A")], "id string, symbol string"), registered_version(known, version["content_hash"]), ["1m"])
+    assert loaded.count() == 3
+    with pytest.raises(ValueError, match="not registered"):
+        registered_version(known, "x")

@@ -285,7 +285,7 @@ _BARW = "PARTITION BY instrument_id ORDER BY open_time"
 _EXEC = f"""{WITH_CANDLES}, nxt AS (SELECT *, lag(open_time) OVER ({_BARW}) AS signal_time FROM candles),
  asks AS (SELECT event_id AS order_id, event_type AS instrument_id, date_trunc('hour', ts) AS signal_time, user_id,
    CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CAST(1 + event_id % 40 + CASE WHEN event_id % 11 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(18,8)) AS qty,
-   CAST(CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(18,8)) AS filled, value % 2 < 1 AS is_maker, (event_id * 7) % 3000 AS vol FROM events WHERE value >= 40),
+   CAST(CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(18,8)) AS filled, value % 2 < 1 AS is_maker, (event_id * 7) % 3000 AS vol FROM events),
  j AS (SELECT a.*, n.open_time, n.open, n.volume, qty - filled AS rem FROM asks a JOIN nxt n ON n.instrument_id = a.instrument_id AND n.signal_time = a.signal_time),
  s AS (SELECT *, least(rem, CAST(volume * 0.5 AS DECIMAL(18,8))) AS can, CASE WHEN volume > 0 THEN CAST(rem AS DOUBLE) / CAST(volume AS DOUBLE) ELSE 0 END AS share FROM j),
  p AS (SELECT *, CAST(open + (CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * CAST(0.02 / 2 + share * 0.3 AS DECIMAL(18,8)) AS DECIMAL(18,8)) AS price FROM s),
@@ -295,9 +295,9 @@ _EXEC = f"""{WITH_CANDLES}, nxt AS (SELECT *, lag(open_time) OVER ({_BARW}) AS s
 
 
 def order_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders from events of value 40 and more, joined with the bar they may execute on."""
+    """Every event as an order, joined with the bar they may execute on."""
     i, amount = F.col("event_id"), lambda c: c.cast(MONEY)
-    asks = table(spark, sf, "events").where(F.col("value") >= 40).select(
+    asks = table(spark, sf, "events").select(
         i.alias("order_id"), F.col("event_type").alias("instrument_id"), F.lit("1h").alias("interval"), F.date_trunc("hour", "ts").alias("signal_time"),
         F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"),
         amount(1 + i % 40 + F.when(i % 11 == 0, F.lit(0.5)).otherwise(0.0)).alias("qty"),

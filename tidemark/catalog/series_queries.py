@@ -309,7 +309,7 @@ ALL_EVENTS_SQL = _ALL_EVENTS
 # -- as-of joins and event order ----------------------------------------------------------------
 
 
-_ORDERS_CTE = f"""{WITH_CANDLES}, asks AS (SELECT event_id AS order_id, event_type AS instrument_id, date_trunc('hour', ts) AS signal_time FROM events WHERE value >= 60),
+_ORDERS_CTE = f"""{WITH_CANDLES}, asks AS (SELECT event_id AS order_id, event_type AS instrument_id, date_trunc('hour', ts) AS signal_time FROM events),
  nxt AS (SELECT *, lag(open_time) OVER ({_W}) AS signal_time FROM candles)"""
 
 
@@ -319,7 +319,7 @@ _ORDERS_CTE = f"""{WITH_CANDLES}, asks AS (SELECT event_id AS order_id, event_ty
     JOIN nxt n ON n.instrument_id = a.instrument_id AND n.signal_time = a.signal_time""",
 )
 def c5_next_bar(spark: SparkSession, sf: str) -> DataFrame:
-    asks = table(spark, sf, "events").where(F.col("value") >= 60).select(
+    asks = table(spark, sf, "events").select(
         F.col("event_id").alias("order_id"), F.col("event_type").alias("instrument_id"), F.lit("1h").alias("interval"),
         F.date_trunc("hour", "ts").alias("signal_time"),
     )
@@ -328,14 +328,14 @@ def c5_next_bar(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c6_last_n_bars",
-    f"""{WITH_CANDLES}, asks AS (SELECT event_id AS request_id, event_type AS instrument_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts FROM events WHERE value >= 60),
+    f"""{WITH_CANDLES}, asks AS (SELECT event_id AS request_id, event_type AS instrument_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts FROM events),
     seen AS (SELECT a.request_id, c.open_time, c.close, row_number() OVER (PARTITION BY a.request_id ORDER BY c.open_time DESC) AS bar_rank
       FROM asks a JOIN candles c ON c.instrument_id = a.instrument_id AND c.open_time + INTERVAL 1 HOUR < a.ts)
     SELECT request_id, bar_rank, epoch_us(open_time) AS open_time, {r6('close')} AS close FROM seen WHERE bar_rank <= 3""",
 )
 def c6_last_n_bars(spark: SparkSession, sf: str) -> DataFrame:
     at = F.when(F.col("event_id") % 3 == 0, F.date_trunc("hour", "ts")).otherwise(F.col("ts"))
-    asks = table(spark, sf, "events").where(F.col("value") >= 60).select(
+    asks = table(spark, sf, "events").select(
         F.col("event_id").alias("request_id"), F.col("event_type").alias("instrument_id"), F.lit("1h").alias("interval"), at.alias("ts")
     )
     return asof.last_n_bars(asks, candles(spark, sf), 3).select("request_id", "bar_rank", "open_time", "close")

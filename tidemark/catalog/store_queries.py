@@ -28,7 +28,7 @@ from tidemark.plans import jobs
 from tidemark.schemas import MONEY, money
 from tidemark.session import scratch
 from tidemark.sources import archive, landing, store
-from tidemark.sources.candles import DatasetVersion, load_version
+from tidemark.sources.candles import DatasetVersion, load_version, registered_version
 
 _AT = f"instrument_id, {us('open_time')} AS open_time"
 _NOW = datetime(2024, 1, 25)
@@ -52,6 +52,12 @@ def a1_load_dataset_version(spark: SparkSession, sf: str) -> DataFrame:
     return load_version(stored, known, version, ["1h"]).select("symbol", "instrument_id", "open_time", "close")
 
 
+def _no_versions(versions: DataFrame) -> DataFrame:
+    """A registry nothing is registered in."""
+    columns = ("symbol_set", "date_range_start", "date_range_end")
+    return versions.select(F.col("content_hash").alias("dataset_version_id"), "content_hash", *columns, F.lit(_NOW).alias("created_at")).limit(0)
+
+
 @query(
     "c1_candle_instrument_join",
     f"""{WITH_CANDLES} SELECT upper(instrument_id) AS symbol, count(*) AS bars, {r6('sum(close)')} AS close_sum FROM candles GROUP BY 1""",
@@ -59,7 +65,10 @@ def a1_load_dataset_version(spark: SparkSession, sf: str) -> DataFrame:
 def c1_candle_instrument_join(spark: SparkSession, sf: str) -> DataFrame:
     bars = candles(spark, sf)
     known = bars.select(F.col("instrument_id").alias("id"), F.upper("instrument_id").alias("symbol")).distinct()
-    version = DatasetVersion(("click", "error", "purchase", "signup", "view"), date(2024, 1, 1), date(2024, 12, 31))
+    # The whole table is registered as one version, and loaded by its row in the registry.
+    versions = versioning.dataset_versions(bars)
+    registry_rows = jobs.staged(versioning.register(_no_versions(versions), versions, _NOW), scratch(spark, "versions"))
+    version = registered_version(registry_rows, registry_rows.first()["dataset_version_id"])
     joined = load_version(bars, known, version, ["1h"])
     return joined.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("close").alias("close_sum"))
 
@@ -421,8 +430,7 @@ def h3_register_version(spark: SparkSession, sf: str) -> DataFrame:
     bars = candles(spark, sf).withColumn("_k", F.col("instrument_id"))
     first = versioning.dataset_versions(bars, ["_k"])
     again = versioning.dataset_versions(bars.orderBy(F.col("close").desc()), ["_k"])
-    empty = first.select(F.col("content_hash").alias("dataset_version_id"), "content_hash", "symbol_set", "date_range_start", "date_range_end", F.lit(_NOW).alias("created_at")).limit(0)
-    known = versioning.register(empty, first, _NOW)
+    known = versioning.register(_no_versions(first), first, _NOW)
     everything = known.unionByName(versioning.register(known, again, _NOW))
     return everything.groupBy(F.element_at("symbol_set", 1).alias("instrument_id")).agg(F.count(F.lit(1)).alias("registrations"))
 
@@ -479,7 +487,7 @@ def a13_run_registry(spark: SparkSession, sf: str) -> DataFrame:
     early = runs.where(F.col("run_id") < "d")
     registry.log_runs(early, runs.limit(0), sheet, path)
     registry.log_runs(runs, spark.read.parquet(f"{path}/backtest_run"), sheet, path)
-    logged = spark.read.parquet(f"{path}/backtest_metrics")
+    logged = registry.logged_metrics(spark, path)
     return logged.select(
         "backtest_run_id", "trial_count_at_time_of_run", F.col("volatility").isNull().alias("volatility_is_null"), F.col("total_return").isNotNull().alias("has_return")
     )

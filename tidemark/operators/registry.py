@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.ordered import POSITION, Series, tidy
@@ -29,11 +29,24 @@ def metrics_rows(sheet: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def log_runs(runs: DataFrame, known: DataFrame, sheet: DataFrame, path: str) -> None:
-    """Append run rows and their metrics below ``path``.
+    """Add run rows and their metrics below ``path``, both under one batch id.
 
-    ``known`` are the runs already logged; they count as earlier trials but are not written again.
+    ``known`` are the runs already logged; they count as earlier trials but are not written again. The batch id follows
+    from the runs it holds, and a batch replaces what an attempt at it that failed half-way has left. The run rows
+    are written last: a batch counts once they are there (``logged_metrics``).
     """
     fresh = runs.join(known.select("run_id"), "run_id", "left_anti").select(*RUN_COLUMNS)
     everything = known.select(*RUN_COLUMNS).unionByName(fresh)
-    metrics_rows(sheet.join(fresh.select("run_id"), "run_id", "left_semi"), everything).write.mode("append").parquet(f"{path}/backtest_metrics")
-    fresh.write.mode("append").parquet(f"{path}/backtest_run")
+    count, mark = fresh.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("run_id"))).first()
+    if not count:
+        return
+    batch = f"{count}-{mark & (2**64 - 1):016x}"
+    for rows, table in ((metrics_rows(sheet.join(fresh.select("run_id"), "run_id", "left_semi"), everything), "backtest_metrics"), (fresh, "backtest_run")):
+        written = rows.withColumn("log_batch", F.lit(batch))
+        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_batch").parquet(f"{path}/{table}")
+
+
+def logged_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of batches whose run rows are there."""
+    done = spark.read.parquet(f"{path}/backtest_run").select("log_batch").distinct()
+    return spark.read.parquet(f"{path}/backtest_metrics").join(done, "log_batch", "left_semi").drop("log_batch")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +19,23 @@ def with_row_hash(rows: DataFrame, columns: Sequence[str] = CANDLE_CONTENT) -> D
 
 
 def dataset_versions(
-    rows: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] = CANDLE_CONTENT, time: str = "open_time"
+    rows: DataFrame,
+    keys: Sequence[str] = (),
+    columns: Sequence[str] = CANDLE_CONTENT,
+    time: str = "open_time",
+    requested: tuple[date, date] | None = None,
 ) -> DataFrame:
     """One version per key group: symbols, date range, row count and a content hash over all three.
 
-    Equal rows give equal hashes in any layout or order; any changed, missing or repeated row gives
+    With ``requested`` (first and last day) only rows of these days count and the range is the requested one, also
+    where the data cover less of it; else it is what the data cover. Equal rows give equal hashes in any layout or order; any changed, missing or repeated row gives
     another one.
     """
     first, last = F.min(time).cast("date"), F.max(time).cast("date")
+    if requested is not None:
+        low, high = requested
+        rows = rows.where((F.col(time) >= F.lit(low).cast("timestamp")) & (F.col(time) < F.lit(high + timedelta(days=1)).cast("timestamp")))
+        first, last = F.lit(low), F.lit(high)
     grouped = with_row_hash(rows, columns).groupBy(*keys).agg(
         F.array_sort(F.collect_set("instrument_id")).alias("symbol_set"),
         first.alias("date_range_start"),

@@ -19,6 +19,14 @@ class DatasetVersion:
     date_range_end: date
 
 
+def registered_version(registry: DataFrame, dataset_version_id: str) -> DatasetVersion:
+    """The version a registry row describes. One row comes to the driver, with one name per symbol of the set."""
+    rows = registry.where(F.col("dataset_version_id") == dataset_version_id).select("symbol_set", "date_range_start", "date_range_end").limit(1).collect()
+    if not rows:
+        raise ValueError(f"dataset version {dataset_version_id} is not registered")
+    return DatasetVersion(tuple(rows[0]["symbol_set"]), rows[0]["date_range_start"], rows[0]["date_range_end"])
+
+
 def load_version(
     candles: DataFrame, instruments: DataFrame, version: DatasetVersion, intervals: Sequence[str], closed_only: bool = False
 ) -> DataFrame:
