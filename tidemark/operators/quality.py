@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import is_aligned, step_seconds
 from tidemark.plans.ordered import POSITION, Measure, Series
+from tidemark.session import scratch
 
 EVENT_COLUMNS = ("instrument_id", "interval", "check_name", "severity", "open_time", "details")
 ARRIVALS = Series(("instrument_id", "interval"), ("arrival",), width=1 << 14, segment_rows=None)
@@ -95,9 +96,18 @@ def _event(check: Column | str, details: Column, open_time: Column | str = "open
     ]
 
 
+def walked(bars: DataFrame, series: Series = ARRIVALS) -> DataFrame:
+    """What sequence checks need of bars, with ``prev`` (the row before) and POSITION: one pass that all of them can start from."""
+    if POSITION in bars.columns:
+        return bars
+    needed = dict.fromkeys([*series.keys, "open_time", "close", "volume", *series.order])
+    return series.scan(bars.select(*needed), previous=["open_time"], index=POSITION)
+
+
 def order_violations(bars: DataFrame, series: Series = ARRIVALS) -> DataFrame:
     """Bars that do not come after the one before, or come more than one step after it."""
-    seen = series.previous(bars, ["open_time"]).where(F.col("prev").isNotNull())
+    seen = bars if POSITION in bars.columns else series.previous(bars, ["open_time"])
+    seen = seen.where(F.col("prev").isNotNull())
     delta = F.unix_micros("open_time") - F.unix_micros("prev.open_time")
     step = step_seconds("interval") * 1_000_000
     before = F.col("prev.open_time").cast("string")
@@ -115,28 +125,15 @@ def zero_volume_streaks(bars: DataFrame, threshold: int = 5, series: Series = AR
     It is stamped at the first bar with volume after the run, or at the last bar if there is none.
     """
     keys = list(series.keys)
-    needed = bars.select(*keys, *[c for c in ("open_time", "volume") if c not in series.order], *series.order)
-    placed = series.index(needed)
+    placed = walked(bars, series)
     traded = F.when(F.col("volume") != 0, F.col(POSITION))
-    runs = series.running(placed, {"_traded": Measure("max", traded, inclusive=False)})
-    since = F.col(POSITION) - F.coalesce(F.col("_traded"), F.lit(0)) - 1
-    ended = runs.where(F.col("volume") != 0).select(*keys, "open_time", since.alias("streak"))
-    tail = (
-        runs.groupBy(*keys)
-        .agg(
-            F.max_by(F.struct("open_time"), POSITION).alias("last"),
-            F.max(POSITION).alias("n"),
-            F.coalesce(F.max(traded), F.lit(0)).alias("traded"),
-        )
-        .where(F.col("n") >= 2)
-        .select(*keys, F.col("last.open_time").alias("open_time"), (F.col("n") - F.col("traded")).alias("streak"))
-    )
+    lengths = placed.groupBy(*keys).agg(F.max(POSITION).alias("_last"))
+    runs = series.running(placed, {"_traded": Measure("max", traded, inclusive=False)}).join(lengths, keys)
+    zeros = F.col(POSITION) - F.coalesce(F.col("_traded"), F.lit(0))
+    at_end = (F.col(POSITION) == F.col("_last")) & (F.col("_last") >= 2)
+    streak = F.when(F.col("volume") != 0, zeros - 1).when(at_end, zeros)
     details = F.create_map(F.lit("streak_length"), F.col("streak").cast("string"))
-    return (
-        ended.unionByName(tail)
-        .where(F.col("streak") >= max(threshold, 1))
-        .select(*_event("zero_volume_streak", details))
-    )
+    return runs.withColumn("streak", streak).where(F.col("streak") >= max(threshold, 1)).select(*_event("zero_volume_streak", details))
 
 
 def price_moves(bars: DataFrame, window: int = 20, sigma: float = 10.0, series: Series = ARRIVALS) -> DataFrame:
@@ -153,8 +150,8 @@ def price_moves(bars: DataFrame, window: int = 20, sigma: float = 10.0, series:
         full = F.count("_return").over(past) == window
         return {"_sigma": F.when(full, F.stddev_pop("_return").over(past))}
 
-    needed = bars.select(*keys, *[c for c in ("open_time", "close") if c not in series.order], *series.order)
-    moves = series.rolling(needed, window + 1, returns, baseline)
+    needed = [*keys, *[c for c in ("open_time", "close") if c not in series.order], *series.order, *([POSITION] if POSITION in bars.columns else [])]
+    moves = series.rolling(bars.select(*needed), window + 1, returns, baseline)
     size = F.abs("_return")
     details = F.create_map(
         F.lit("return"), F.col("_return").cast("string"),
@@ -173,11 +170,15 @@ def flagged(
     window: int = 20,
     sigma: float = 10.0,
 ) -> DataFrame:
-    """All sequence events of a batch."""
+    """All sequence events of a batch. The bars are walked once; the checks start from what that has stored."""
+    path = scratch(bars.sparkSession, "walked")
+    seen = walked(bars, series)
+    seen.write.parquet(path)
+    seen = bars.sparkSession.read.schema(seen.schema).parquet(path)
     return (
-        order_violations(bars, series)
-        .unionByName(zero_volume_streaks(bars, streak, series))
-        .unionByName(price_moves(bars, window, sigma, series))
+        order_violations(seen, series)
+        .unionByName(zero_volume_streaks(seen, streak, series))
+        .unionByName(price_moves(seen, window, sigma, series))
     )
 
 

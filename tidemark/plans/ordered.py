@@ -192,10 +192,11 @@ class Series:
 
         Each step receives the ordered window and returns columns to add; later steps see the
         columns of earlier ones. Blocks hold ``block_rows`` positions plus the ``lookback`` rows
-        before them, so the largest task is bounded whatever the length of the series.
+        before them, so the largest task is bounded whatever the length of the series. Rows that carry
+        their POSITION already are not numbered again.
         """
         rows = max(self.block_rows, lookback)
-        placed = self.index(df)
+        placed = df if POSITION in df.columns else self.index(df)
         base = [c for c in placed.columns if c not in (self.seg, POSITION)]
         zero_based = F.col(POSITION) - 1
         home = F.floor(zero_based / F.lit(rows)).cast("long")
