@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from tidemark.plans import jobs
 from tidemark.plans.ordered import Series, tidy
 from tidemark.schemas import MONEY
 from tidemark.session import local_session, scratch
-from tidemark.sources import landing
+from tidemark.sources import archive, landing, store
+from tidemark.streaming.bars import to_table
+from tidemark.streaming.indicators import stream_indicators
 
 
 def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +54,45 @@ def prepare(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "fills": base.redelivered(base.fills(spark, sf_dir)).repartition(8),
         "equity": base.equity(spark, sf_dir).repartition(8),
         "maintenance": maintenance(spark, sf_dir),
+        "asks": requests(spark, sf_dir),
         "frames": frame_texts(spark, sf_dir).repartition(8),
     }
     return {name: jobs.staged(df, scratch(spark, f"bench-{name}")) for name, df in tables.items()}
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event asks for the last bars of its type."""
+    return base.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("event_type").alias("instrument_id"), F.lit("1h").alias("interval"), "ts"
+    )
+
+
+def streamed(bars: DataFrame) -> DataFrame:
+    """J3: all indicators of the long series as one stream, stored and read back."""
+    spark = bars.sparkSession
+    out = scratch(spark, "bench-stream")
+    path = scratch(spark, "bench-source")
+    rows = bars.select("instrument_id", "interval", "open_time", "high", "low", "close")
+    rows.write.parquet(path)
+    stream = stream_indicators(spark.readStream.schema(rows.schema).parquet(path))
+    to_table(stream, out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def archived(bars: DataFrame) -> DataFrame:
+    """The older half of the series archived, verified and trimmed."""
+    extra = {"venue": F.lit("v"), "symbol": F.lit("L"), "trade_count": F.lit(1).cast("long"), "is_closed": F.lit(True), "source": F.lit("bench")}
+    _, trimmed = archive.archive(bars.withColumns(extra), "candle", scratch(bars.sparkSession, "bench-archive"), "b", datetime(2020, 8, 1), 30)
+    return trimmed
+
+
+def upserted(bars: DataFrame) -> DataFrame:
+    """A thousandth of the series written over a stored table of it."""
+    path = scratch(bars.sparkSession, "bench-upsert")
+    store.upsert_in_place(bars.where("arrival % 1000 = 0 and arrival > 500000"), path)
+    return bars.sparkSession.read.parquet(path)
+
+
 def timed_queries(t: dict[str, DataFrame]) -> dict[str, object]:
     bars = t["series"]
     runs = bars.withColumn("run_id", F.lit("r"))
@@ -71,6 +108,10 @@ def timed_queries(t: dict[str, DataFrame]) -> dict[str, object]:
         "g1_all_violations": lambda: quality.violations(bars),
         "e12_gap_runs": lambda: gaps.classify(gaps.gaps(t["quarter"], *GAP_WINDOW()), t["maintenance"]),
         "c5_next_bar": lambda: asof.next_bars(bars),
+        "c6_last_n_bars": lambda: asof.last_n_bars(t["asks"], t["hourly"], 3),
+        "a5_archive": lambda: archived(bars),
+        "a9_upsert": lambda: upserted(bars),
+        "j3_stream_indicators": lambda: streamed(bars),
         "f1_event_order": lambda: asof.event_order(t["hourly"].unionByName(t["quarter"])),
         "i1_position_replay": lambda: accounting.replay(t["fills"]),
         "d8_d12_equity_metrics": lambda: metrics.equity_metrics(t["equity"]),
