@@ -29,6 +29,8 @@ _ENDS_P = _BLOCK - frozenset("option select head html body title".split())
 # An element of the key ends an open one of the values, up to the nearest of the scopes.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol menu dl table select html body div article section main".split())
+_P_SCOPE = _SCOPE | {"li", "td", "th", "dd", "blockquote"}
+_LI_SCOPE = _SCOPE - {"div"}
 _INLINE = frozenset("b i u em strong a span font small big code tt s sub sup".split())
 # Never text of a page: what they hold is no markup or not shown.
 _RAW = r"script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video"
@@ -54,9 +56,9 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    """An open element: its name, the path down to it, and whether it is dropped or main text."""
+    """An open element: its name, a hash of the path down to it, and whether it is dropped or main text."""
 
-    __slots__ = ("dropped", "main", "name", "path")
+    __slots__ = ("above", "dropped", "main", "name", "path")
 
     def __init__(self, name: str, above: Element | None, rest: str):
         attributes = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest else {}
@@ -64,7 +66,8 @@ class Element:
         words = {w.lower() for w in _WORDS.findall(marks)} if marks != " " else set()
         role = attributes.get("role", "").lower()
         self.name = name
-        self.path = f"{above.path if above else ''}/{name}" + (f".{marks.strip()}" if words else "")
+        self.above = above.path if above else 0
+        self.path = _hash(str(self.above), name, marks if words else "")
         unwanted = _COMMENT_WORDS if name in ("article", "main", "body", "html") else _DROPPED_WORDS
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         self.dropped = bool(above and above.dropped) or name in _DROPPED or role in _DROPPED_ROLES or bool(words & unwanted) or hidden
@@ -80,9 +83,10 @@ def blocks(page: str | None) -> Iterator[tuple[str, Element]]:
     what is cut off counts.
     """
     page = page or ""
-    stack: list[Element] = [Element("", None, "")]
+    stack = _Stack([Element("", None, "")])
     parts: list[str] = []
     owner = stack[0]
+    begun = False
 
     def flush() -> Iterator[tuple[str, Element]]:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -91,12 +95,15 @@ def blocks(page: str | None) -> Iterator[tuple[str, Element]]:
             yield text, owner
 
     def add(text: str) -> None:
-        nonlocal owner
-        if text:
-            if not parts or not "".join(parts).strip():
-                owner = stack[-1]
-            if stack[-1].dropped == owner.dropped:
-                parts.append(text)
+        """More text of the block; the element of its first text owns it."""
+        nonlocal owner, begun
+        if not parts:
+            begun = False
+        if not begun:
+            owner = stack[-1]
+            begun = bool(text) and not text.isspace()
+        if text and stack[-1].dropped == owner.dropped:
+            parts.append(text)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -111,31 +118,44 @@ def blocks(page: str | None) -> Iterator[tuple[str, Element]]:
         if name in _BLOCK or (name in _DROPPED and name not in _INLINE):
             yield from flush()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            stack.close({name}, frozenset())
             continue
         if name in _ENDS_P:
-            _close(stack, {"p"}, _SCOPE | {"li", "td", "th", "dd", "blockquote"})
+            stack.close({"p"}, _P_SCOPE)
         if name in _ENDS:
-            _close(stack, _ENDS[name], _SCOPE - ({"div"} if name == "li" else set()))
+            stack.close(_ENDS[name], _LI_SCOPE if name == "li" else _SCOPE)
         element = Element(name, stack[-1], m["rest"])
         if name not in _VOID and not m["rest"].endswith("/"):
             if element.dropped != stack[-1].dropped and name not in _BLOCK:
                 yield from flush()
-            stack.append(element)
+            stack.open(element)
     add(page[at:])
     yield from flush()
 
 
-def _close(stack: list[Element], names: set[str], scopes: frozenset[str] | set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name in names:
-            del stack[i:]
-            return
-        if stack[i].name in scopes:
+class _Stack(list):
+    """Open elements, and how many of each name, so that tags of what is not open cost nothing."""
+
+    def __init__(self, elements: list[Element]):
+        super().__init__(elements)
+        self.names: Counter[str] = Counter()
+
+    def open(self, element: Element) -> None:
+        self.append(element)
+        self.names[element.name] += 1
+
+    def close(self, names: set[str], scopes: frozenset[str]) -> None:
+        """End the innermost element of these names, unless one of the scopes is in between."""
+        if not any(self.names[n] for n in names):
             return
+        for i in range(len(self) - 1, 0, -1):
+            if self[i].name in names:
+                for element in self[i:]:
+                    self.names[element.name] -= 1
+                del self[i:]
+                return
+            if self[i].name in scopes:
+                return
 
 
 def _hash(*parts: str) -> int:
@@ -143,14 +163,11 @@ def _hash(*parts: str) -> int:
 
 
 def page_tokens(page: str | None) -> list[dict]:
-    """Different tokens of a page with their counts: each text block in its place, and each element, by path, that holds text."""
+    """Different tokens of a page with their counts: each text block in its place, and each element, by path, that holds a block."""
     found: Counter[tuple[int, int, bool]] = Counter()
     for text, element in blocks(page):
-        path, inside = element.path, ""
-        found[_hash(path, text), _hash(path), True] += 1
-        for step in path[1:].split("/"):
-            above, inside = inside, f"{inside}/{step}"
-            found[_hash(inside), _hash(above), False] += 1
+        found[_hash(str(element.path), text), element.path, True] += 1
+        found[element.path, element.above, False] += 1
     return [{"token": t, "parent": p, "is_text": k, "n": n} for (t, p, k), n in found.items()]
 
 
@@ -159,8 +176,8 @@ def templates(pages: DataFrame, url: str = "url", html_column: str = "html", min
 
     A token's occurrence vector says how often it occurs on each page of the host; the sums of a hash of page and count stand
     for it, so that equal vectors have equal sums and no page list is ever gathered. Tokens with equal vectors are a class. A class is
-    valid if it has two tokens or more and occurs on ``min_pages`` pages and ``min_share`` of the host's; its tokens
-    join the template if the element they are nested in belongs to a valid class too. All pages count; a task
+    valid if it has two tokens or more and occurs on ``min_pages`` pages and ``min_share`` of the host's (an element is two
+    tokens, its tags); its texts join the template if the element they are nested in belongs to a valid class too. All pages count; a task
     sums up before anything is shuffled, so a host with a third of all pages is summed by all tasks.
     """
 
@@ -175,7 +192,8 @@ def templates(pages: DataFrame, url: str = "url", html_column: str = "html", min
     sums = rows.groupBy("host", "token", "parent", "is_text").agg(F.count(F.lit(1)).alias("pages"), F.sum(low).alias("low"), F.sum(high).alias("high"))
     on_hosts = named.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     often = stored(sums.join(on_hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("of") * min_share)), "tokens")
-    classes = often.groupBy("host", "low", "high").agg(F.count(F.lit(1)).alias("tokens")).where("tokens >= 2")
+    tags = F.when(F.col("is_text"), 1).otherwise(2)
+    classes = often.groupBy("host", "low", "high").agg(F.sum(tags).alias("tokens")).where("tokens >= 2")
     valid = often.join(classes, ["host", "low", "high"]).select("host", "token", "parent", "is_text")
     elements = valid.where("not is_text").select("host", F.col("token").alias("parent")).distinct()
     nested = valid.where("is_text").join(elements, ["host", "parent"], "left_semi")
@@ -189,7 +207,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """
     kept = [(text, e) for text, e in blocks(page) if not e.dropped]
     level = max((e.main for _, e in kept), default=0)
-    return "\n".join(text for text, e in kept if e.main == level and (level == 2 or not template or _hash(e.path, text) not in template))
+    return "\n".join(text for text, e in kept if e.main == level and (level == 2 or not template or _hash(str(e.path), text) not in template))
 
 
 def extracted(pages: DataFrame, url: str = "url", html_column: str = "html", out: str = "text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
