@@ -6,6 +6,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ ROWS = 1024
 DELAY_MS = 40
 BINS = 64
 _FULL = 4096
+_BITS = np.arange(12, dtype=np.int32)
 
 
 def palette() -> bytes:
@@ -27,97 +29,118 @@ def palette() -> bytes:
 # -- LZW ----------------------------------------------------------------------------------------
 
 
-def _widths(first_free: int, count: int) -> np.ndarray:
-    """Bits of the codes after a clear code: one more each time the table has outgrown them, 12 at most."""
-    return np.minimum(np.floor(np.log2(np.maximum(first_free - 1 + np.arange(count), first_free - 2))).astype(np.int64) + 1, 12)
+@cache
+def _first_widths(first_free: int) -> np.ndarray:
+    return np.array([min(12, max(first_free - 2, first_free - 1 + i).bit_length()) for i in range(_FULL)], np.int32)
 
 
-def lzw_codes(data: bytes, size: int = 8) -> tuple[list[int], list[int]]:
+def _widths(first_free: int, count: int, start: int = 0) -> np.ndarray:
+    """Bits of the codes after a clear code, from number ``start`` on: one more each time the table has outgrown them, 12 at most."""
+    known = _first_widths(first_free)[start : start + count]
+    return known if len(known) == count else np.concatenate((known, np.full(count - len(known), 12, np.int32)))
+
+
+def lzw_codes(data: bytes, size: int = 8) -> tuple[np.ndarray, list[int]]:
     """The codes of a stream, and where a clear code stands in it."""
     clear = 1 << size
-    free, table, codes, clears = clear + 2, {}, [clear], [0]
+    free, table, clears = clear + 2, {}, [0]
+    # Codes are kept shifted by a byte, as a longer string is looked up by its beginning's code and one more value.
+    codes = [clear << 8]
     get, emit = table.get, codes.append
-    prefix = -1
-    for value in data:
-        if prefix < 0:
-            prefix = value
+    values = iter(data)
+    begun = next(values, -1) << 8
+    for value in values:
+        known = get(begun | value)
+        if known is not None:
+            begun = known
             continue
-        key = prefix << 8 | value
-        code = get(key)
-        if code is not None:
-            prefix = code
-            continue
-        emit(prefix)
-        prefix = value
+        emit(begun)
         if free < _FULL:
-            table[key] = free
+            table[begun | value] = free << 8
             free += 1
         else:
             clears.append(len(codes))
-            emit(clear)
+            emit(clear << 8)
             table.clear()
             free = clear + 2
-    if prefix >= 0:
-        emit(prefix)
-    emit(clear + 1)
-    return codes, clears
+        begun = value << 8
+    if begun >= 0:
+        emit(begun)
+    emit(clear + 1 << 8)
+    return np.array(codes, np.int32) >> 8, clears
 
 
-def lzw_pack(codes: list[int], clears: list[int], size: int = 8) -> bytes:
+def lzw_pack(codes: np.ndarray, clears: list[int], size: int = 8) -> bytes:
     """Codes as bits, lowest first."""
-    values = np.array(codes, np.int64)
     width = np.empty(len(codes), np.int64)
     width[0] = size + 1
     for start, stop in zip(clears, [*clears[1:], len(codes) - 1], strict=True):
         width[start + 1 : stop + 1] = _widths((1 << size) + 2, stop - start)
-    at = np.cumsum(width) - width
-    bits = np.zeros(int(at[-1] + width[-1]), np.uint8)
-    for b in range(12):
-        has = width > b
-        bits[at[has] + b] = values[has] >> b & 1
+    bits = (codes[:, None] >> _BITS & 1).astype(np.uint8)[width[:, None] > _BITS]
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
     """The values of a code stream, ``most`` of them at most; a broken code raises ValueError."""
-    bits = np.concatenate((np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little"), np.zeros(16, np.uint8)))
+    raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int32)
+    # A code lies within the three bytes from the one it begins in.
+    three = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     total, clear = len(stream) * 8, 1 << size
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    made, at, seen, previous = 0, 0, 0, b""
-    table = base.copy()
+    held: list[np.ndarray] = []
+    made, at, seen = 0, 0, 0
     while made < most and at < total:
-        width = _widths(clear + 2, seen + _FULL)[seen:]
+        width = _widths(clear + 2, _FULL, seen)
         place = at + np.cumsum(width) - width
-        place = place[place + width <= total]
+        place = place[: int(np.searchsorted(place + width, total, "right"))]
         if not len(place):
             break
-        codes = np.zeros(len(place), np.int64)
-        for b in range(12):
-            codes |= np.where(width[: len(place)] > b, bits[np.minimum(place + b, len(bits) - 1)].astype(np.int64) << b, 0)
+        codes = three[place >> 3] >> (place & 7) & (1 << width[: len(place)]) - 1
         marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(marks[0]) if len(marks) else len(codes)
-        for code in codes[:stop].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and previous:
-                entry = previous + previous[:1]
-            else:
-                raise ValueError("a code of a stream is not in its table")
-            out.append(entry)
-            made += len(entry)
-            if previous and len(table) < _FULL:
-                table.append(previous + entry[:1])
-            previous = entry
+        held.append(codes[:stop])
         if not len(marks):
+            # A stream may go on without a clear code when the table is full: its codes still mean the same strings.
             at, seen = int(place[-1] + width[len(place) - 1]), seen + len(codes)
             continue
+        out.append(_strings(np.concatenate(held), clear))
+        made, held = made + len(out[-1]), []
         if codes[stop] == clear + 1:
             break
-        at, seen, previous, table = int(place[stop] + width[stop]), 0, b"", base.copy()
+        at, seen = int(place[stop] + width[stop]), 0
+    if held:
+        out.append(_strings(np.concatenate(held), clear))
     return b"".join(out)[:most]
 
 
+def _strings(codes: np.ndarray, clear: int) -> bytes:
+    """What the codes after a clear code stand for.
+
+    The string that the n-th code adds to the table is its own string and the value after it: it already stands in the output, at
+    the place of the n-th code and one longer. So a code of the table copies from there, and what it copies may be a
+    copy again: sources are followed in doubling steps until all are plain values.
+    """
+    n = len(codes)
+    if not n:
+        return b""
+    number = np.arange(n, dtype=np.int32)
+    copies = codes >= clear + 2
+    source = np.where(copies, codes - clear - 2, number).astype(np.int32)
+    if (source[copies] >= number[copies]).any():
+        raise ValueError("a code of a stream is not in its table")
+    longer, root = copies.astype(np.int32), source
+    while (further := root[root]).tobytes() != root.tobytes():
+        longer, root = longer + longer[root], further
+    length = longer + 1
+    place = (np.cumsum(length) - length).astype(np.int32)
+    code_of = np.repeat(number, length)
+    here = np.arange(len(code_of), dtype=np.int32)
+    from_ = np.where(copies[code_of], place[source[code_of]] + here - place[code_of], here)
+    while (further := from_[from_]).tobytes() != from_.tobytes():
+        from_ = further
+    return codes[code_of[from_]].astype(np.uint8).tobytes()
+
+
 # -- GIF ----------------------------------------------------------------------------------------
 
 
@@ -142,8 +165,8 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int =
 
 
 def _colours(data: bytes) -> np.ndarray:
-    table = np.zeros((256, 3), np.uint8)
-    table[: len(data) // 3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    table = np.full((256, 4), (0, 0, 0, 255), np.uint8)
+    table[: len(data) // 3, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
     return table
 
 
@@ -211,9 +234,11 @@ def _frames(data: bytes) -> Iterator[dict]:
         before = canvas.copy() if disposal == 3 else None
         part = canvas[top : top + h, left : left + w]
         inside = pixels[: part.shape[0], : part.shape[1]]
-        paint = np.ones(inside.shape, bool) if clear_index is None else inside != clear_index
-        part[..., :3][paint] = colours[inside[paint]]
-        part[..., 3][paint] = 255
+        if clear_index is None:
+            part[: inside.shape[0], : inside.shape[1]] = colours[inside]
+        else:
+            paint = inside != clear_index
+            part[paint] = colours[inside[paint]]
         yield {"frame": number, "delay_ms": delay, "width": w, "height": h, "pixels": pixels.tobytes(), "picture": canvas, "screen": (width, height)}
         if disposal == 2:
             part[:] = 0
