@@ -25,7 +25,7 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def documents(spark, rows=None, extra: bool = True):
     df = spark.createDataFrame(ROWS if rows is None else rows, SCHEMA)
     if extra:  # names that operators use themselves
-        for i, name in enumerate(("node", "key", "size", "id", "n", "bits", "root", "mix_size", "item_id")):
+        for i, name in enumerate(("node", "key", "size", "id", "n", "bits", "root", "row", "item_id", "mix_target", "mix_name", "shard_range", "repeats_at")):
             df = df.selectExpr("*", f"{i} AS {name}")
     return df
 

@@ -70,3 +70,15 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
             out = stage(spark, docs, SF)
             assert out.columns[: len(docs.columns)] == docs.columns, name
             assert out.count() <= 2 * docs.count()
+
+
+def test_operators_replace_a_column_of_the_name_they_give(spark):
+    """Names that the operators themselves give to their results."""
+    from tidemark.llm import licences, media
+
+    df = documents(spark).withColumns({c: F.lit("mine") for c in ("found", "languages", "licences", "media", "Copies")})
+    assert dict(decontaminate.find_passages(df, spark.read.parquet(f"{SF}/benchmark.parquet")).dtypes)["found"].startswith("struct")
+    assert dict(language.identify(df, language.Model([], language.np.zeros((language.BUCKETS, 0), "f4"))).dtypes)["languages"].startswith("array")
+    assert dict(licences.scan(df).dtypes)["licences"].startswith("struct") and dict(media.with_media(df).dtypes)["media"] == "binary"
+    for frame in (media.with_media(df), licences.scan(df)):
+        assert frame.columns == df.columns and frame.count() == df.count()

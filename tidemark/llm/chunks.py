@@ -8,6 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import free_name
+
 # A cut wherever the top bits of the gear hash of the last 16 bytes are zero: every 2 ** CUT_BITS bytes on average.
 CUT_BITS = 5
 LEAST, MOST = 12, 256
@@ -89,16 +91,17 @@ def repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_by
 
 def without_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """The rows, each text without its repeated stretches; all columns and all rows stay, also of texts that become empty."""
-    stretches = repeats(df, id_column, text, min_bytes).groupBy(F.col(id_column).alias("repeats_of"))
-    spans = stretches.agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("repeats_at"))
+    of, at = free_name(df, "repeats_of"), free_name(df, "repeats_at")
+    stretches = repeats(df, id_column, text, min_bytes).groupBy(F.col(id_column).alias(of))
+    spans = stretches.agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(at))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([_cut_out(t, s) for t, s in zip(texts, lists, strict=True)], dtype=object)
 
-    joined = df.join(spans, F.col(id_column) == F.col("repeats_of"), "left")
-    kept = F.when(F.col("repeats_at").isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col("repeats_at")))
-    return joined.withColumn(text, kept).drop("repeats_of", "repeats_at")
+    joined = df.join(spans, F.col(id_column) == F.col(of), "left")
+    kept = F.when(F.col(at).isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col(at)))
+    return joined.withColumn(text, kept).drop(of, at)
 
 
 def _cut_out(text: str | None, spans) -> str | None:

@@ -152,13 +152,11 @@ def find_passages(
     with a window in the text, sorted. NULL and wordless texts have no words and no hits; so have items, which
     then match nothing. An item of fewer words than a window is one window, also of a single word. Items with a
     NULL id hit words but have no id to report. Repeated items count once. An empty benchmark hits nothing.
-    ``out`` must not be a column of the input; other columns are carried along untouched.
+    ``out`` replaces a column of that name; other columns are carried along untouched.
 
     A search table that goes along with the tasks holds at most ``table_windows`` windows (or one item); a larger
     benchmark takes one pass over the texts for each such table, whose findings are stored in between.
     """
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input has a column {out!r}")
     df = df.withColumn(out, F.expr("named_struct('n_words', 0L, 'spans', cast(array() as array<bigint>), 'items', cast(array() as array<string>))"))
     for i, table in enumerate(search_tables(benchmark, item_id, item_text, window, table_windows)):
         df = stored(df, "searched") if i else df

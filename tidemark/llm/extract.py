@@ -215,10 +215,8 @@ def extracted(pages: DataFrame, url: str = "url", html_column: str = "html", out
 
     Pages without a host have no template, nor have hosts with fewer than ``min_pages`` pages: there the elements alone decide. Repeated pages
     count as often as they come, in all tokens alike. Templates hold one row per host; Spark broadcasts them only if
-    their stored size allows, else joins by host and splits hot ones. ``out`` must be new; other columns are carried along.
+    their stored size allows, else joins by host and splits hot ones. ``out`` replaces a column of that name; other columns are carried along.
     """
-    if out.lower() in {c.lower() for c in pages.columns}:
-        raise ValueError(f"the input has a column {out!r}")
     name, known, of = free_name(pages, "page_host"), free_name(pages, "page_template"), free_name(pages, "template_host")
     template = stored(templates(pages, url, html_column, min_pages, min_share), "templates").select(F.col("host").alias(of), F.col("tokens").alias(known))
 

@@ -171,10 +171,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", out: str = "langua
     """The rows with an array of (lang, share), largest share first.
 
     NULL texts and texts without a letter have an empty array, and so has every text if the model knows no language. Whole
-    texts count. Rows alike in text get the same; other columns play no part and are carried along; ``out`` must be new.
+    texts count. Rows alike in text get the same; other columns play no part and are carried along; ``out`` replaces a column of that name.
     """
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input has a column {out!r}")
     sent = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probability))
 
     @F.pandas_udf("array<struct<lang: string, share: double>>")

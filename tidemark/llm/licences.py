@@ -126,10 +126,8 @@ def scan(df: DataFrame, text: str = "text", out: str = "licences") -> DataFrame:
 
     ids and rest are identifiers joined by commas, names the licences in the order of their rules, each once. Texts without a
     known sentence, NULL and empty ones have empty strings and no names. Nothing is shuffled; whole texts are
-    looked at, and only those that hold a hint of a licence are cut into sentences. ``out`` must be new.
+    looked at, and only those that hold a hint of a licence are cut into sentences. ``out`` replaces a column of that name.
     """
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input has a column {out!r}")
     ids = F.filter(F.transform(sentences(F.col(text)), sentence_id), lambda i: i.isNotNull())
     joined = F.concat(F.lit(","), F.concat_ws(",", ids), F.when(F.size(ids) > 0, ",").otherwise(""))
     held = F.when(F.col(text).rlike(HINT), joined).otherwise(F.lit(","))

@@ -264,9 +264,7 @@ def padded(text: str | None) -> bytes:
 
 
 def with_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """The rows with their text as a GIF. NULL counts as empty, which is one row of 64 zeros. ``out`` must be new."""
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input has a column {out!r}")
+    """The rows with their text as a GIF. NULL counts as empty, which is one row of 64 zeros. ``out`` replaces a column of that name."""
 
     @F.pandas_udf("binary")
     def media(texts: pd.Series) -> pd.Series:

@@ -98,7 +98,11 @@ def copies(
 def planned(
     sized: DataFrame, weights: list[float], source: str = "source", size: str = "size", id_column: str = "doc_id", share: float = 1.5, most: float = 2.0
 ) -> DataFrame:
-    """The rows with ``mix_source_size``, ``mix_target`` (of their source) and ``mix_copies``: see ``mixed``."""
+    """The rows with ``mix_source_size``, ``mix_target`` (of their source) and ``mix_copies``: see ``mixed``.
+
+    They replace columns of these names.
+    """
+    sized = sized.drop("mix_source_size", "mix_target", "mix_copies", "mix_name")
     expected = free_name(sized, "mix_expected")
     per = stored(source_targets(sized, source, size, weights, share, most), "targets")
     per = per.select(F.col("source").alias("mix_name"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
@@ -114,7 +118,8 @@ def mixed(df: DataFrame, weights: list[float], source: str = "source", text: str
     source size times, so no row comes more than ``most`` times if that is whole. Rows of sources without words are
     not taken. An empty table gives no rows.
     """
-    size = free_name(df, "mix_size")
-    plan = planned(df.withColumn(size, word_count(F.col(text))), weights, source, size, id_column, share, most)
-    again = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return plan.where("mix_copies > 0").withColumn("mix_again", again).select(*[F.col(f"`{n}`") for n in df.columns])
+    # The row travels as one column, so that none of its names can clash with those used here.
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    rows = df.select(row, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(id_column).alias("doc_id"))
+    plan = planned(rows, weights, share=share, most=most).where("mix_copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("row.*")

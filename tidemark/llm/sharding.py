@@ -64,10 +64,10 @@ def sharded(
 
     Sizes: a column of positive numbers, by default the text's bytes plus one; NULL and negative count 0. NULL texts
     have a key of their own, NULL ids come first, rows alike in key and id may swap places (so repeated rows
-    cannot be told apart). An empty table gives no rows. All columns are carried along; ``shard`` and ``slot`` must be new.
+    cannot be told apart). An empty table gives no rows. All columns are carried along; ``shard`` and ``slot`` replace
+    columns of these names.
     """
-    if clash := {"shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"the input has columns {sorted(clash)}")
+    df = df.drop("shard", "slot")
     k, t, s, rng, upto, place, start, first, low, count = (free_name(df, f"shard_{n}") for n in ("key", "tie", "size", "range", "upto", "place", "start", "first", "low", "count"))
     keyed = df.withColumns(
         {

@@ -74,10 +74,8 @@ def judged(captures: DataFrame, entries: DataFrame, allow: str = "allow", url: s
     The longest active pattern decides; on the list ``allow`` it lets the capture pass, also against others of its length;
     on any other it blocks. lists: all lists with an active entry, sorted and joined by commas. Nothing active:
     not blocked, pattern NULL, lists empty; the same for NULL, hostless or undated URLs. Repeated captures stay repeated and
-    get the same. ``out`` must be new; other columns are carried along.
+    get the same. ``out`` replaces a column of that name; other columns are carried along.
     """
-    if out.lower() in {c.lower() for c in captures.columns}:
-        raise ValueError(f"the input has a column {out!r}")
     found = matches(captures, validity(entries, **columns), url, day)
     rank = F.struct(F.length("pattern"), (F.col("list") == allow).cast("int"), F.col("pattern"))
     verdicts = found.groupBy("url", "day").agg(
