@@ -81,6 +81,40 @@ def test_links_are_complete_with_and_without_large_buckets(spark, bucket, distan
     assert [root.get(s, s) for s in signed] == want
 
 
+@pytest.mark.parametrize("first", [1, 4])
+def test_wide_components_are_those_of_all_pairs_that_meet(spark, first):
+    """Several lanes: every pair that shares a key and is near enough ends up connected, and nothing else."""
+    draw = random.Random(first)
+    masks = simhash.spread(2, 8, 10)
+    middle = [[draw.getrandbits(64) for _ in range(2)] for _ in range(6)]
+    prints = {tuple(x) for x in middle}
+    while len(prints) < 400:
+        x = list(draw.choice(middle)) if draw.random() < 0.8 else [draw.getrandbits(64) for _ in range(2)]
+        for _ in range(draw.randint(0, 14)):
+            x[draw.randrange(2)] ^= 1 << draw.randrange(64)
+        prints.add(tuple(x))
+    prints = sorted(prints)
+    signed = [[v - (1 << 64) if v >> 63 else v for v in x] for x in prints]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "node long, bits array<long>")
+    got = {r["node"]: r["root"] for r in simhash.wide_roots(df, masks, 12, 2, first).collect()}
+    parent = list(range(len(prints)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(prints):
+        for j in range(i):
+            y = prints[j]
+            meets = any(all(a & m == b & m for a, b, m in zip(x, y, mask, strict=True)) for mask in masks)
+            if meets and sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= 12:
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    assert [got.get(i, i) for i in range(len(prints))] == [find(i) for i in range(len(prints))]
+    assert 6 < len({find(i) for i in range(len(prints))}) < len(prints) - 50
+
+
 def test_empty_table(spark):
     assert simhash.groups(documents(spark, []), distance=2).count() == 0
     assert simhash.one_of_each(documents(spark, [])).count() == 0

@@ -112,6 +112,18 @@ def c7_fee_tier(spark: SparkSession, sf: str) -> DataFrame:
     return _with_volume(spark, sf).select("fill_id", volume.alias("volume"), SCHEDULE.threshold(volume).alias("threshold"))
 
 
+@query(
+    "c7_tier_expiry",
+    f"""{_FILLS}, vol AS (SELECT *, coalesce(CAST(sum(CAST(qty AS DECIMAL(19,8)) * price) OVER (PARTITION BY run_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS DOUBLE), 0) AS volume FROM fills)
+    SELECT fill_id, {r6('volume')} AS volume, CASE WHEN volume >= 2000 THEN 2000::DOUBLE WHEN volume >= 500 THEN 500::DOUBLE ELSE 0::DOUBLE END AS threshold FROM vol""",
+)
+def c7_tier_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Volume that leaves the window again: seven days of thirty."""
+    volume = F.col("thirty_day_volume")
+    seen = accounting.trailing_volume(fills(spark, sf).drop("fee"), ["run_id"], days=7)
+    return seen.select("fill_id", volume.alias("volume"), SCHEDULE.threshold(volume).alias("threshold"))
+
+
 @query("i3_fill_fees", f"{_VOLUME} SELECT fill_id, {r6('CAST(qty AS DOUBLE) * CAST(price AS DOUBLE) * (' + rate_sql('volume', 'is_maker') + ')')} AS fee FROM vol")
 def i3_fill_fees(spark: SparkSession, sf: str) -> DataFrame:
     return accounting.fill_fees(_with_volume(spark, sf), SCHEDULE).select("fill_id", "fee")
@@ -468,3 +480,22 @@ def d15_tearsheet_json(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_PLAIN_FILLS = _RUNS[_RUNS.index(" fills AS (") :]
+_TIERED_FILLS = f""" orders AS (SELECT run_id, pt, open_time, ps AS side, open, volume, least(CAST(1 AS DECIMAL(18,8)), CAST(volume * 0.5 AS DECIMAL(18,8))) AS can,
+   CASE WHEN volume > 0 THEN 1.0 / CAST(volume AS DOUBLE) ELSE 0 END AS share FROM nextbar WHERE ps IS NOT NULL AND NOT pw),
+ priced AS (SELECT *, CAST(open + (CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * CAST(0.02 / 2 + share * 0.3 AS DECIMAL(18,8)) AS DECIMAL(18,8)) AS price FROM orders WHERE can > 0),
+ traded AS (SELECT *, sum(CAST(can AS DOUBLE) * CAST(price AS DOUBLE)) OVER (PARTITION BY run_id ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM priced WHERE CAST(can AS DECIMAL(19,8)) * price >= 20),
+ fills AS (SELECT run_id, epoch_us(pt) AS fill_id, open_time AS ts, side, can AS qty, price,
+   CAST(can AS DOUBLE) * CAST(price AS DOUBLE) * ({rate_sql('coalesce(before, 0)', 'false')}) AS fee, CAST(abs(price - open) AS DOUBLE) * CAST(can AS DOUBLE) AS slip FROM traded)"""
+
+
+@query(
+    "k4_tiered_slippage",
+    f"""{_SHEET.replace(_PLAIN_FILLS, _TIERED_FILLS)} SELECT sheet.run_id, {r6('total_return')} AS total_return, {r6('fees')} AS total_fees, {r6('pct')} AS fees_pct_of_gross, {r6('ex')} AS expectancy,
+    {r6('slippage')} AS slippage FROM sheet JOIN (SELECT run_id, sum(slip) AS slippage FROM fills GROUP BY 1) s ON s.run_id = sheet.run_id""",
+)
+def k4_tiered_slippage(spark: SparkSession, sf: str) -> DataFrame:
+    """The same runs with fee tiers, slippage, half of a bar's volume at most and a least notional."""
+    how = jobs.Execution(SCHEDULE, max_volume_fraction=Decimal("0.5"), spread=0.02, volatility=0.3, min_notional=Decimal(20))
+    sheet = jobs.backtest(run_bars(spark, sf), _RULE, 5, how=how)["tearsheet"]
+    return sheet.where("problem is null").select("run_id", "total_return", "total_fees", "fees_pct_of_gross", "expectancy", "slippage")

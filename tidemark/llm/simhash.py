@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -103,11 +104,21 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keys(bits: Column, masks: list[list[int]]) -> Column:
-    """One number per key; equal masked bits give equal numbers (the rest is verified anyway)."""
-    return F.array(
-        *[F.xxhash64(F.lit(i), *[bits[k].bitwiseAND(F.lit(_signed(m)).cast("long")) for k, m in enumerate(mask) if m]) for i, mask in enumerate(masks)]
-    )
+def _keys(bits: Column, masks: list[list[int]], start: int = 0) -> Column:
+    """One number per key; equal masked bits give equal numbers (the rest is verified anyway).
+
+    Keys of few bits are hashed to 32, which with the key's number makes a number that packs well.
+    """
+
+    few = all(sum(m.bit_count() for m in mask) <= 28 for mask in masks)
+    table = json.dumps([{"i": i, "m": [_signed(m) for m in mask]} for i, mask in enumerate(masks, start)])
+
+    def key(row: Column) -> Column:
+        hashed = F.xxhash64(row["i"], *[bits[k].bitwiseAND(row["m"][k]) for k in range(len(masks[0]))])
+        return F.shiftleft(row["i"], 32).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 32) - 1))) if few else hashed
+
+    # The masks are a constant array that is walked: spelled out, a hundred keys would be too much code for one method.
+    return F.transform(F.from_json(F.lit(table), "array<struct<i: bigint, m: array<bigint>>>"), key)
 
 
 def _apart(a: Column, b: Column, lanes: int) -> Column:
@@ -137,7 +148,31 @@ def links(prints: DataFrame, masks: list[list[int]], distance: int, lanes: int =
     found = stored(found, "pairs")
     if distance == 2 and lanes == 1:
         return found.union(_one_bit_stars(large.select("node", "bits").distinct()))
-    return found.union(_outsiders(found, large, distance, lanes))
+    led, crossing, _ = _outsiders(found, large, distance, lanes)
+    return found.union(led).union(crossing)
+
+
+def wide_roots(prints: DataFrame, masks: list[list[int]], distance: int, lanes: int, first: int = 16) -> DataFrame:
+    """(node, root): components of all links between fingerprints that share a key and differ in ``distance`` bits or fewer.
+
+    Pairs are never formed within what is connected already. The ``first`` keys connect large groups; of the other keys
+    only buckets that hold several components are looked at. In a bucket each member is compared with the smallest, and
+    those it leaves outside with all members of other components: nothing that meets in a key is left uncompared, and
+    rows stay in proportion to fingerprints times keys.
+    """
+    edges, roots = None, None
+    for start, stop in ((0, first), (first, len(masks))):
+        known = prints if roots is None else prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        component = "node" if roots is None else "root"
+        rows = known.select("node", F.col(component).alias("part"), F.explode(_keys(F.col("bits"), masks[start:stop], start)).alias("key"))
+        busy = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("leader")).where("low < high")
+        members = stored(rows.join(busy.select("key", "leader"), "key").join(prints, "node").select("key", "node", "bits", "leader"), "buckets")
+        led, crossing, roots = _outsiders(edges, members, distance, lanes)
+        crossing = stored(crossing, "crossing")
+        edges = stored(led.union(crossing) if edges is None else edges.union(led).union(crossing), "edges")
+        if not crossing.isEmpty():
+            roots = stored(components(edges, "a", "b"), "roots")
+    return roots
 
 
 def _one_bit_stars(prints: DataFrame) -> DataFrame:
@@ -148,12 +183,12 @@ def _one_bit_stars(prints: DataFrame) -> DataFrame:
     return rows.join(least, "value").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _outsiders(found: DataFrame, large: DataFrame, distance: int, lanes: int) -> DataFrame:
-    """Links of large buckets: to the leader, then between those whom that leaves in different components."""
+def _outsiders(found: DataFrame | None, large: DataFrame, distance: int, lanes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of buckets to their leader, links between those whom that leaves in different components, and these components."""
     leaders = large.where("node = leader").select("key", F.col("bits").alias("leader_bits"))
     led = large.join(leaders, "key").where(_apart(F.col("bits"), F.col("leader_bits"), lanes) <= distance)
     led = stored(led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    roots = stored(components(found.union(led), "a", "b"), "roots")
+    roots = stored(components(led if found is None else found.union(led), "a", "b"), "roots")
     root = F.coalesce("root", "node")
     named = large.join(roots, "node", "left").withColumn("root", root)
     heads = named.where("node = leader").select("key", F.col("root").alias("head"))
@@ -167,7 +202,7 @@ def _outsiders(found: DataFrame, large: DataFrame, distance: int, lanes: int) ->
         & (_apart(F.col("bits"), F.col("bits_b"), lanes) <= distance)
     )
     crossing = out.join(rest, meets).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    return led.union(crossing)
+    return led, crossing, roots
 
 
 def groups(
@@ -192,8 +227,10 @@ def groups(
     node = F.col("bits")[0] if lanes == 1 else F.xxhash64("bits")
     seen = stored(seen.select("id", "bits", node.alias("node")), "fingerprints")
     prints = stored(seen.groupBy("node").agg(F.min("id").alias("least"), F.first("bits").alias("bits")), "prints")
-    found = links(prints.select("node", "bits"), masks, distance, lanes, bucket)
-    roots = components(found, "a", "b")
+    if lanes == 1:
+        roots = components(links(prints.select("node", "bits"), masks, distance, lanes, bucket), "a", "b")
+    else:
+        roots = wide_roots(prints.select("node", "bits"), masks, distance, lanes)
     rooted = prints.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     linked = rooted.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("least").alias("linked"))
     named = rooted.join(linked, "root", "left").select("node", F.coalesce("linked", "least").alias("component_id"))
@@ -201,7 +238,9 @@ def groups(
 
 
 # What the corpus stage uses: five words, four lanes, and a radius that stands for a similarity of 0.8.
-WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 80, 22
+# Keys of b bits let n fingerprints meet n * n / 2 ** b times by chance: b should grow with the corpus, and with b the
+# number of keys that keep the chance to meet.
+WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 160, 26
 
 
 def wide_radius(similarity: float, lanes: int = WIDE_LANES) -> int:
@@ -216,9 +255,9 @@ def wide_radius(similarity: float, lanes: int = WIDE_LANES) -> int:
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The input without near copies: of each group of linked texts the row with the smallest id stays.
 
-    Copies are found by 256-bit fingerprints over five-word shingles that meet in one of 80 keys of 22 bits
-    and differ in no more bits than ``wide_radius`` allows for the given similarity (the chance to meet is 0.88
-    at a similarity of 0.8, 0.98 at 0.85, and 1 from 0.9). Groups are the components
+    Copies are found by 256-bit fingerprints over five-word shingles that meet in one of 160 keys of 26 bits
+    and differ in no more bits than ``wide_radius`` allows for the given similarity (the chance to meet is 0.89
+    at a similarity of 0.8, 0.99 at 0.85, and 1 from 0.9). Groups are the components
     of these links. Texts without words are no copies of each other and all stay. NULL ids: such a row stays
     only if its group has no id. Of rows that repeat the kept id, one stays. All columns are returned as they were.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 from decimal import Decimal
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import is_closed, plus_seconds, step_seconds
-from tidemark.operators import accounting, gaps, metrics, quality
+from tidemark.functions.money import FeeSchedule, SlippageModel, half_spread_plus_impact
+from tidemark.operators import accounting, execution, gaps, metrics, quality
 from tidemark.plans.ordered import Series, tidy
 from tidemark.schemas import MONEY
 from tidemark.session import scratch
@@ -125,6 +127,61 @@ def market_fills(signalled: DataFrame, qty: Decimal, fee_rate: Decimal, currency
     )
 
 
+@dataclass(frozen=True)
+class Execution:
+    """How orders meet the next bar: fee tiers by the run's own 30-day volume, slippage, and what a bar allows."""
+
+    schedule: FeeSchedule
+    slippage: SlippageModel = half_spread_plus_impact
+    max_volume_fraction: Decimal = Decimal(1)
+    spread: float = 0.0
+    volatility: float = 0.0
+    lot_size: Decimal = Decimal("0.00000001")
+    min_notional: Decimal = Decimal(0)
+    available_balance: Decimal = Decimal("9999999999")
+
+
+def executed_fills(signalled: DataFrame, qty: Decimal, currency: str, how: Execution, series: Series = RUN_BARS) -> DataFrame:
+    """Signals outside warm-up as orders on the next bar: what fills, at which slipped price, at the fee of the tier reached.
+
+    ``slippage`` is what the price lost against the open. What a bar does not fill lapses with it.
+    """
+    seen = tidy(series.previous(signalled, ["signal", "in_warmup", "open_time"]))
+    made = seen.where(F.col("prev.signal").isNotNull() & ~F.col("prev.in_warmup"))
+    money = lambda v: F.lit(v).cast(MONEY)
+    orders = made.select(
+        "run_id",
+        F.unix_micros("prev.open_time").alias("fill_id"),
+        F.col("prev.signal").alias("side"),
+        money(qty).alias("qty"),
+        money(0).alias("filled_qty"),
+        money(how.lot_size).alias("lot_size"),
+        money(how.min_notional).alias("min_notional"),
+        F.lit(how.spread).alias("spread"),
+        F.lit(how.volatility).alias("volatility"),
+        money(how.available_balance).alias("available_balance"),
+        F.lit(currency).alias("balance_currency"),
+        F.lit(currency).alias("quote_currency"),
+        F.lit(False).alias("is_maker"),
+        F.lit(0).alias("thirty_day_volume"),
+        F.struct("open_time", "open", "volume").alias("bar"),
+    )
+    done = execution.evaluate_orders(orders, how.schedule, how.slippage, how.max_volume_fraction).where(F.col("fill_qty").isNotNull())
+    fills = done.select(
+        "run_id",
+        "fill_id",
+        F.col("fill_ts").alias("ts"),
+        "side",
+        F.col("fill_qty").cast(MONEY).alias("qty"),
+        F.col("fill_price").cast(MONEY).alias("price"),
+        "is_maker",
+        F.lit(currency).alias("currency"),
+        (F.abs(F.col("fill_price") - F.col("bar.open")) * F.col("fill_qty")).cast("double").alias("slippage"),
+    )
+    fees = accounting.fill_fees(accounting.trailing_volume(fills, ["run_id"]), how.schedule)
+    return fees.withColumn("fee", F.col("fee").cast(MONEY))
+
+
 def backtest(
     bars: DataFrame,
     rule: SignalRule,
@@ -135,15 +192,21 @@ def backtest(
     starting_cash: float = 100_000.0,
     periods_per_year: int = 252,
     workdir: str | None = None,
+    how: Execution | None = None,
 ) -> dict[str, DataFrame]:
     """Every run of ``bars`` (keyed by run_id) at once: signals, counters, fills, positions, equity, tearsheet.
 
+    Without ``how`` orders fill whole at the next open at one ``fee_rate``; with it by ``executed_fills``, and the
+    tearsheet has the slippage of each run.
+
     Fills, positions and equity are tables of their own below ``workdir`` (by default a fresh folder in the
     shared scratch space): each is read several times.
     """
     workdir = workdir or scratch(bars.sparkSession, "backtest")
     signalled = signals(bars, rule, warmup)
-    fills = staged(market_fills(signalled, qty, fee_rate, currency), f"{workdir}/fills")
+    made = market_fills(signalled, qty, fee_rate, currency) if how is None else executed_fills(signalled, qty, currency, how)
+    fills = staged(made, f"{workdir}/fills")
+    slippage = None if how is None else fills.groupBy("run_id").agg(F.sum("slippage").alias("slippage"))
     positions = staged(accounting.replay(fills), f"{workdir}/positions")
     equity = staged(accounting.equity_curve(bars, positions, starting_cash), f"{workdir}/equity")
     return {
@@ -152,5 +215,5 @@ def backtest(
         "fills": fills,
         "positions": positions,
         "equity": equity,
-        "tearsheet": metrics.tearsheet(equity, fills, periods_per_year=periods_per_year, positions=positions),
+        "tearsheet": metrics.tearsheet(equity, fills, periods_per_year=periods_per_year, positions=positions, slippage=slippage),
     }
