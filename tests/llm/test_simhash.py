@@ -81,10 +81,10 @@ def test_links_are_complete_with_and_without_large_buckets(spark, bucket, distan
     assert [root.get(s, s) for s in signed] == want
 
 
-@pytest.mark.parametrize("first", [1, 4])
-def test_wide_components_are_those_of_all_pairs_that_meet(spark, first):
+@pytest.mark.parametrize("steps", [(1,), (2, 5), ()])
+def test_wide_components_are_those_of_all_pairs_that_meet(spark, steps):
     """Several lanes: every pair that shares a key and is near enough ends up connected, and nothing else."""
-    draw = random.Random(first)
+    draw = random.Random(len(steps))
     masks = simhash.spread(2, 8, 10)
     middle = [[draw.getrandbits(64) for _ in range(2)] for _ in range(6)]
     prints = {tuple(x) for x in middle}
@@ -96,7 +96,7 @@ def test_wide_components_are_those_of_all_pairs_that_meet(spark, first):
     prints = sorted(prints)
     signed = [[v - (1 << 64) if v >> 63 else v for v in x] for x in prints]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "node long, bits array<long>")
-    got = {r["node"]: r["root"] for r in simhash.wide_roots(df, masks, 12, 2, first).collect()}
+    got = {r["node"]: r["root"] for r in simhash.wide_roots(df, masks, 12, 2, steps).collect()}
     parent = list(range(len(prints)))
 
     def find(i):

@@ -152,16 +152,17 @@ def links(prints: DataFrame, masks: list[list[int]], distance: int, lanes: int =
     return found.union(led).union(crossing)
 
 
-def wide_roots(prints: DataFrame, masks: list[list[int]], distance: int, lanes: int, first: int = 16) -> DataFrame:
+def wide_roots(prints: DataFrame, masks: list[list[int]], distance: int, lanes: int, steps: tuple[int, ...] = (4, 24)) -> DataFrame:
     """(node, root): components of all links between fingerprints that share a key and differ in ``distance`` bits or fewer.
 
-    Pairs are never formed within what is connected already. The ``first`` keys connect large groups; of the other keys
-    only buckets that hold several components are looked at. In a bucket each member is compared with the smallest, and
+    Pairs are never formed within what is connected already. Keys are taken in turns that end at ``steps`` and at the last
+    key: the first few connect most of a large group; of later keys only buckets that hold several components are looked at. In a bucket each member is compared with the smallest, and
     those it leaves outside with all members of other components: nothing that meets in a key is left uncompared, and
     rows stay in proportion to fingerprints times keys.
     """
     edges, roots = None, None
-    for start, stop in ((0, first), (first, len(masks))):
+    ends = [n for n in steps if n < len(masks)] + [len(masks)]
+    for start, stop in zip([0, *ends], ends, strict=False):
         known = prints if roots is None else prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         component = "node" if roots is None else "root"
         rows = known.select("node", F.col(component).alias("part"), F.explode(_keys(F.col("bits"), masks[start:stop], start)).alias("key"))
