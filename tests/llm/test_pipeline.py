@@ -82,3 +82,25 @@ def test_operators_replace_a_column_of_the_name_they_give(spark):
     assert dict(licences.scan(df).dtypes)["licences"].startswith("struct") and dict(media.with_media(df).dtypes)["media"] == "binary"
     for frame in (media.with_media(df), licences.scan(df)):
         assert frame.columns == df.columns and frame.count() == df.count()
+
+
+def test_near_dedup_is_exact(spark):
+    """What stays is what comparing the shingle sets of all pairs leaves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = sorted(docs.collect())
+    sets = [set(simhash.shingle_set(r["text"], 5).tolist()) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) / len(a | sets[j]) >= corpus_pipeline.SIMILARITY:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    want = [r["doc_id"] for i, r in enumerate(rows) if find(i) == i]
+    assert len(want) < len(rows)
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()) == want

@@ -145,3 +145,31 @@ def test_one_of_each_keeps_clean_documents_and_one_copy(spark):
     assert len(ids) == len(set(ids))
     missed = [g + 1 for g in groups if g + 1 in ids]
     assert len(missed) <= 1
+
+
+def test_one_of_each_is_exact_on_both_sides_of_the_limit(spark):
+    """Isolated pairs just above 0.8 all lose their copy, and pairs just below all keep both."""
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    draw = random.Random(11)
+    rows, kept = [], set()
+    for g in range(240):
+        words = [f"g{g}v{draw.randrange(5000)}" for _ in range(220)]
+        # The end replaced: similarities around 0.8 and above, or from 0.7 to 0.79.
+        end = draw.randint(20, 24) if g % 2 else draw.randint(26, 38)
+        other = words[:-end] + [f"o{g}v{draw.randrange(5000)}" for _ in range(end)]
+        a, b = " ".join(words), " ".join(other)
+        same = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert (0.79 < same < 0.85) if g % 2 else (0.69 < same < 0.8)
+        rows += [(2 * g, a, "en", "a"), (2 * g + 1, b, "en", "a")]
+        kept |= {2 * g} | (set() if same >= 0.8 else {2 * g + 1})
+    # Many copies in one group, and texts that are near only because a line repeats (equal fingerprints, different sets).
+    words = [f"big{i}" for i in range(300)]
+    rows += [(1000 + i, " ".join([*words[:i], f"new{i}", *words[i + 1 :]]), "en", "a") for i in range(150)]
+    line = " ".join(["same"] * 4000)
+    rows += [(2000 + i, f"{line} {' '.join(f'own{i}x{k}' for k in range(30))}", "en", "a") for i in range(2)]
+    got = [r["doc_id"] for r in simhash.one_of_each(documents(spark, rows, extra=False)).collect()]
+    assert sorted(got) == sorted(kept | {1000, 2000, 2001})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -32,12 +33,9 @@ def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, lanes: int = 1) -> list[int]:
-    """64 bits per lane, as signed numbers: a bit is 1 if set in over half of the shingles' hashes.
-
-    Shingles are taken block by block. No words: all zero. Fewer words than a shingle: the words are the shingle.
-    """
-    ones, total, carry = np.zeros(64 * lanes, np.int64), 0, []
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a whole text's shingles, block by block. Fewer words than a shingle: the words are the shingle; no words: none."""
+    carry, some = [], False
     for words in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
         carry += words
         if len(carry) < shingle:
@@ -45,12 +43,22 @@ def fingerprint(text: str | None, shingle: int, lanes: int = 1) -> list[int]:
         for at in range(0, len(carry) - shingle + 1, BLOCK):
             part = carry[at : at + BLOCK + shingle - 1]
             joined = map(b" ".join, zip(*(part[k:] for k in range(shingle))))
-            count = len(part) - shingle + 1
-            ones += _ones(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, count), lanes)
-            total += count
+            yield np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(part) - shingle + 1)
+            some = True
         carry = carry[len(carry) - shingle + 1 :]
-    if not total and carry:
-        ones, total = _ones(np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64), lanes), 1
+    if not some and carry:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int, lanes: int = 1) -> list[int]:
+    """64 bits per lane, as signed numbers: a bit is 1 if set in over half of the shingles' hashes.
+
+    Shingles are taken block by block. No words: all zero. Fewer words than a shingle: the words are the shingle.
+    """
+    ones, total = np.zeros(64 * lanes, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        ones += _ones(hashes, lanes)
+        total += len(hashes)
     bits = np.packbits(ones * 2 > total) if total else np.zeros(8 * lanes, np.uint8)
     return bits.view(">i8").tolist()
 
@@ -238,7 +246,7 @@ def groups(
     return seen.join(named, "node").select(F.col("id").alias(id_column), "bits", hex_digits(F.col("bits"), lanes).alias("fingerprint"), "component_id")
 
 
-# What the corpus stage uses: five words, four lanes, and a radius that stands for a similarity of 0.8.
+# For wide prints: four lanes and a radius that stands for a similarity (the corpus stage counts common shingles instead, see below).
 # Keys of b bits let n fingerprints meet n * n / 2 ** b times by chance: b should grow with the corpus, and with b the
 # number of keys that keep the chance to meet.
 WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 160, 26
@@ -253,19 +261,132 @@ def wide_radius(similarity: float, lanes: int = WIDE_LANES) -> int:
     return int(np.floor(64 * lanes * share + np.sqrt(64 * lanes * share * (1 - share))))
 
 
+# Exact near copies. Keys of the first turn, and least values each is made of; they only save pairs, as every link is verified.
+FIRST_KEYS, FIRST_VALUES = 8, 4
+# Shingles that occur often come last in the order of a prefix: counted in one set of SAMPLE, this many at most.
+SAMPLE, FREQUENT = 16, 1 << 20
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a whole text, as signed numbers."""
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
+
+
+def first_keys(shingles: np.ndarray) -> list[int]:
+    """Keys in which sets meet that have most in common: each a hash of a few least values under mixes of their own."""
+    least = [int(_lane(shingles.view(np.uint64), lane).min()) for lane in range(1, FIRST_KEYS * FIRST_VALUES + 1)]
+    return [hash(tuple(least[i : i + FIRST_VALUES])) for i in range(0, len(least), FIRST_VALUES)]
+
+
+def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one order for all sets (rare ones first): n less the least overlap, plus one.
+
+    Pigeonhole for sets: a partner of this Jaccard similarity has ceil(similarity * n) of the n shingles or more, so two partners
+    cannot miss each other's prefix. The order decides how many others meet, never which partners do.
+    """
+    rank = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, counts[at], 0)
+    least = int(np.ceil(similarity * len(shingles) - 1e-9))
+    return shingles[np.lexsort((shingles, rank))[: len(shingles) - least + 1]]
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, counts) of the most frequent ones of a sample; bounded, as it goes along with the tasks."""
+    sample = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("shingle"))
+    rows = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
+    return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity: counted, not estimated. Only sets that are in a pair are made."""
+    pairs = stored(pairs.distinct(), "pairs")
+    held = sets_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return stored(both.where(common / (F.size("of_a") + F.size("of_b") - common) >= similarity).select("a", "b"), "verified")
+
+
+def near_roots(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, root): components of all pairs of sets (node, shingles) with a Jaccard similarity of ``similarity`` or more.
+
+    Sets meet in keys: first in a few that connect most of a large group, then in all shingles of their prefixes, in which every
+    pair meets that is similar enough. In a bucket that holds several components each member is compared with the smallest, and
+    those it leaves outside with all members of other components, so pairs are never formed within what is connected already. Sets
+    too different in size are not compared; every other comparison counts the common shingles. ``sets`` may repeat; it is read anew
+    for each turn, and ``sets_of`` gives the sets of a table of nodes, each once, so that the sets are never written.
+    """
+    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+
+    @F.pandas_udf("array<bigint>")
+    def first(shingles: pd.Series) -> pd.Series:
+        return pd.Series([first_keys(s) for s in shingles], dtype=object)
+
+    @F.pandas_udf("array<bigint>")
+    def prefixes(shingles: pd.Series) -> pd.Series:
+        return pd.Series([prefix(s, similarity, *frequent.value) for s in shingles], dtype=object)
+
+    def alike(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
+
+    edges, roots = None, None
+    for keys in (first, prefixes):
+        known = sets.withColumn("root", F.col("node")) if roots is None else sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = known.select("node", "root", F.size("shingles").alias("size"), F.explode(keys("shingles")).alias("key"))
+        busy = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("leader")).where("low < high")
+        busy = stored(busy.select("key", "leader"), "busy")
+        members = stored(rows.join(busy, "key").select("key", "node", "size", "leader").distinct(), "buckets")
+        sizes = members.where("node = leader").select("key", F.col("size").alias("leader_size"))
+        led = members.join(sizes, "key").where((F.col("node") != F.col("leader")) & alike("size", "leader_size")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        led = _verified(led, sets_of, similarity)
+        edges = led if edges is None else edges.union(led)
+        roots = stored(components(edges, "a", "b"), "roots")
+        named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        heads = named.where("node = leader").select("key", F.col("root").alias("head"))
+        named = stored(named.join(heads, "key").select("key", "node", "size", "root", "head"), "named")
+        rest = named.toDF("key_b", "node_b", "size_b", "root_b", "head_b")
+        meets = (
+            (F.col("key") == F.col("key_b"))
+            & (F.col("root") != F.col("root_b"))
+            & ((F.col("root_b") == F.col("head_b")) | (F.col("node") < F.col("node_b")))
+            & alike("size", "size_b")
+        )
+        crossing = named.where("root != head").join(rest, meets).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+        crossing = _verified(crossing, sets_of, similarity)
+        if not crossing.isEmpty():
+            edges = edges.union(crossing)
+            roots = stored(components(edges, "a", "b"), "roots")
+    return roots
+
+
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The input without near copies: of each group of linked texts the row with the smallest id stays.
 
-    Copies are found by 256-bit fingerprints over five-word shingles that meet in one of 160 keys of 26 bits
-    and differ in no more bits than ``wide_radius`` allows for the given similarity (the chance to meet is 0.89
-    at a similarity of 0.8, 0.99 at 0.85, and 1 from 0.9). Groups are the components
-    of these links. Texts without words are no copies of each other and all stay. NULL ids: such a row stays
-    only if its group has no id. Of rows that repeat the kept id, one stays. All columns are returned as they were.
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is ``similarity`` or more, all such pairs and
+    no others (shingles are told apart by hashes of 64 bits). Groups are the components of these links. Texts without words are no
+    copies of each other and all stay. NULL ids: such a row stays only if its group has no id. Of rows that repeat the kept id, one
+    stays. All columns are returned as they were.
     """
     row = free_name(df, "row_key")
     keyed = df.withColumn(row, F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(text).alias("content")))
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    parts = groups(keyed.where(worded).select(row, text), row, text, shingle, wide_radius(similarity), WIDE_LANES, spread(WIDE_LANES, WIDE_KEYS, WIDE_BITS))
-    kept = parts.where(F.col(row) == F.col("component_id")).select(row).distinct()
+
+    @F.pandas_udf("array<bigint>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in texts], dtype=object)
+
+    texts = keyed.where(worded).select(F.col(row).alias("row"), F.col(text).alias("text"))
+    made = texts.select("row", sets("text").alias("shingles")).withColumn("node", F.xxhash64("shingles"))
+    least = stored(made.groupBy("node").agg(F.min("row").alias("row")), "least")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = least.join(nodes, "node", "left_semi")
+        return texts.join(wanted, "row").select("node", "text").dropDuplicates(["node"]).select("node", sets("text").alias("shingles"))
+
+    roots = near_roots(made.select("node", "shingles"), sets_of, similarity)
+    rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min("row").alias(row)).select(row)
     stay = keyed.where(worded).join(kept, row, "left_semi").dropDuplicates([row])
     return stay.drop(row).unionByName(keyed.where(~worded).drop(row))
