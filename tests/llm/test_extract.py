@@ -106,3 +106,11 @@ def test_empty_and_query(spark):
         inside = re.search(r"<article>(.*?)(</article>|$)", pages[r["page_id"]], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inside)]
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+def test_template_decides_inside_articles_too(spark):
+    """Lines that a host repeats in its articles, without a telling name, are dropped; an article element that holds nothing else is no slot."""
+    rows = [(i, f"https://a.example/{i}", f"<article><h2>Our site</h2><p>Text {i}.</p><p>Own {i}.</p><p>Read on each day.</p><p>Made by us.</p></article>") for i in range(20)]
+    rows += [(100 + i, f"https://b.example/{i}", f"<article><i>Join us</i></article><div><p>Text {i}.</p></div>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i}.\nOwn {i}." for i in range(20)} | {100 + i: f"Text {i}." for i in range(20)}

@@ -201,13 +201,13 @@ def templates(pages: DataFrame, url: str = "url", html_column: str = "html", min
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The blocks that are left: no dropped element; in article or main if there is one, else in an element named as content, else
+    """The blocks that are left: no dropped element and no block of the host's template; of these slots those in article or main if
 
-    anywhere; outside of article and main no block of the host's template.
+    there is text in one, else in an element named as content, else all.
     """
-    kept = [(text, e) for text, e in blocks(page) if not e.dropped]
+    kept = [(text, e) for text, e in blocks(page) if not e.dropped and not (template and _hash(str(e.path), text) in template)]
     level = max((e.main for _, e in kept), default=0)
-    return "\n".join(text for text, e in kept if e.main == level and (level == 2 or not template or _hash(str(e.path), text) not in template))
+    return "\n".join(text for text, e in kept if e.main == level)
 
 
 def extracted(pages: DataFrame, url: str = "url", html_column: str = "html", out: str = "text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
