@@ -114,3 +114,19 @@ def test_template_decides_inside_articles_too(spark):
     rows += [(100 + i, f"https://b.example/{i}", f"<article><i>Join us</i></article><div><p>Text {i}.</p></div>") for i in range(20)]
     got = {r["page_id"]: r["text"] for r in extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Text {i}.\nOwn {i}." for i in range(20)} | {100 + i: f"Text {i}." for i in range(20)}
+
+
+def test_copies_and_shared_passages_are_no_template(spark):
+    """Pages of plain divs: 8 copies of one article among 20, and a pair of paragraphs in half of the articles."""
+    page = lambda body: f"<body><div>Main menu</div><div>{body}</div><div>All about us</div></body>"
+    rows = [(i, f"https://c.example/{i}", page("<p>Copied one.</p><p>Copied two.</p>") if i < 8 else page(f"<p>Text {i}.</p><p>More {i}.</p>")) for i in range(20)]
+    shared = "<p>Shared one.</p><p>Shared two.</p>"
+    rows += [(100 + i, f"https://d.example/{i}", page(f"<p>Text {i}.</p>{shared if i % 2 else ''}")) for i in range(24)]
+    rows += [(200 + i, f"https://e.example/{i}", page(f"<p>Copy {i % 2}.</p><p>Again {i % 2}.</p>")) for i in range(24)]
+    got = {r["page_id"]: r["text"] for r in extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        # Eight copies are one content.
+        assert got[i] == ("Copied one.\nCopied two." if i < 8 else f"Text {i}.\nMore {i}.")
+    for i in range(24):
+        assert got[100 + i] == f"Text {i}." + ("\nShared one.\nShared two." if i % 2 else "")
+        assert f"Copy {i % 2}.\nAgain {i % 2}." in got[200 + i]

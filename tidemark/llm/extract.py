@@ -18,6 +18,8 @@ from tidemark.llm.urllists import host
 # Tokens form a template class if they share their occurrence vector with another and occur on so many pages, and that share, of a host.
 MIN_PAGES = 8
 MIN_SHARE = 0.25
+# An element whose texts vary is a slot. A text that repeats inside one joins the template only from this share of a host's contents.
+SLOT_SHARE = 0.75
 
 # HTML elements by how they are read.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,39 +166,58 @@ def _hash(*parts: str) -> int:
 
 def page_tokens(page: str | None) -> list[dict]:
     """Different tokens of a page with their counts: each text block in its place, and each element, by path, that holds a block."""
+    return _content_and_tokens(page)[1]
+
+
+def _content_and_tokens(page: str | None) -> tuple[int, list[dict]]:
+    """A hash of the texts that may be main text, which copies of a page share, and the page's tokens."""
     found: Counter[tuple[int, int, bool]] = Counter()
+    content = set()
     for text, element in blocks(page):
-        found[_hash(str(element.path), text), element.path, True] += 1
+        token = _hash(str(element.path), text)
+        found[token, element.path, True] += 1
         found[element.path, element.above, False] += 1
-    return [{"token": t, "parent": p, "is_text": k, "n": n} for (t, p, k), n in found.items()]
+        if not element.dropped:
+            content.add(token)
+    return _hash(*map(str, sorted(content))), [{"token": t, "parent": p, "is_text": k, "n": n} for (t, p, k), n in found.items()]
 
 
 def templates(pages: DataFrame, url: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, tokens): the text tokens of each host's template.
 
     A token's occurrence vector says how often it occurs on each page of the host; the sums of a hash of page and count stand
-    for it, so that equal vectors have equal sums and no page list is ever gathered. Tokens with equal vectors are a class. A class is
+    for it, so that equal vectors have equal sums and no page list is ever gathered. Pages of equal content are one page here, so that
+    an article is not taken for a template because it is copied. Tokens with equal vectors are a class. A class is
     valid if it has two tokens or more and occurs on ``min_pages`` pages and ``min_share`` of the host's (an element is two
-    tokens, its tags); its texts join the template if the element they are nested in belongs to a valid class too. All pages count; a task
+    tokens, its tags); its texts join the template if the element they are nested in belongs to a valid class too. Where an element
+    holds texts that vary (on ``min_pages`` pages or more) it is a slot, and what repeats in it is most likely a passage that articles share:
+    it joins only if it is on ``SLOT_SHARE`` of the host's contents. All pages count; a task
     sums up before anything is shuffled, so a host with a third of all pages is summed by all tasks.
     """
 
-    @F.pandas_udf("array<struct<token: bigint, parent: bigint, is_text: boolean, n: int>>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([page_tokens(t) for t in texts], dtype=object)
+    @F.pandas_udf("struct<content: bigint, tokens: array<struct<token: bigint, parent: bigint, is_text: boolean, n: int>>>")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_content_and_tokens(t) for t in texts], columns=["content", "tokens"])
 
-    named = pages.select(host(F.col(url)).alias("host"), F.xxhash64(url, html_column).alias("page"), F.col(html_column).alias("html")).where("host <> ''")
-    rows = named.select("host", "page", F.inline(tokens(F.col("html"))))
-    vector = F.xxhash64("page", "n")
+    named = pages.select(host(F.col(url)).alias("host"), F.col(html_column).alias("html")).where("host <> ''")
+    read = named.select("host", parsed(F.col("html")).alias("read")).select("host", "read.content", "read.tokens")
+    read = stored(read.withColumn("at", F.monotonically_increasing_id()), "read")
+    firsts = stored(read.groupBy("host", "content").agg(F.min("at").alias("at")), "contents")
+    rows = read.join(firsts.select("at"), "at", "left_semi").select("host", "content", F.inline("tokens"))
+    vector = F.xxhash64("content", "n")
     low, high = vector.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(vector, 32)
     sums = rows.groupBy("host", "token", "parent", "is_text").agg(F.count(F.lit(1)).alias("pages"), F.sum(low).alias("low"), F.sum(high).alias("high"))
-    on_hosts = named.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    often = stored(sums.join(on_hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("of") * min_share)), "tokens")
+    on_hosts = firsts.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    enough = (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("of") * min_share)
+    counted = stored(sums.join(on_hosts, "host").withColumn("often", enough), "tokens")
+    often = counted.where("often")
     tags = F.when(F.col("is_text"), 1).otherwise(2)
     classes = often.groupBy("host", "low", "high").agg(F.sum(tags).alias("tokens")).where("tokens >= 2")
-    valid = often.join(classes, ["host", "low", "high"]).select("host", "token", "parent", "is_text")
+    valid = often.join(classes, ["host", "low", "high"]).select("host", "token", "parent", "is_text", "pages", "of")
     elements = valid.where("not is_text").select("host", F.col("token").alias("parent")).distinct()
-    nested = valid.where("is_text").join(elements, ["host", "parent"], "left_semi")
+    slots = counted.where("is_text and not often").groupBy("host", "parent").agg(F.sum("pages").alias("vary")).where(F.col("vary") >= min_pages)
+    nested = valid.where("is_text").join(elements, ["host", "parent"], "left_semi").join(slots, ["host", "parent"], "left")
+    nested = nested.where(F.col("vary").isNull() | (F.col("pages") >= F.col("of") * SLOT_SHARE))
     return nested.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
 
 
@@ -214,7 +235,7 @@ def extracted(pages: DataFrame, url: str = "url", html_column: str = "html", out
     """The pages with their main text: empty if there is none, and for NULL or empty html.
 
     Pages without a host have no template, nor have hosts with fewer than ``min_pages`` pages: there the elements alone decide. Repeated pages
-    count as often as they come, in all tokens alike. Templates hold one row per host; Spark broadcasts them only if
+    count once. Templates hold one row per host; Spark broadcasts them only if
     their stored size allows, else joins by host and splits hot ones. ``out`` replaces a column of that name; other columns are carried along.
     """
     name, known, of = free_name(pages, "page_host"), free_name(pages, "page_template"), free_name(pages, "template_host")
