@@ -72,3 +72,62 @@ def test_hint_covers_every_sentence(spark):
     known = df.select("doc_id", "text", "lang", licences.sentence_id(licences.F.col("text")).alias("found")).collect()
     assert sum(r["found"] is not None for r in known) >= len(samples) - 3
     assert {r["doc_id"] for r in known if r["found"] is not None} <= hinted
+
+
+def test_sentences_without_a_telling_word(spark):
+    """Known sentences count whatever their words, and wherever their lines end."""
+    texts = {
+        "This project is released under the GPL v3.": ("gpl-3-name", ["GPL-3.0"]),
+        "Distributed under the terms of the GNU GPL version 2 or later.": ("gpl-2-name", ["GPL-2.0"]),
+        "This work is released under CC BY 4.0.": ("cc-by-name", ["CC-BY"]),
+        "This work is available under CC BY-SA 4.0.": ("cc-by-sa-name", ["CC-BY-SA"]),
+        "This work is published under Creative Commons Zero 1.0.": ("public-domain", ["public-domain"]),
+        "Released into the public\ndomain.": ("public-domain", ["public-domain"]),
+        "All\nrights reserved": ("reserved", ["all-rights-reserved"]),
+    }
+    df = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    for r in licences.scan(df).collect():
+        assert (r["licences"]["ids"], list(r["licences"]["names"])) == texts[r["text"]] and r["licences"]["rest"] == ""
+
+
+def test_every_alternative_of_every_sentence_is_found(spark):
+    """One text for each way a pattern can be read."""
+    from itertools import product
+    from re import _parser as parser
+
+    def readings(parsed):
+        parts = []
+        for op, value in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(value)])
+            elif op == "ANY":
+                parts.append(["x"])
+            elif op == "IN":
+                parts.append([chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0] + 2)])
+            elif op == "SUBPATTERN":
+                parts.append(readings(value[3]))
+            elif op == "BRANCH":
+                parts.append([r for branch in value[1] for r in readings(branch)])
+            else:
+                low, high, inner = value
+                parts.append([r * max(low, 1) for r in readings(inner)] + ([""] if low == 0 else []))
+        return ["".join(p) for p in product(*parts)]
+
+    rows = []
+    for name, pattern in licences.SENTENCES:
+        found = sorted(set(readings(parser.parse(pattern))))
+        assert all(re.fullmatch(pattern, f) for f in found)
+        rows += [(len(rows) + i, f.replace(" ", "\n" if i % 2 else " "), name, None) for i, f in enumerate(found[:: max(1, len(found) // 300)])]
+    df = documents(spark, rows, extra=False)
+    got = licences.scan(df).select("text", "lang", "licences.ids").collect()
+    # A reading may be cut where it looks like a list mark; what is whole is found.
+    whole = {tuple(r) for r in df.select("text", licences.F.array_join(licences.F.transform(licences.sentences(licences.F.col("text")), licences.sentence_id), ",")).collect()}
+    assert {(r["text"], r["ids"]) for r in got} == whole
+    assert sum(r["ids"] != "" for r in got) >= 0.99 * len(rows)
+
+
+def test_a_licence_given_twice_leaves_no_rest(spark):
+    df = documents(spark, [(1, BSD + "\n" + BSD, None, None)])
+    row = licences.scan(df).first()["licences"]
+    assert list(row["names"]) == ["BSD-2-Clause"] and row["rest"] == "" and row["ids"].count("bsd-permission") == 2

@@ -83,7 +83,7 @@ RULES: list[tuple[str, str]] = [
     ("all-rights-reserved", ",(copyright,)*(reserved,)+"),
 ]
 
-# Every sentence above holds one of these; texts without any hold no known sentence.
+# What the SQL looks at first. Not every sentence above holds one of these ("released under the GPL v3"), so the operator does not use it.
 HINT = r"(?i)licen[sc]e|copyright|\bc\)? *[0-9]{4}|permission is hereby|redistribut|all rights|public domain|warrant|provided as is|provided .as is|above copyright|liable|neither the name|free software|\bcc0\b"
 # A line that names a licence by its identifier is a sentence of its own; others end at . ! ? before white space, or at an empty line.
 _IDENTIFIER = r"(?im)^(.*SPDX-License-Identifier:.*)$"
@@ -108,15 +108,18 @@ def sentence_id(sentence: Column) -> Column:
 
 
 def _by_rules(ids: Column) -> Column:
-    """(left, found): the rules in turn, each taking what it matches out of the sequence."""
+    """(left, found): the rules in turn, each taking what it matches out of the sequence.
+
+    The comma before a match is looked at, not taken, so that what follows a match at once can be one too.
+    """
     rules = F.from_json(
-        F.lit("[" + ",".join(f'{{"name":"{n}","pattern":"{p}"}}' for n, p in RULES) + "]"), "array<struct<name: string, pattern: string>>"
+        F.lit("[" + ",".join(f'{{"name":"{n}","pattern":"(?<=,){p[1:]}"}}' for n, p in RULES) + "]"), "array<struct<name: string, pattern: string>>"
     )
     start = F.struct(ids.alias("left"), F.array().cast("array<string>").alias("found"))
 
     def step(done: Column, rule: Column) -> Column:
         found = F.when(F.regexp_like(done["left"], rule["pattern"]), F.array_union(done["found"], F.array(rule["name"]))).otherwise(done["found"])
-        return F.struct(F.regexp_replace(done["left"], rule["pattern"], ",").alias("left"), found.alias("found"))
+        return F.struct(F.regexp_replace(done["left"], rule["pattern"], F.lit("")).alias("left"), found.alias("found"))
 
     return F.aggregate(rules, start, step)
 
@@ -126,12 +129,11 @@ def scan(df: DataFrame, text: str = "text", out: str = "licences") -> DataFrame:
 
     ids and rest are identifiers joined by commas, names the licences in the order of their rules, each once. Texts without a
     known sentence, NULL and empty ones have empty strings and no names. Nothing is shuffled; whole texts are
-    looked at, and only those that hold a hint of a licence are cut into sentences. ``out`` replaces a column of that name.
+    cut into sentences, and every sentence is compared. ``out`` replaces a column of that name.
     """
     ids = F.filter(F.transform(sentences(F.col(text)), sentence_id), lambda i: i.isNotNull())
     joined = F.concat(F.lit(","), F.concat_ws(",", ids), F.when(F.size(ids) > 0, ",").otherwise(""))
-    held = F.when(F.col(text).rlike(HINT), joined).otherwise(F.lit(","))
-    result = F.transform(F.array(held), lambda seq: F.struct(F.trim(seq, F.lit(",")).alias("ids"), F.when(seq == ",", F.lit(None)).otherwise(_by_rules(seq)).alias("taken")))[0]
+    result = F.transform(F.array(joined), lambda seq: F.struct(F.trim(seq, F.lit(",")).alias("ids"), F.when(seq == ",", F.lit(None)).otherwise(_by_rules(seq)).alias("taken")))[0]
     none = F.array().cast("array<string>")
     row = F.transform(
         F.array(result),
