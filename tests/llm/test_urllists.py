@@ -84,3 +84,12 @@ def test_empty(spark):
     assert urllists.judged(captures, entries).count() == 0
     one = spark.createDataFrame([(1, "http://a.b/", date(2024, 1, 1))], "page_id long, url string, day date")
     assert urllists.judged(one, entries).first()["verdict"]["blocked"] is False
+
+
+def test_paths_keep_their_capitals(spark):
+    day = date(2024, 1, 1)
+    entries = spark.createDataFrame([("block", "H.example/Bad", day, "add"), ("allow", "h.Example/Bad/But/Good", day, "add")], "list string, pattern string, day date, action string")
+    urls = ["http://H.example/Bad/x", "http://h.example/Bad/But/Good/y", "http://h.example/bad/x"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, day date")
+    got = {r["page_id"]: tuple(r["verdict"]) for r in urllists.judged(captures, entries).collect()}
+    assert got == {0: (True, "h.example/Bad", "block"), 1: (False, "h.example/Bad/But/Good", "allow,block"), 2: (False, None, "")}

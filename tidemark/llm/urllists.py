@@ -37,10 +37,12 @@ def validity(entries: DataFrame, list_column: str = "list", pattern: str = "patt
     """(list, pattern, valid_from, valid_to): when each pattern was on each list; valid_to is the first day it is not, NULL if still.
 
     Entries are dated ``add`` or ``remove``. Of several on one day a removal counts. Adding what is on the list or
-    removing what is not changes nothing. Entries with a NULL or another action are left out. A list names a
+    removing what is not changes nothing. The host of a pattern is lower-cased, its path is not. Entries with a NULL or another action are left out. A list names a
     pattern at most once a day after the first step, so that the calendar bounds what is put in order per pattern.
     """
-    c = {"list": F.col(list_column), "pattern": F.lower(F.col(pattern)), "day": F.col(day).cast("date")}
+    named = F.substring_index(F.col(pattern), "/", 1)
+    folded = F.concat(F.lower(named), F.col(pattern).substr(F.length(named) + 1, F.length(pattern)))
+    c = {"list": F.col(list_column), "pattern": folded, "day": F.col(day).cast("date")}
     known = entries.where(F.col(action).isin("add", "remove"))
     for column in c.values():
         known = known.where(column.isNotNull())
