@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, extract, language, licences, mixing, sharding, simhash, urllists
+from tidemark.llm import chunks, decontaminate, extract, language, licences, mixing, sharding, simhash, urllists, variants
 from tidemark.llm import media as media_columns
 from tidemark.llm.text import documents, stored
 
@@ -237,3 +237,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract.extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op12_kd_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their more frequent spelling, one edit apart; every 97th run by digest has lost a letter."""
+    return variants.grouped(variants.word_counts(documents(spark, sf_dir).select("doc_id", "text"), wear=97))
