@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, extract, language, licences, mixing, sharding, simhash, urllists, variants
+from tidemark.llm import chunks, decontaminate, extract, language, licences, mixing, sharding, simhash, toxicity, urllists, variants, whitening
 from tidemark.llm import media as media_columns
 from tidemark.llm.text import documents, stored
 
@@ -243,3 +243,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their more frequent spelling, one edit apart; every 97th run by digest has lost a letter."""
     return variants.grouped(variants.word_counts(documents(spark, sf_dir).select("doc_id", "text"), wear=97))
+
+
+@query("op13_lanczos_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the four directions of largest variance."""
+    return whitening.whitened(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# Score from which a document counts as toxic.
+TOXIC = 0.3
+
+
+@query("op11_crf_spans")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from the folds that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = language.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs.where(~held), documents(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    score = F.col("toxicity.score")
+    return toxicity.tagged(docs, model).select(
+        "doc_id", held.alias("held_out"), score.alias("score"), (score >= TOXIC).cast("int").alias("predicted"), F.to_json("toxicity.spans").alias("spans")
+    )
