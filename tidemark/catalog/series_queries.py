@@ -170,8 +170,10 @@ def b2_close_time(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- sequence quality ---------------------------------------------------------------------------
 
-_SEQ_SQL = f"""{WITH_DIRTY}, seq AS (SELECT instrument_id, open_time, arrival, close, volume, lag(open_time) OVER w AS before,
-   row_number() OVER w AS rn, count(*) OVER (PARTITION BY instrument_id) AS n FROM dirty WINDOW w AS (PARTITION BY instrument_id ORDER BY arrival)),
+def _seq_ctes(rows: str) -> str:
+    """Sequence events of a table of bars in the order of its ``arrival``."""
+    return f"""seq AS (SELECT instrument_id, open_time, arrival, close, volume, lag(open_time) OVER w AS before,
+   row_number() OVER w AS rn, count(*) OVER (PARTITION BY instrument_id) AS n FROM {rows} WINDOW w AS (PARTITION BY instrument_id ORDER BY arrival)),
  order_events AS (SELECT instrument_id, open_time, CASE WHEN open_time <= before THEN 'timestamp_monotonic' ELSE 'missing_interval' END AS check_name, epoch_us(before) AS before
    FROM seq WHERE open_time <= before OR open_time - before > INTERVAL 1 HOUR),
  runs AS (SELECT *, coalesce(max(CASE WHEN volume <> 0 THEN rn END) OVER (PARTITION BY instrument_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS traded FROM seq),
@@ -182,6 +184,9 @@ _SEQ_SQL = f"""{WITH_DIRTY}, seq AS (SELECT instrument_id, open_time, arrival, c
  moves AS (SELECT instrument_id, open_time, ret, s FROM sig WHERE k = 20 AND s > 0 AND abs(ret) > 10 * s)"""
 
 
+_SEQ_SQL = f"{WITH_DIRTY}, {_seq_ctes('dirty')}"
+
+
 @query(
     "e8_boundary_gaps",
     f"""{WITH_CANDLES} SELECT * FROM (SELECT instrument_id, epoch_us(lag(open_time) OVER ({_W})) AS gap_start, epoch_us(open_time) AS gap_end FROM candles)
@@ -219,13 +224,18 @@ def e11_price_moves(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(found.withColumns({"ret": d["return"].cast("double"), "sigma": d["stddev"].cast("double")}), "ret", "sigma")
 
 
-_ALL_EVENTS = f"""{_SEQ_SQL}, checks AS (
- SELECT instrument_id, open_time, 'ohlc_invariant' AS check_name, 'quarantined' AS severity FROM dirty WHERE high < greatest(open, close) OR low > least(open, close) OR high < low
- UNION ALL SELECT instrument_id, open_time, 'volume_nonneg', 'quarantined' FROM dirty WHERE volume < 0
- UNION ALL SELECT instrument_id, open_time, 'timestamp_alignment', 'quarantined' FROM dirty WHERE epoch_us(open_time) % 3600000000 <> 0
- UNION ALL SELECT instrument_id, open_time, check_name, 'flagged' FROM order_events
- UNION ALL SELECT instrument_id, open_time, 'zero_volume_streak', 'flagged' FROM streaks
- UNION ALL SELECT instrument_id, open_time, 'price_move_sigma', 'flagged' FROM moves)"""
+def all_events_sql(before: str, rows: str) -> str:
+    """All events of a table of bars (with details of streaks), as ``checks`` after the tables in ``before``."""
+    return f"""{before}, {_seq_ctes(rows)}, checks AS (
+ SELECT instrument_id, open_time, 'ohlc_invariant' AS check_name, 'quarantined' AS severity, '' AS streak FROM {rows} WHERE high < greatest(open, close) OR low > least(open, close) OR high < low
+ UNION ALL SELECT instrument_id, open_time, 'volume_nonneg', 'quarantined', '' FROM {rows} WHERE volume < 0
+ UNION ALL SELECT instrument_id, open_time, 'timestamp_alignment', 'quarantined', '' FROM {rows} WHERE epoch_us(open_time) % 3600000000 <> 0
+ UNION ALL SELECT instrument_id, open_time, check_name, 'flagged', '' FROM order_events
+ UNION ALL SELECT instrument_id, open_time, 'zero_volume_streak', 'flagged', CAST(streak AS VARCHAR) FROM streaks
+ UNION ALL SELECT instrument_id, open_time, 'price_move_sigma', 'flagged', '' FROM moves)"""
+
+
+_ALL_EVENTS = all_events_sql(WITH_DIRTY, "dirty")
 
 
 @query("g1_all_violations", f"{_ALL_EVENTS} SELECT {_AT}, check_name, severity FROM checks")

@@ -19,7 +19,7 @@ from tidemark.catalog.base import (
     table,
     us,
 )
-from tidemark.catalog.series_queries import ALL_EVENTS_SQL, GAP_WINDOW, GAPS_SQL, maintenance
+from tidemark.catalog.series_queries import ALL_EVENTS_SQL, GAP_WINDOW, GAPS_SQL, all_events_sql, maintenance
 from tidemark.functions.hashing import row_hash
 from tidemark.functions.intervals import expected_slots, month_slices, plus_seconds, step_seconds
 from tidemark.functions.venue import is_tradeable, map_status
@@ -560,6 +560,23 @@ def k1_validate_and_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return after.select("instrument_id", "open_time", "close", (F.col("source") == "batch").alias("fresh"), "is_closed")
 
 
+_K1_ROWS = f"""{WITH_DIRTY}, batch AS (SELECT * FROM dirty WHERE open_time >= TIMESTAMP '2024-01-04'), starts AS (SELECT instrument_id, min(open_time) AS start FROM batch GROUP BY 1),
+ line AS (SELECT * FROM batch UNION ALL SELECT * REPLACE (epoch_us(open_time) // 1000000 - 10000000000 AS arrival) FROM candles SEMI JOIN starts ON candles.instrument_id = starts.instrument_id AND open_time < start AND open_time < TIMESTAMP '2024-01-06')"""
+
+
+@query(
+    "k1_events",
+    f"""{all_events_sql(_K1_ROWS, 'line')} SELECT {_AT}, check_name, severity, streak, epoch_us(TIMESTAMP '2024-01-25') AS detected_at FROM checks JOIN starts USING (instrument_id) WHERE open_time >= start""",
+)
+def k1_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a batch that goes on from the stored bars in front of it."""
+    stored = candles(spark, sf).where(F.col("open_time") < datetime(2024, 1, 6)).drop("arrival").withColumns({"is_closed": F.lit(True), "source": F.lit("old")})
+    batch = dirty(candles(spark, sf)).where(F.col("open_time") >= datetime(2024, 1, 4)).drop("trade_count")
+    _, events = jobs.validate_and_ingest(batch, stored, "batch", _NOW)
+    streak = F.coalesce(F.get_json_object("details", "$.streak_length"), F.lit("")).alias("streak")
+    return events.select("instrument_id", "open_time", "check_name", "severity", streak, "detected_at")
+
+
 @query(
     "k2_revalidation",
     f"""{WITH_CANDLES}, seq AS (SELECT *, lag(open_time) OVER (PARTITION BY instrument_id ORDER BY open_time) AS before FROM candles WHERE open_time BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20')

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.catalog.base import CATALOG, WITH_CANDLES, WITH_DIRTY, candles, dirty, query, r6, table, us
 from tidemark.catalog.store_queries import _GOOD, frame_texts
-from tidemark.catalog.series_queries import ema_cte
+from tidemark.catalog.series_queries import all_events_sql, ema_cte
 from tidemark.plans.jobs import staged
 from tidemark.session import scratch
 from tidemark.sources import landing
@@ -154,6 +154,20 @@ def j7_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return bar_streams.ingested(spark.read.parquet(f"{path}/candles")).select("instrument_id", "open_time", "close")
 
 
+_LATE_SQL = f"""{WITH_DIRTY}, late AS (SELECT * REPLACE (arrival * 2 + CASE WHEN arrival % 7 = 0 THEN 801 ELSE 0 END AS arrival) FROM dirty)"""
+
+
+@query("j7_stream_events", f"{all_events_sql(_LATE_SQL, 'late')} SELECT {_AT}, check_name, severity, streak FROM checks")
+def j7_stream_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of three micro-batches equal those of all bars at once. Every seventh bar or so comes after bars that follow it."""
+    late = F.col("arrival") * 2 + F.when(F.col("arrival") % 7 == 0, 801).otherwise(0)
+    rows = dirty(candles(spark, sf)).withColumn("arrival", late).withColumn("sent", F.timestamp_seconds("arrival"))
+    run = lambda s, out: bar_streams.ingest(s, out, f"{out}/checkpoint").trigger(availableNow=True).start()
+    events = bar_streams.ingested_events(spark.read.parquet(f"{delivered(rows, 'sent', 'events', run)}/events"))
+    streak = F.coalesce(F.get_json_object("details", "$.streak_length"), F.lit("")).alias("streak")
+    return events.select("instrument_id", "open_time", "check_name", "severity", streak)
+
+
 _HOURS = "generate_series((SELECT min(open_time) FROM candles), (SELECT max(open_time) FROM candles), INTERVAL 1 HOUR)"
 
 
@@ -169,12 +183,11 @@ def j8_live_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Frames to closed bars, through the gate, to indicators, as one stream: no hour is missing, but every fifth comes ten days late."""
     rows = candles(spark, sf)
     hour = F.expr("interval 1 hour")
-    bounds = rows.agg(F.min("open_time").alias("first"), F.max("open_time").alias("last"))
-    hours = bounds.select("first", F.explode(F.sequence("first", "last", hour)).alias("open_time"))
-    grid = rows.select("instrument_id").distinct().join(hours)
+    first, last = rows.agg(F.min("open_time"), F.max("open_time")).first()
+    grid = rows.select("instrument_id").distinct().select("instrument_id", F.explode(F.sequence(F.lit(first), F.lit(last), hour)).alias("open_time"))
     known = rows.select("instrument_id", "open_time", *gapgate.FIGURES)
     dense = grid.join(known, ["instrument_id", "open_time"], "left").na.fill(50, list(gapgate.FIGURES))
-    late = (F.hour("open_time") % 5 == 0) & (F.col("open_time") > F.col("first"))
+    late = (F.hour("open_time") % 5 == 0) & (F.col("open_time") > F.lit(first))
     sent = F.when(late, F.col("open_time") + F.expr("interval 10 days")).otherwise(F.col("open_time"))
     bars = dense.withColumns({"symbol": F.upper("instrument_id"), "interval": F.lit("1h"), "is_closed": F.lit(True), "exchange_ts": F.col("open_time") + hour})
     frames = landing.frames_of(bars.withColumn("exchange_ts", sent + hour))

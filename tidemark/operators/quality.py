@@ -17,7 +17,8 @@ from tidemark.session import scratch
 
 EVENT_COLUMNS = ("instrument_id", "interval", "check_name", "severity", "open_time", "details")
 ARRIVALS = Series(("instrument_id", "interval"), ("arrival",), width=1 << 14, segment_rows=None)
-_NO_DETAILS = "map<string,string>"
+# Marks bars that only stand in front of a batch: they are context and have no events.
+BEFORE = "_before"
 
 
 def arrival_series(order_col: str, width: int = 1 << 14) -> Series:
@@ -83,7 +84,8 @@ def quarantined(bars: DataFrame) -> DataFrame:
 # -- sequences ----------------------------------------------------------------------------------
 
 
-def _event(check: Column | str, details: Column, open_time: Column | str = "open_time") -> list[Column]:
+def event(check: Column | str, details: Column, open_time: Column | str = "open_time") -> list[Column]:
+    """Columns of a flagged event."""
     check = F.lit(check) if isinstance(check, str) else check
     at = F.col(open_time) if isinstance(open_time, str) else open_time
     return [
@@ -96,6 +98,10 @@ def _event(check: Column | str, details: Column, open_time: Column | str = "open
     ]
 
 
+def _own(bars: DataFrame) -> DataFrame:
+    return bars.where(~F.col(BEFORE)) if BEFORE in bars.columns else bars
+
+
 def walked(bars: DataFrame, series: Series = ARRIVALS) -> DataFrame:
     """What sequence checks need of bars, with ``prev`` (the row before) and POSITION: one pass that all of them can start from."""
     if POSITION in bars.columns:
@@ -107,7 +113,7 @@ def walked(bars: DataFrame, series: Series = ARRIVALS) -> DataFrame:
 def order_violations(bars: DataFrame, series: Series = ARRIVALS) -> DataFrame:
     """Bars that do not come after the one before, or come more than one step after it."""
     seen = bars if POSITION in bars.columns else series.previous(bars, ["open_time"])
-    seen = seen.where(F.col("prev").isNotNull())
+    seen = _own(seen).where(F.col("prev").isNotNull())
     delta = F.unix_micros("open_time") - F.unix_micros("prev.open_time")
     step = step_seconds("interval") * 1_000_000
     before = F.col("prev.open_time").cast("string")
@@ -116,7 +122,7 @@ def order_violations(bars: DataFrame, series: Series = ARRIVALS) -> DataFrame:
         delta <= 0, F.create_map(F.lit("previous_open_time"), before)
     ).otherwise(F.create_map(F.lit("gap_start"), before, F.lit("gap_end"), here))
     check = F.when(delta <= 0, F.lit("timestamp_monotonic")).otherwise(F.lit("missing_interval"))
-    return seen.where((delta <= 0) | (delta > step)).select(*_event(check, details))
+    return seen.where((delta <= 0) | (delta > step)).select(*event(check, details))
 
 
 def zero_volume_streaks(bars: DataFrame, threshold: int = 5, series: Series = ARRIVALS) -> DataFrame:
@@ -133,7 +139,7 @@ def zero_volume_streaks(bars: DataFrame, threshold: int = 5, series: Series = AR
     at_end = (F.col(POSITION) == F.col("_last")) & (F.col("_last") >= 2)
     streak = F.when(F.col("volume") != 0, zeros - 1).when(at_end, zeros)
     details = F.create_map(F.lit("streak_length"), F.col("streak").cast("string"))
-    return runs.withColumn("streak", streak).where(F.col("streak") >= max(threshold, 1)).select(*_event("zero_volume_streak", details))
+    return runs.withColumn("streak", streak).where(F.col("streak") >= max(threshold, 1)).select(*event("zero_volume_streak", details))
 
 
 def price_moves(bars: DataFrame, window: int = 20, sigma: float = 10.0, series: Series = ARRIVALS) -> DataFrame:
@@ -150,7 +156,7 @@ def price_moves(bars: DataFrame, window: int = 20, sigma: float = 10.0, series:
         full = F.count("_return").over(past) == window
         return {"_sigma": F.when(full, F.stddev_pop("_return").over(past))}
 
-    needed = [*keys, *[c for c in ("open_time", "close") if c not in series.order], *series.order, *([POSITION] if POSITION in bars.columns else [])]
+    needed = [*keys, *[c for c in ("open_time", "close") if c not in series.order], *series.order, *[c for c in (POSITION, BEFORE) if c in bars.columns]]
     moves = series.rolling(bars.select(*needed), window + 1, returns, baseline)
     size = F.abs("_return")
     details = F.create_map(
@@ -158,8 +164,8 @@ def price_moves(bars: DataFrame, window: int = 20, sigma: float = 10.0, series:
         F.lit("stddev"), F.col("_sigma").cast("string"),
         F.lit("sigma_multiple"), (size / F.col("_sigma")).cast("string"),
     )
-    return moves.where((F.col("_sigma") > 0) & (size > F.lit(sigma) * F.col("_sigma"))).select(
-        *_event("price_move_sigma", details)
+    return _own(moves).where((F.col("_sigma") > 0) & (size > F.lit(sigma) * F.col("_sigma"))).select(
+        *event("price_move_sigma", details)
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import is_closed, plus_seconds, step_seconds
 from tidemark.functions.money import FeeSchedule, SlippageModel, half_spread_plus_impact
-from tidemark.operators import accounting, execution, gaps, metrics, quality
+from tidemark.operators import accounting, continuity, execution, gaps, metrics, quality
 from tidemark.plans.ordered import Series, tidy
 from tidemark.schemas import MONEY
 from tidemark.session import scratch
@@ -31,7 +31,10 @@ def staged(df: DataFrame, path: str) -> DataFrame:
 def validate_and_ingest(
     batch: DataFrame, stored: DataFrame, source: str, now: datetime, series: Series = quality.ARRIVALS, **settings: object
 ) -> tuple[DataFrame, DataFrame]:
-    """(candle table after the batch, events to log). Only structurally sound bars are stored."""
+    """(candle table after the batch, events to log). Only structurally sound bars are stored.
+
+    Sequence checks of a series go on from the stored bars in front of the batch.
+    """
     stamped = (
         quality.retained(batch)
         .withColumn("is_closed", is_closed(now))
@@ -39,7 +42,10 @@ def validate_and_ingest(
         .withColumn("trade_count", F.lit(0).cast("long"))
     )
     table = upsert(stored, stamped, arrival=series.order[0])
-    return table, quality.event_log(quality.violations(batch, series, **settings), now)
+    tail = continuity.stored_tail(stored, batch, settings.get("window", 20))
+    flags, _ = continuity.checked(batch, tail, series, **settings)
+    events = quality.quarantined(batch).unionByName(flags.select(*quality.EVENT_COLUMNS))
+    return table, quality.event_log(events, now)
 
 
 # -- gaps ---------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tidemark.operators import quality
+from tidemark.operators import continuity, quality
 from tidemark.sources.landing import parse_frames
 from tidemark.sources.store import CANDLE_KEY
 
@@ -40,26 +40,40 @@ def latest_open_bars(frames: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "interval").agg(F.max_by(bar, F.struct("exchange_ts", "open_time")).alias("bar")).select("symbol", "interval", "bar.*")
 
 
-def ingest(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+def ingest(bars: DataFrame, path: str, checkpoint: str, stored: DataFrame | None = None, **settings: object) -> DataStreamWriter:
     """Split every micro-batch: sound bars to ``<path>/candles``, violations to ``<path>/events``.
 
-    Output goes to a folder per batch id and replaces it, so a repeated batch leaves one copy.
-    ``bars`` carry ``arrival``, the order in which they came.
+    ``bars`` carry ``arrival``, the order in which they came. Sequence checks go on from the micro-batch before, whose tails
+    (the last bars of every series) are kept below ``<path>/tails``; a series met for the first time goes on from its
+    bars in ``stored``, if given. All output goes to a folder per batch id and replaces it, so a repeated batch
+    starts from the same tails and leaves one copy.
     """
 
     def split(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            sound = quality.retained(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            sound.write.mode("overwrite").parquet(f"{path}/candles/b={batch_id}")
-            events = quality.violations(batch).withColumn("details", F.to_json("details"))
-            events.write.mode("overwrite").parquet(f"{path}/events/b={batch_id}")
+            numbered = F.lit(batch_id).cast("long").alias("batch_id")
+            quality.retained(batch).select("*", numbered).write.mode("overwrite").parquet(f"{path}/candles/b={batch_id}")
+            tail = batch.sparkSession.read.parquet(f"{path}/tails/b={batch_id - 1}") if batch_id else None
+            if stored is not None:
+                fresh = batch if tail is None else batch.join(tail.select(*continuity.KEYS).distinct(), list(continuity.KEYS), "left_anti")
+                looked_up = continuity.stored_tail(stored, fresh, settings.get("window", 20))
+                tail = looked_up if tail is None else tail.unionByName(looked_up)
+            flags, after = continuity.checked(batch, tail, **settings)
+            after.write.mode("overwrite").parquet(f"{path}/tails/b={batch_id}")
+            whole = quality.quarantined(batch).select("*", F.lit(None).cast("long").alias("run"), F.lit(False).alias("open")).unionByName(flags)
+            whole.select("*", numbered).withColumn("details", F.to_json("details")).write.mode("overwrite").parquet(f"{path}/events/b={batch_id}")
         finally:
             batch.unpersist()
 
     return bars.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
 
 
+def ingested_events(stored: DataFrame) -> DataFrame:
+    """The events ``ingest`` stored: those of all bars so far as one batch."""
+    return continuity.settled(stored).select(*quality.EVENT_COLUMNS)
+
+
 def ingested(stored: DataFrame) -> DataFrame:
     """What ``ingest`` stored, last arrival per bar."""
     rest = [c for c in stored.columns if c not in CANDLE_KEY]
