@@ -97,7 +97,7 @@ def test_reference_rules_last_filter_wins(spark):
     ]
     df = spark.createDataFrame(rows, f"symbol string, filters {kind}").withColumns({"status": F.lit("TRADING"), "baseAsset": F.lit("B"), "quoteAsset": F.lit("Q")})
     assert [(r.symbol, r.tick_size) for r in reference.instruments(df, "v").collect()] == [("ok", Decimal("0.01"))]
-    assert reference.skipped_symbols(df).head().reason == "missing required filter field(s): LOT_SIZE.stepSize"
+    assert reference.skipped_symbols(df).head().reason == "no value in filters for: LOT_SIZE.stepSize"
 
 
 # -- streams --------------------------------------------------------------------------------------

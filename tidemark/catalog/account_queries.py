@@ -499,3 +499,45 @@ def k4_tiered_slippage(spark: SparkSession, sf: str) -> DataFrame:
     how = jobs.Execution(SCHEDULE, max_volume_fraction=Decimal("0.5"), spread=0.02, volatility=0.3, min_notional=Decimal(20))
     sheet = jobs.backtest(run_bars(spark, sf), _RULE, 5, how=how)["tearsheet"]
     return sheet.where("problem is null").select("run_id", "total_return", "total_fees", "fees_pct_of_gross", "expectancy", "slippage")
+
+
+# -- runs over several instruments --------------------------------------------------------------
+
+_DESK = "CASE WHEN instrument_id IN ('click', 'view') THEN 'pages' WHEN instrument_id IN ('purchase', 'signup') THEN 'users' ELSE 'other' END || '-' || every"
+_FOLIO = f"""{_MARKED}, books AS (SELECT DISTINCT run_id AS book_id, {_DESK} AS desk FROM bars),
+ line AS (SELECT DISTINCT desk, ts FROM equity JOIN books ON run_id = book_id),
+ folio AS (SELECT p.desk AS run_id, p.ts, 100000 + sum(coalesce(e.equity - 100000, 0)) AS equity
+   FROM (SELECT l.desk, l.ts, book_id FROM line l JOIN books b ON b.desk = l.desk) p ASOF LEFT JOIN equity e ON e.run_id = p.book_id AND e.ts <= p.ts GROUP BY 1, 2)"""
+
+
+def desk_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of two instruments each (the rest of them in one more), toggling every 8 and every 12 bars of an instrument."""
+    name = F.col("instrument_id")
+    desk = F.when(name.isin("click", "view"), "pages").when(name.isin("purchase", "signup"), "users").otherwise("other")
+    return run_bars(spark, sf).withColumn("run_id", F.concat_ws("-", desk, F.col("every").cast("string")))
+
+
+@query("e18_portfolio_curve", f"{_FOLIO} SELECT run_id, epoch_us(ts) AS ts, {r6('equity')} AS equity FROM folio")
+def e18_portfolio_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Equity at every time one of a run's instruments has a bar; the others keep their last close."""
+    return jobs.backtest(desk_bars(spark, sf), _RULE, 5, book="instrument_id")["equity"].select("run_id", "ts", "equity")
+
+
+@query(
+    "k4_two_symbols",
+    f"""{_FOLIO}, rets AS (SELECT *, lag(equity) OVER w AS b, max(equity) OVER w AS peak FROM folio WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
+ dd AS (SELECT *, (equity - b) / b AS r, (peak - equity) / peak AS drawdown FROM rets),
+ m AS (SELECT run_id, min_by(equity, ts) AS s, max_by(equity, ts) AS e, max(ts) AS end_ts, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000) / 86400.0 AS total_days, max(drawdown) AS mdd, avg(r) AS mean, stddev_samp(r) AS sd FROM dd GROUP BY 1),
+ traded AS (SELECT desk, p.* FROM positions p JOIN books ON p.run_id = book_id),
+ t AS (SELECT desk, sum(fee) AS fees, {_TRADES} FROM traded GROUP BY 1),
+ steps AS (SELECT desk, ts, sum(CAST(q <> 0 AS INT) - CAST(q0 <> 0 AS INT)) AS step FROM traded GROUP BY 1, 2),
+ open_books AS (SELECT desk, ts, sum(step) OVER (PARTITION BY desk ORDER BY ts) AS n, lead(ts) OVER (PARTITION BY desk ORDER BY ts) AS upto FROM steps),
+ spans AS (SELECT desk, sum(CASE WHEN n > 0 THEN {_SECS.format(a='ts', b='coalesce(upto, end_ts)')} ELSE 0 END) AS secs FROM open_books JOIN m ON run_id = desk GROUP BY 1)
+ SELECT m.run_id, {r6('(e - s) / s')} AS total_return, {r6('mdd')} AS max_drawdown, {r6('mean / nullif(sd, 0) * sqrt(252)')} AS sharpe, {r6('wins / nullif(trades, 0)')} AS win_rate, {r6('ex')} AS expectancy,
+   {r6('secs / 86400.0 / total_days')} AS time_in_market, {r6('fees')} AS total_fees, {r6('100 * fees / nullif(abs(e - s + fees), 0)')} AS fees_pct_of_gross
+ FROM m JOIN t ON t.desk = m.run_id JOIN spans ON spans.desk = m.run_id""",
+)
+def k4_two_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Tearsheets of runs over several instruments."""
+    sheet = jobs.backtest(desk_bars(spark, sf), _RULE, 5, book="instrument_id")["tearsheet"]
+    return sheet.select("run_id", "total_return", "max_drawdown", "sharpe", "win_rate", "expectancy", "time_in_market", "total_fees", "fees_pct_of_gross")

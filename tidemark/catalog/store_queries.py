@@ -169,8 +169,8 @@ def b5_trading_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "b6_normalised_instruments",
     f"""WITH s AS ({_SYMBOLS_SQL}) SELECT symbol, status, tick IS NOT NULL AND lot IS NOT NULL AS kept,
-    CASE WHEN tick IS NULL AND lot IS NULL THEN 'missing required filter field(s): PRICE_FILTER.tickSize, LOT_SIZE.stepSize'
-     WHEN tick IS NULL THEN 'missing required filter field(s): PRICE_FILTER.tickSize' WHEN lot IS NULL THEN 'missing required filter field(s): LOT_SIZE.stepSize' END AS reason
+    CASE WHEN tick IS NULL AND lot IS NULL THEN 'no value in filters for: PRICE_FILTER.tickSize, LOT_SIZE.stepSize'
+     WHEN tick IS NULL THEN 'no value in filters for: PRICE_FILTER.tickSize' WHEN lot IS NULL THEN 'no value in filters for: LOT_SIZE.stepSize' END AS reason
     FROM (SELECT symbol, tick, lot, CASE WHEN tick IS NULL OR lot IS NULL THEN NULL WHEN status = 'TRADING' THEN 'trading' ELSE 'halted' END AS status FROM s)""",
 )
 def b6_normalised_instruments(spark: SparkSession, sf: str) -> DataFrame:

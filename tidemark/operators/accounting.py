@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,12 @@ from pyspark.sql import types as T
 
 from tidemark.functions.intervals import plus_seconds
 from tidemark.functions.money import FeeSchedule, signed_qty
+from tidemark.plans import affine
 from tidemark.plans.ordered import FILLS, Measure, Series, tidy
 
+# One book per instrument of a run.
+BOOKS = FILLS.with_(keys=("run_id", "instrument_id"))
+_CENTS = "decimal(38,12)"
 _FOLD_INPUT = ("_keep", "_add", "_gain", "_per_entry", "_fee")
 
 
@@ -41,7 +46,7 @@ def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
     A fill changes the average entry by an affine map, avg' = keep*avg + add, whose coefficients
     depend only on quantities, and quantities are a running sum. Maps compose, so each segment is
     folded into one map, the maps are chained per key, and every segment is then replayed on its
-    own from the right start.
+    own from the right start (see ``plans/affine.py``): no row is looped over, no group collected.
     """
     signed = signed_qty()
     # Segments are cut before repeats are dropped: a count that includes them only cuts finer.
@@ -63,77 +68,59 @@ def replay(fills: DataFrame, series: Series = FILLS) -> DataFrame:
             "_fee": F.col("fee").cast("double"),
         }
     )
-    started = held.join(_segment_starts(held, series), [*series.keys, series.seg], "left")
-    columns = [*series.keys, *[c for c in held.columns if c not in (*series.keys, series.seg, *_FOLD_INPUT)]]
+    cluster = [*series.keys, series.seg]
+    started = affine.in_groups(held.join(_segment_starts(held, series), cluster, "left"), cluster, series.order)
+    columns = [*series.keys, *[c for c in held.columns if c not in (*cluster, *_FOLD_INPUT)]]
     schema = T.StructType([held.schema[c] for c in columns])
     for name in ("avg_entry", "realized_pnl", "trade_pnl"):
         schema.add(name, T.DoubleType())
-    cluster, inputs = [*series.keys, series.seg], [*_FOLD_INPUT, "is_closing", "_avg0", "_pnl0"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, avg, realized = None, 0.0, 0.0
+        average = realized = 0.0
         for batch in batches:
-            entries, totals, trades = [], [], []
-            for place, keep, add, gain, per_entry, fee, closing, avg0, pnl0 in _rows(batch, cluster, inputs):
-                if place != here:
-                    here, avg, realized = place, avg0, pnl0
-                delta = gain - per_entry * avg - fee
-                realized += delta
-                avg = keep * avg + add
-                entries.append(avg)
-                totals.append(realized)
-                trades.append(delta if closing else None)
-            yield _with_doubles(batch, columns, avg_entry=entries, realized_pnl=totals, trade_pnl=trades)
+            if batch.num_rows == 0:
+                continue
+            first = affine.flags(batch)
+            keep, add, gain, per_entry, fee, avg0, pnl0 = affine.numbers(batch, *_FOLD_INPUT, "_avg0", "_pnl0")
+            entries = affine.grouped_walk(keep, add, first, avg0, average)
+            change = gain - per_entry * affine.before(entries, first, avg0, average) - fee
+            totals = affine.grouped_walk(np.ones(len(change)), change, first, pnl0, realized)
+            average, realized = float(entries[-1]), float(totals[-1])
+            trades = pa.array(change, mask=~affine.flags(batch, "is_closing"))
+            arrays = [*(batch.column(c) for c in columns), pa.array(entries), pa.array(totals), trades]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    laid_out = started.repartition(*cluster).sortWithinPartitions(*cluster, *series.order)
-    return laid_out.mapInArrow(fold, schema)
-
-
-def _rows(batch: pa.RecordBatch, key: Sequence[str], values: Sequence[str]) -> Iterator[tuple]:
-    """Rows of a batch as (key tuple, value, ...)."""
-    keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
-    return zip(keys, *(batch.column(c).to_pylist() for c in values), strict=True)
-
-
-def _with_doubles(batch: pa.RecordBatch, kept: Sequence[str], **added: list[float | None]) -> pa.RecordBatch:
-    """Some columns of a batch as they are, and new ones."""
-    arrays = [batch.column(c) for c in kept] + [pa.array(v, pa.float64()) for v in added.values()]
-    return pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
+    return started.mapInArrow(fold, schema)
 
 
 def _segment_starts(held: DataFrame, series: Series) -> DataFrame:
-    """Average entry and realised total in front of every segment (``_avg0``, ``_pnl0``)."""
-    rows = F.array_sort(F.collect_list(F.struct(*series.order, *_FOLD_INPUT)))
-    zero = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-
-    def compose(acc: Column, x: Column) -> Column:
-        return F.struct(
-            (x["_keep"] * acc["a"]).alias("a"),
-            (x["_keep"] * acc["b"] + x["_add"]).alias("b"),
-            (acc["p"] + x["_gain"] - x["_per_entry"] * acc["b"] - x["_fee"]).alias("p"),
-            (acc["q"] - x["_per_entry"] * acc["a"]).alias("q"),
-        )
-
-    keys = list(series.keys)
-    maps = held.groupBy(*keys, series.seg).agg(F.aggregate(rows, zero, compose).alias("m")).select(*keys, series.seg, "m.*")
-    schema = T.StructType([*[held.schema[k] for k in keys], held.schema[series.seg]])
-    schema = schema.add("_avg0", T.DoubleType()).add("_pnl0", T.DoubleType())
+    """Average entry and realised total in front of every segment (``_avg0``, ``_pnl0``).
+
+    Segments fold into one map each, batch by batch; of the maps, one row per segment, keys are chained the same way.
+    """
+    keys, cluster = list(series.keys), [*series.keys, series.seg]
+    places = T.StructType([held.schema[k] for k in cluster])
+    figures = ("_a", "_b", "_p", "_q")
+    composed = T.StructType([*places.fields, *[T.StructField(c, T.DoubleType()) for c in figures]])
+    laid_out = affine.in_groups(held, cluster, series.order)
+    maps = laid_out.mapInArrow(lambda batches: affine.group_maps(batches, cluster, _FOLD_INPUT, figures), composed)
+    started = T.StructType([*places.fields, T.StructField("_avg0", T.DoubleType()), T.StructField("_pnl0", T.DoubleType())])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, avg, realized = None, 0.0, 0.0
+        average = realized = 0.0
         for batch in batches:
-            avgs, totals = [], []
-            for key, a, b, p, q in _rows(batch, keys, ["a", "b", "p", "q"]):
-                if key != here:
-                    here, avg, realized = key, 0.0, 0.0
-                avgs.append(avg)
-                totals.append(realized)
-                realized += p + q * avg
-                avg = a * avg + b
-            yield _with_doubles(batch, [*keys, series.seg], _avg0=avgs, _pnl0=totals)
+            if batch.num_rows == 0:
+                continue
+            first = affine.flags(batch)
+            a, b, p, q = affine.numbers(batch, *figures)
+            averages = affine.grouped_walk(a, b, first, 0.0, average)
+            ahead = affine.before(averages, first, 0.0, average)
+            totals = affine.grouped_walk(np.ones(len(a)), p + q * ahead, first, 0.0, realized)
+            starts = affine.before(totals, first, 0.0, realized)
+            average, realized = float(averages[-1]), float(totals[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cluster), pa.array(ahead), pa.array(starts)], names=started.fieldNames())
 
-    # One row per segment: rows / segment_rows of the table at most, streamed in batches.
-    return maps.repartition(*keys).sortWithinPartitions(*keys, series.seg).mapInArrow(chain, schema)
+    return affine.in_groups(maps, keys, [series.seg]).mapInArrow(chain, started)
 
 
 # -- fees -----------------------------------------------------------------------------------------
@@ -190,26 +177,60 @@ def funding_payments(observations: DataFrame, interval_seconds: int = 8 * 3600,
 # -- equity ---------------------------------------------------------------------------------------
 
 
+def _marked(bars: DataFrame, positions: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Series]:
+    """Fills (kind 0, with ``state``) and closes (kind 1) of every book on one time line; a fill at a bar's own open time comes first."""
+    state = F.struct("qty_after", "avg_entry", "realized_pnl")
+    state_type = positions.select(state.alias("s")).schema["s"].dataType
+    changes = positions.select(*keys, F.col("ts").alias("at"), F.lit(0).alias("kind"), F.col("fill_id").cast("string").alias("id"),
+                               state.alias("state"), F.lit(None).cast(bars.schema["close"].dataType).alias("close"))
+    marks = bars.select(*keys, F.col("open_time").alias("at"), F.lit(1).alias("kind"), F.lit("").alias("id"),
+                        F.lit(None).cast(state_type).alias("state"), "close")
+    return changes.unionByName(marks), Series(tuple(keys), ("at", "kind", "id"), width=30 * 86_400)
+
+
+def _gain(state: str, close: str) -> Column:
+    """Realised total plus what the open position is worth more than it cost; without a close it is worth its cost."""
+    quantity = F.coalesce(F.col(f"{state}.qty_after").cast("double"), F.lit(0.0))
+    entry = F.coalesce(F.col(f"{state}.avg_entry"), F.lit(0.0))
+    open_gain = F.when((quantity != 0) & F.col(close).isNotNull(), quantity * (F.col(close).cast("double") - entry)).otherwise(0.0)
+    return F.coalesce(F.col(f"{state}.realized_pnl"), F.lit(0.0)) + open_gain
+
+
 def equity_curve(bars: DataFrame, positions: DataFrame, starting_cash: float, key: str = "run_id") -> DataFrame:
     """Mark every bar of a run to its close: cash + realised + qty * (close - average entry).
 
     ``positions`` is replay output; a fill at the bar's own open time already counts.
     """
-    state = F.struct("qty_after", "avg_entry", "realized_pnl")
-    state_type = positions.select(state.alias("s")).schema["s"].dataType
-    changes = positions.select(key, F.col("ts").alias("at"), F.lit(0).alias("kind"), F.col("fill_id").cast("string").alias("id"),
-                               state.alias("state"), F.lit(None).cast(bars.schema["close"].dataType).alias("close"))
-    marks = bars.select(key, F.col("open_time").alias("at"), F.lit(1).alias("kind"), F.lit("").alias("id"),
-                        F.lit(None).cast(state_type).alias("state"), "close")
-    line = Series((key,), ("at", "kind", "id"), width=30 * 86_400)
-    held = line.running(changes.unionByName(marks), {"held": Measure("last", F.col("state"))})
-    quantity = F.coalesce(F.col("held.qty_after").cast("double"), F.lit(0.0))
-    entry = F.coalesce(F.col("held.avg_entry"), F.lit(0.0))
-    open_gain = F.when(quantity != 0, quantity * (F.col("close").cast("double") - entry)).otherwise(0.0)
-    value = F.lit(float(starting_cash)) + F.coalesce(F.col("held.realized_pnl"), F.lit(0.0)) + open_gain
+    rows, line = _marked(bars, positions, [key])
+    held = line.running(rows, {"held": Measure("last", F.col("state"))})
+    value = F.lit(float(starting_cash)) + _gain("held", "close")
     return tidy(held.where(F.col("kind") == 1).select(key, F.col("at").alias("ts"), F.lit(0).alias("seq"), value.alias("equity")))
 
 
+def portfolio_curve(bars: DataFrame, positions: DataFrame, starting_cash: float, key: str = "run_id", book: str = "instrument_id") -> DataFrame:
+    """Equity of runs over several instruments, at every time one of them has a bar.
+
+    Every fill and every close changes the worth of its own book; the changes of all books of a run at one time add up to
+    one row, and equity is their running sum. So a book whose bars have a gap keeps its last close, no book
+    waits for another, and neither the books of a run nor its time line are gathered. Sums are exact decimals: they
+    do not drift.
+    """
+    rows, line = _marked(bars, positions, [key, book])
+    state, close = F.col("state"), F.col("close")
+    held = line.running(
+        rows,
+        {
+            "_state": Measure("last", state), "_close": Measure("last", close),
+            "_old_state": Measure("last", state, inclusive=False), "_old_close": Measure("last", close, inclusive=False),
+        },
+    )
+    change = _gain("_state", "_close").cast(_CENTS) - _gain("_old_state", "_old_close").cast(_CENTS)
+    changes = held.groupBy(key, "at").agg(F.sum(change.cast(_CENTS)).alias("change"), F.max("kind").alias("kind"))
+    total = Series((key,), ("at",), width=30 * 86_400).running(changes, {"worth": Measure("sum", F.col("change"))})
+    value = (F.lit(float(starting_cash)).cast(_CENTS) + F.col("worth")).cast("double")
+    return tidy(total.where(F.col("kind") == 1).select(key, F.col("at").alias("ts"), F.lit(0).alias("seq"), value.alias("equity")))
+
+
 def sequence_gaps(messages: DataFrame, stream: str = "stream", order: str = "arrival", seq: str = "seq") -> DataFrame:
     """Messages whose sequence number is not the one before plus one."""
     line = Series((stream,), (order,), width=1 << 20)

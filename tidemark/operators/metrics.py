@@ -25,7 +25,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 def _returns(strict: bool) -> Column:
     before = F.col("prev.equity").cast("double")
-    complaint = F.lit("equity must stay positive to compute period returns")
+    complaint = F.lit("no return can be told from an equity of zero or less")
     bad = F.raise_error(complaint).cast("double") if strict else F.lit(None).cast("double")
     return F.when(before > 0, (_equity() - before) / before).when(before <= 0, bad)
 
@@ -67,7 +67,7 @@ def equity_metrics(
 ) -> DataFrame:
     """Return, growth, drawdown and risk ratios, one row per run, in one pass over the curve."""
     if periods_per_year < 1:
-        raise ValueError("periods_per_year must be >= 1")
+        raise ValueError("a year needs at least one period")
     seen = series.scan(equity, {"_peak": _peak(series.order[0])}, previous=["equity"])
     points = seen.withColumns({"period_return": _returns(strict), **_below_peak(series.order[0])})
     axis, rf, year = series.order[0], F.lit(float(risk_free_rate)), math.sqrt(periods_per_year)
@@ -158,6 +158,16 @@ def _market_days(series: Series) -> list[Column]:
     ]
 
 
+def _shared_market_days(positions: DataFrame, key: str) -> DataFrame:
+    """As ``_market_days`` for runs of several books: time counts while any of them is open. ``final_qty`` is the number of books left open."""
+    step = (F.col("qty_after") != 0).cast("long") - (F.col("qty_before") != 0).cast("long")
+    steps = positions.groupBy(key, F.col("ts").alias("at")).agg(F.sum(step).alias("step"))
+    line = Series((key,), ("at",), width=365 * 86_400)
+    seen = line.scan(steps, {"_open": Measure("sum", F.col("step"), inclusive=False)}, previous=["at"])
+    held = F.when(F.col("_open") > 0, elapsed_days("prev.at", "at")).otherwise(0.0)
+    return seen.groupBy(key).agg(F.sum(held).alias("days_between_fills"), F.sum("step").alias("final_qty"), F.max("at").alias("last_fill_ts"))
+
+
 def _market_share() -> Column:
     """Time with an open position over the run's span, an open tail included."""
     tail = F.when(F.col("final_qty") != 0, elapsed_days("last_fill_ts", "end_ts")).otherwise(0.0)
@@ -187,15 +197,23 @@ def tearsheet(
     slippage: DataFrame | None = None,
     positions: DataFrame | None = None,
     strict: bool = False,
+    book: str | None = None,
 ) -> DataFrame:
     """One row per run of either table, with every figure that can be told.
 
+    With ``book`` a run has one position per value of that column, and is in the market while any of them is open.
+
     ``problem`` says what a run lacks: ``equity`` (fewer than two points) or ``fills`` (none); then figures that
     need it are NULL, and fees and time in market without fills 0. With ``strict`` a run with a problem raises. ``slippage`` (run_id, slippage) is what fills alone cannot tell; without it the figure is NULL.
     """
     curve = equity_metrics(equity, risk_free_rate, periods_per_year)
-    positions = positions if positions is not None else replay(fills)
-    per_run = positions.groupBy(*FILLS.keys).agg(*_fee_sums(), *_trade_sums(), *_market_days(FILLS))
+    books = FILLS if book is None else FILLS.with_(keys=(*FILLS.keys, book))
+    positions = positions if positions is not None else replay(fills, books)
+    if book is None:
+        per_run = positions.groupBy(*FILLS.keys).agg(*_fee_sums(), *_trade_sums(), *_market_days(FILLS))
+    else:
+        sums = positions.groupBy("run_id").agg(*_fee_sums(), *_trade_sums())
+        per_run = sums.join(_shared_market_days(positions, "run_id"), "run_id")
     sheet = curve.join(per_run.withColumn("traded", F.lit(True)), "run_id", "full").withColumns({**_trade_ratios(), "time_in_market": _market_share()})
     short, idle = F.coalesce(F.col("points") < 2, F.lit(True)), F.col("traded").isNull()
     problem = F.when(short, "equity").when(idle, "fills")

@@ -54,7 +54,7 @@ def instruments(symbols: DataFrame, venue_id: str) -> DataFrame:
 def skipped_symbols(symbols: DataFrame) -> DataFrame:
     """The other symbols with the reason."""
     bad = trading_rules(symbols).where(F.col("missing").isNotNull())
-    return bad.select("symbol", F.concat(F.lit("missing required filter field(s): "), "missing").alias("reason"))
+    return bad.select("symbol", F.concat(F.lit("no value in filters for: "), "missing").alias("reason"))
 
 
 def _paired(existing: DataFrame, incoming: DataFrame, how: str) -> DataFrame:

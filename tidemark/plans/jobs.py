@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.intervals import is_closed, plus_seconds, step_seconds
 from tidemark.functions.money import FeeSchedule, SlippageModel, half_spread_plus_impact
 from tidemark.operators import accounting, continuity, execution, gaps, metrics, quality
-from tidemark.plans.ordered import Series, tidy
+from tidemark.plans.ordered import FILLS, Series, tidy
 from tidemark.schemas import MONEY
 from tidemark.session import scratch
 from tidemark.sources.store import upsert
@@ -120,9 +120,10 @@ def market_fills(signalled: DataFrame, qty: Decimal, fee_rate: Decimal, currency
     """Signals outside warm-up, filled whole at the open of the next bar. The last bar's is dropped."""
     seen = tidy(series.previous(signalled, ["signal", "in_warmup", "open_time"]))
     made = seen.where(F.col("prev.signal").isNotNull() & ~F.col("prev.in_warmup"))
+    keys = list(series.keys)
     amount = F.lit(qty).cast(MONEY)
     return made.select(
-        "run_id",
+        *keys,
         F.unix_micros("prev.open_time").alias("fill_id"),
         F.col("open_time").alias("ts"),
         F.col("prev.signal").alias("side"),
@@ -154,9 +155,10 @@ def executed_fills(signalled: DataFrame, qty: Decimal, currency: str, how: Execu
     """
     seen = tidy(series.previous(signalled, ["signal", "in_warmup", "open_time"]))
     made = seen.where(F.col("prev.signal").isNotNull() & ~F.col("prev.in_warmup"))
+    keys = list(series.keys)
     money = lambda v: F.lit(v).cast(MONEY)
     orders = made.select(
-        "run_id",
+        *keys,
         F.unix_micros("prev.open_time").alias("fill_id"),
         F.col("prev.signal").alias("side"),
         money(qty).alias("qty"),
@@ -174,7 +176,7 @@ def executed_fills(signalled: DataFrame, qty: Decimal, currency: str, how: Execu
     )
     done = execution.evaluate_orders(orders, how.schedule, how.slippage, how.max_volume_fraction).where(F.col("fill_qty").isNotNull())
     fills = done.select(
-        "run_id",
+        *keys,
         "fill_id",
         F.col("fill_ts").alias("ts"),
         "side",
@@ -184,8 +186,10 @@ def executed_fills(signalled: DataFrame, qty: Decimal, currency: str, how: Execu
         F.lit(currency).alias("currency"),
         (F.abs(F.col("fill_price") - F.col("bar.open")) * F.col("fill_qty")).cast("double").alias("slippage"),
     )
-    fees = accounting.fill_fees(accounting.trailing_volume(fills, ["run_id"]), how.schedule)
-    return fees.withColumn("fee", F.col("fee").cast(MONEY))
+    # The volume that counts is the run's, over all its books; fills of several books at one time need an order of their own.
+    placed = fills.withColumn("_place", F.struct("fill_id", *keys[1:]))
+    fees = accounting.fill_fees(accounting.trailing_volume(placed, ["run_id"], order_id="_place"), how.schedule)
+    return fees.withColumn("fee", F.col("fee").cast(MONEY)).drop("_place")
 
 
 def backtest(
@@ -199,27 +203,34 @@ def backtest(
     periods_per_year: int = 252,
     workdir: str | None = None,
     how: Execution | None = None,
+    book: str | None = None,
 ) -> dict[str, DataFrame]:
     """Every run of ``bars`` (keyed by run_id) at once: signals, counters, fills, positions, equity, tearsheet.
 
     Without ``how`` orders fill whole at the next open at one ``fee_rate``; with it by ``executed_fills``, and the
     tearsheet has the slippage of each run.
 
+    With ``book`` (a column such as instrument_id) a run trades several instruments: bars are numbered, rules seen and
+    orders filled per book, every book has its own position, and equity is that of the run (``accounting.portfolio_curve``).
+
     Fills, positions and equity are tables of their own below ``workdir`` (by default a fresh folder in the
     shared scratch space): each is read several times.
     """
     workdir = workdir or scratch(bars.sparkSession, "backtest")
-    signalled = signals(bars, rule, warmup)
-    made = market_fills(signalled, qty, fee_rate, currency) if how is None else executed_fills(signalled, qty, currency, how)
+    keys = ("run_id",) if book is None else ("run_id", book)
+    line = RUN_BARS.with_(keys=keys)
+    signalled = signals(bars, rule, warmup, line)
+    made = market_fills(signalled, qty, fee_rate, currency, line) if how is None else executed_fills(signalled, qty, currency, how, line)
     fills = staged(made, f"{workdir}/fills")
     slippage = None if how is None else fills.groupBy("run_id").agg(F.sum("slippage").alias("slippage"))
-    positions = staged(accounting.replay(fills), f"{workdir}/positions")
-    equity = staged(accounting.equity_curve(bars, positions, starting_cash), f"{workdir}/equity")
+    positions = staged(accounting.replay(fills, FILLS.with_(keys=keys)), f"{workdir}/positions")
+    curve = accounting.equity_curve(bars, positions, starting_cash) if book is None else accounting.portfolio_curve(bars, positions, starting_cash, book=book)
+    equity = staged(curve, f"{workdir}/equity")
     return {
         "signals": signalled,
         "counters": metrics.run_counters(signalled),
         "fills": fills,
         "positions": positions,
         "equity": equity,
-        "tearsheet": metrics.tearsheet(equity, fills, periods_per_year=periods_per_year, positions=positions, slippage=slippage),
+        "tearsheet": metrics.tearsheet(equity, fills, periods_per_year=periods_per_year, positions=positions, slippage=slippage, book=book),
     }
