@@ -25,8 +25,8 @@ DIMS, LEVELS = 32, 4
 
 # Words of one length from which its space is cut into cells, each searched by a task of its own.
 CELL = 16_384
-# Words (by digest order) the cuts between cells are taken from. They balance the cells and decide nothing else.
-SAMPLE = 200_000
+# Words (about so many, by their digests) the cuts between cells are taken from. They balance the cells and decide nothing else.
+SAMPLE = 100_000
 # Points, queries and letters of either that a task holds; a cell with more is searched in blocks of both.
 POINTS, QUERIES, LETTERS = 1 << 16, 1 << 18, 1 << 24
 # Points of a leaf within a task, and pairs compared in one go.
@@ -145,7 +145,8 @@ def cells(words: DataFrame) -> dict[int, Node]:
     many = {r["length"]: r["n"] for r in words.groupBy(length.alias("length")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).collect()}
     if not many:
         return {}
-    picked = words.where(length.isin(list(many))).select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()
+    part = min(1.0, SAMPLE / sum(many.values()))
+    picked = words.where(length.isin(list(many)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) <= int(part * (1 << 30)))).select("word").collect()
     by_length: dict[int, list[str]] = {}
     for row in picked:
         by_length.setdefault(len(row["word"]), []).append(row["word"])
@@ -190,8 +191,19 @@ def _visits(tree: Node | None, bits: np.ndarray, reach: tuple[int, int]) -> Iter
 def routed(words: DataFrame, trees: dict[int, Node]) -> DataFrame:
     """Every word once as a point of its cell, and as a query for each cell of its own length and the next that it may have near words in."""
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= POINTS:
+                yield pd.concat(held)
+                held, n = [], 0
+        if n:
+            yield pd.concat(held)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in gathered(batches):
             for size, rows in batch.groupby(batch["word"].str.len()):
                 letters = _letters(rows["word"].tolist(), size)
                 vectors = _vectors(letters)
