@@ -29,7 +29,7 @@ from tidemark.functions.money import (
     signed_qty,
     slipped_price,
 )
-from tidemark.operators import accounting, asof, execution, metrics, orders
+from tidemark.operators import accounting, asof, execution, metrics, orders, resting
 from tidemark.plans import jobs
 from tidemark.plans.ordered import Series
 from tidemark.schemas import MONEY
@@ -334,6 +334,55 @@ def i2_evaluate_orders(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("order_id", "outcome", "fill_qty", "fill_price", "fee", "fill_ts", "remaining_qty")
 
 
+_QUEUE = f"""{WITH_CANDLES}, asks AS (SELECT event_id AS order_id, event_type AS instrument_id, ts AS placed_at, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+   CAST(1 + event_id % 40 + CASE WHEN event_id % 11 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(18,8)) - CAST(CASE WHEN event_id % 22 = 0 THEN 0.5 WHEN event_id % 5 = 0 AND event_id % 11 <> 0 THEN 1 ELSE 0 END AS DECIMAL(18,8)) AS need,
+   value % 2 < 1 AS is_maker, (event_id * 7) % 3000 AS vol FROM events),
+ queued AS (SELECT *, sum(need) OVER (PARTITION BY instrument_id ORDER BY placed_at, order_id) AS upto FROM asks WHERE need > 0 AND (need * 2) % 2 = 0),
+ room AS (SELECT instrument_id, open_time, open, volume, CAST(volume * 0.25 AS DECIMAL(18,8)) AS c, row_number() OVER (PARTITION BY instrument_id ORDER BY open_time) AS t,
+   (SELECT coalesce(sum(need), 0) FROM queued q WHERE q.instrument_id = b.instrument_id AND q.placed_at < b.open_time) AS a FROM candles b WHERE volume > 0),
+ walk AS (SELECT instrument_id, t, CAST(0 AS DECIMAL(28,8)) AS before, CAST(least(a, c) AS DECIMAL(28,8)) AS d FROM room WHERE t = 1
+   UNION ALL SELECT r.instrument_id, r.t, w.d, CAST(least(r.a, w.d + r.c) AS DECIMAL(28,8)) FROM walk w JOIN room r ON r.instrument_id = w.instrument_id AND r.t = w.t + 1),
+ met AS (SELECT q.order_id, r.*, q.side, q.is_maker, q.vol, q.upto, least(w.d, q.upto) - greatest(w.before, q.upto - q.need) AS qty, q.upto - greatest(w.before, q.upto - q.need) AS rest
+   FROM walk w JOIN room r ON r.instrument_id = w.instrument_id AND r.t = w.t JOIN queued q ON q.instrument_id = w.instrument_id AND w.d > q.upto - q.need AND w.before < q.upto AND w.d > w.before),
+ dealt AS (SELECT *, CAST(open + (CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * CAST(0.02 / 2 + CAST(rest AS DOUBLE) / CAST(volume AS DOUBLE) * 0.3 AS DECIMAL(18,8)) AS DECIMAL(18,8)) AS price FROM met)"""
+
+
+def resting_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as an order that stays open in the queue of its type."""
+    i, amount = F.col("event_id"), lambda c: c.cast(MONEY)
+    half, some = (i % 11 == 0), F.when(i % 22 == 0, 0.5).when((i % 5 == 0) & (i % 11 != 0), 1.0).otherwise(0.0)
+    return table(spark, sf, "events").select(
+        i.alias("order_id"), F.col("event_type").alias("instrument_id"), F.lit("1h").alias("interval"), F.col("ts").alias("placed_at"),
+        F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"), amount(1 + i % 40 + F.when(half, F.lit(0.5)).otherwise(0.0)).alias("qty"), amount(some).alias("filled_qty"),
+        amount(F.lit(1)).alias("lot_size"), F.lit(0.02).alias("spread"), F.lit(0.3).alias("volatility"), (F.col("value") % 2 < 1).alias("is_maker"), ((i * 7) % 3000).alias("thirty_day_volume"),
+    )
+
+
+def _resting(spark: SparkSession, sf: str) -> DataFrame:
+    return resting.resting_fills(resting_orders(spark, sf), candles(spark, sf), SCHEDULE, max_volume_fraction=Decimal("0.25"), latency_seconds=2)
+
+
+@query(
+    "i2_resting_orders",
+    f"""{_QUEUE} SELECT order_id, epoch_us(open_time) + 2000000 AS fill_ts, {r6('qty')} AS fill_qty, {r6('price')} AS fill_price,
+    {r6("CAST(CAST(qty AS DECIMAL(19,8)) * price AS DOUBLE) * (" + rate_sql('vol', 'is_maker') + ")")} AS fee, {r6('rest - qty')} AS remaining_qty FROM dealt""",
+)
+def i2_resting_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Fills of orders that wait for as many bars as they need."""
+    return _resting(spark, sf).select("order_id", "fill_ts", "fill_qty", "fill_price", "fee", "remaining_qty")
+
+
+@query(
+    "i2_resting_outcomes",
+    f"""{_QUEUE}, sums AS (SELECT order_id, sum(qty) AS qty, count(*) AS bars FROM dealt GROUP BY 1)
+    SELECT a.order_id, CASE WHEN need <= 0 THEN 'invalid' WHEN (need * 2) % 2 <> 0 THEN 'precision' WHEN coalesce(s.qty, 0) = need THEN 'filled' WHEN s.qty > 0 THEN 'partially_filled' ELSE 'open' END AS outcome,
+    {r6('coalesce(s.qty, 0)')} AS fill_qty, coalesce(bars, 0) AS bars, {r6('need - coalesce(s.qty, 0)')} AS remaining_qty FROM asks a LEFT JOIN sums s ON s.order_id = a.order_id""",
+)
+def i2_resting_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    done = resting.resting_outcomes(resting_orders(spark, sf), _resting(spark, sf))
+    return done.select("order_id", "outcome", "fill_qty", "bars", "remaining_qty")
+
+
 # -- order events -------------------------------------------------------------------------------
 
 _ORDER_EVENTS = """SELECT event_id // 4 AS order_id, event_id % 4 + 1 + CASE WHEN event_id % 61 = 0 THEN 1 ELSE 0 END AS seq, ts, event_id,
