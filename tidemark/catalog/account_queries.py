@@ -29,7 +29,7 @@ from tidemark.functions.money import (
     signed_qty,
     slipped_price,
 )
-from tidemark.operators import accounting, asof, execution, metrics, orders, resting
+from tidemark.operators import accounting, asof, execution, metrics, orders, resting, rules
 from tidemark.plans import jobs
 from tidemark.plans.ordered import Series
 from tidemark.schemas import MONEY
@@ -481,6 +481,26 @@ def k6_custom_signal_rule(spark: SparkSession, sf: str) -> DataFrame:
     return signalled.where(~F.col("in_warmup")).select("run_id", "open_time", "signal")
 
 
+_BAND = f"""{_RUNS}, line AS (SELECT run_id, open_time, i + 1 AS n, CAST(open AS DOUBLE) AS o, CAST(close AS DOUBLE) AS c FROM sigs),
+ held AS (SELECT run_id, n, 0 AS before, CAST(NULL AS DOUBLE) AS entry, CASE WHEN c > 70 AND n > 5 THEN 1 ELSE 0 END AS after, CASE WHEN c > 70 AND n > 5 THEN 'buy' END AS signal, CAST(NULL AS VARCHAR) AS cause FROM line WHERE n = 1
+   UNION ALL SELECT l.run_id, l.n, h.after, CASE h.after WHEN 1 THEN l.o WHEN 2 THEN h.entry END,
+     CASE WHEN h.after = 0 THEN CASE WHEN l.c > 70 AND l.n > 5 THEN 1 ELSE 0 END WHEN l.c < 30 OR l.c <= 0.8::DOUBLE * (CASE h.after WHEN 1 THEN l.o ELSE h.entry END) THEN 0 ELSE 2 END,
+     CASE WHEN h.after = 0 THEN CASE WHEN l.c > 70 AND l.n > 5 THEN 'buy' END WHEN l.c < 30 OR l.c <= 0.8::DOUBLE * (CASE h.after WHEN 1 THEN l.o ELSE h.entry END) THEN 'sell' END,
+     CASE WHEN h.after = 0 THEN NULL WHEN l.c < 30 THEN 'rule' WHEN l.c <= 0.8::DOUBLE * (CASE h.after WHEN 1 THEN l.o ELSE h.entry END) THEN 'stop' END
+   FROM held h JOIN line l ON l.run_id = h.run_id AND l.n = h.n + 1)"""
+
+
+@query(
+    "k6_stateful_rule",
+    f"""{_BAND} SELECT h.run_id, epoch_us(l.open_time) AS open_time, signal, {r6('entry')} AS entry, cause FROM held h JOIN line l ON l.run_id = h.run_id AND l.n = h.n WHERE signal IS NOT NULL OR entry IS NOT NULL""",
+)
+def k6_stateful_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """In above 70, out below 30 or a fifth below the price the entry was filled at."""
+    close = F.col("close").cast("double")
+    signalled = jobs.signals(run_bars(spark, sf), rules.band_rule(close > 70, close < 30, 0.8, warmup=5), 5)
+    return signalled.where("signal IS NOT NULL OR entry IS NOT NULL").select("run_id", "open_time", "signal", "entry", "cause")
+
+
 @query("e18_equity_curve", f"{_MARKED} SELECT run_id, epoch_us(ts) AS ts, {r6('equity')} AS equity FROM equity")
 def e18_equity_curve(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.backtest(run_bars(spark, sf), _RULE, 5)["equity"].select("run_id", "ts", "equity")
