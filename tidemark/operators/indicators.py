@@ -8,15 +8,16 @@ stands, and the next price goes on from it.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.plans.ordered import BARS, BLOCK, POSITION, Measure, Series, tidy
-
-_MAX_EXPONENT = 690.0  # exp() of more would leave the double range
-_NEGLIGIBLE = 45.0  # exp(-45) is below half a unit in the last place of a double
+from tidemark.plans import affine
+from tidemark.plans.ordered import BARS, POSITION, Series, tidy
 
 
 def _at_least(name: str, value: int, least: int) -> None:
@@ -156,76 +157,110 @@ def panel(
 
 # -- exponential ------------------------------------------------------------------------------
 #
-# y[i] = r*y[i-1] + a*x[i] with a = 2/(span+1), r = 1-a, y[0] = x[0].
-# Within a block of B positions the sum form y[j] = r^j * sum(a*x[m]*r^-m) + r^(j+1)*y_before needs
-# only a running sum. B is chosen so that r^-B stays in range while r^B is far below the precision
-# of a double: the value carried into a block then depends on the block before it alone, and no
-# chain over the whole series is needed.
-
-
-def _decay(span: int) -> float:
-    return math.log((span + 1) / (span - 1)) if span > 1 else math.inf
-
-
-def _block_rows(spans: Sequence[int]) -> int | None:
-    """One block length that suits every span, or None."""
-    real = [s for s in spans if s > 1]
-    if not real:
-        return 1
-    shortest = math.ceil(_NEGLIGIBLE / _decay(max(real)))
-    longest = math.floor(_MAX_EXPONENT / _decay(min(real)))
-    return max(shortest, min(longest // 2, 4 * shortest)) if shortest <= longest else None
-
-
-_MISSING = "_missing"
-
-
-def _numbered(bars: DataFrame, price: str, series: Series) -> DataFrame:
-    """Bars with the number of prices up to them as POSITION; bars without a price keep the number before."""
-    bars = bars.withColumn(_MISSING, _num(price).isNull() | F.isnan(_num(price)))
-    return series.scan(bars, {POSITION: Measure("count", F.when(~F.col(_MISSING), F.lit(1)))})
-
-
-def _present(value: Column) -> Column:
-    return F.when(~F.col(_MISSING), value)
-
-
-def _smooth(indexed: DataFrame, values: Mapping[str, tuple[Column, int]], rows: int, series: Series) -> DataFrame:
-    """Add exponential means; ``values`` maps an output name to (input, span)."""
-    keys = [*series.keys, BLOCK]
-    blocked = indexed.withColumn(BLOCK, F.floor((F.col(POSITION) - 1) / F.lit(rows)).cast("long"))
-    place = ((F.col(POSITION) - 1) % F.lit(rows)).cast("double")
-    terms, ends, columns = {}, [], {}
-    # A bar without a price shares the number of the last price and comes after it.
-    running = Window.partitionBy(*keys).orderBy(POSITION, _MISSING).rowsBetween(Window.unboundedPreceding, 0)
-    for name, (x, span) in values.items():
-        if span == 1:
-            continue
-        a, r = 2.0 / (span + 1), (span - 1.0) / (span + 1)
-        weight = F.when(F.col(POSITION) == 1, F.lit(1.0)).otherwise(F.lit(a))
-        terms[name] = weight * x * F.pow(F.lit(r), -place)
-        ends.append((F.sum(F.col(f"_x_{name}")) * F.lit(r ** (rows - 1))).alias(f"_b_{name}"))
-        carried = F.coalesce(F.col(f"_b_{name}"), F.lit(0.0)) * F.pow(F.lit(r), place + 1)
-        columns[name] = F.sum(f"_x_{name}").over(running) * F.pow(F.lit(r), place) + carried
-    # With a weight of 1 the mean is the last price itself, which starts every block anew: it is summed alone.
-    steps = Window.partitionBy(*series.keys, BLOCK, POSITION).orderBy(_MISSING).rowsBetween(Window.unboundedPreceding, 0)
-    added = {n: F.sum(x).over(steps) for n, (x, span) in values.items() if span == 1}
-    if terms:
-        blocked = blocked.withColumns({f"_x_{n}": t for n, t in terms.items()})
-        # A block's end value, handed to the block after it.
-        ends_of = blocked.groupBy(*keys).agg(*ends).withColumn(BLOCK, F.col(BLOCK) + 1)
-        blocked = blocked.join(ends_of, keys, "left")
-    kept = [c for c in indexed.columns if c not in (*series.keys, BLOCK)]
-    out = blocked.withColumns({**added, **columns})
-    return out.select(*series.keys, *kept, *values, BLOCK)
+# y[i] = r*y[i-1] + a*x[i] with a = 2/(span+1), r = 1-a, y[0] = x[0]; where there is no price, y[i] = y[i-1].
+# A segment is one map of the means in front of it to those behind it: y' = decay*y + shift. The signal is a mean of the
+# difference of two others, so its map is linear in all three. Maps are chained, one row per segment, and every segment
+# is walked from its right start. Spans may be of any length, series of any skew.
+
+
+def _steps(x: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms of a mean over ``x``; NaN is no price."""
+    a, there = 2.0 / (span + 1), ~np.isnan(x)
+    return np.where(there, 1.0 - a, 1.0), np.where(there, a * np.nan_to_num(x), 0.0)
+
+
+def _first_price(x: np.ndarray, first: np.ndarray, carried: float) -> np.ndarray:
+    """On each row the first price of its group, as far as the batch and what is carried tell; NaN without one."""
+    number = np.cumsum(first)
+    there = np.flatnonzero(~np.isnan(x))
+    found = np.full(number[-1] + 1, np.nan)
+    found[number[there[::-1]]] = x[there[::-1]]
+    if not first[0] and carried == carried:
+        found[0] = carried
+    return found[number]
+
+
+def _means(bars: DataFrame, price: str, spans: Sequence[int], outs: Sequence[str], series: Series) -> DataFrame:
+    """Add exponential means of ``price``: one span, or a fast and a slow one and the signal of their difference."""
+    cluster = [*series.keys, series.seg]
+    marked = series.segment(bars).withColumn("_x", _num(price))
+    places = T.StructType([marked.schema[c] for c in cluster])
+    straight = spans[:2]
+    figures = [f"{n}{k}" for k in range(len(straight)) for n in ("decay", "shift")] + ["begin"] + (["decay_s", "shift_s", "of_fast", "of_slow"] if len(spans) == 3 else [])
+
+    def running(batch: pa.RecordBatch, first: np.ndarray, carried: np.ndarray) -> np.ndarray:
+        (x,) = affine.numbers(batch, "_x")
+        known = dict(zip(figures, carried, strict=True))
+        paths = {}
+        for k, span in enumerate(straight):
+            r, term = _steps(x, span)
+            paths[f"decay{k}"] = affine.grouped_walk(r, np.zeros(len(x)), first, 1.0, known[f"decay{k}"])
+            paths[f"shift{k}"] = affine.grouped_walk(r, term, first, 0.0, known[f"shift{k}"])
+        paths["begin"] = _first_price(x, first, known["begin"])
+        if len(spans) == 3:
+            hole = np.isnan(x)
+            line = {"shift_s": paths["shift0"] - paths["shift1"], "of_fast": paths["decay0"], "of_slow": -paths["decay1"]}
+            for name, values in line.items():
+                paths[name] = affine.grouped_walk(*_steps(np.where(hole, np.nan, values), spans[2]), first, 0.0, known[name])
+            r, _ = _steps(x, spans[2])
+            paths["decay_s"] = affine.grouped_walk(r, np.zeros(len(x)), first, 1.0, known["decay_s"])
+        return np.stack([paths[name] for name in figures], axis=1)
+
+    mapped = T.StructType([*places.fields, *[T.StructField(f"_{c}", T.DoubleType()) for c in figures]])
+    narrow = affine.in_groups(marked.select(*cluster, *[c for c in series.order if c not in cluster], "_x"), cluster, series.order)
+    maps = narrow.mapInArrow(lambda batches: affine.group_ends(batches, cluster, running, [f"_{c}" for c in figures]), mapped)
+    starts_of = [f"_s{k}" for k in range(len(spans))]
+    started = T.StructType([*places.fields, *[T.StructField(c, T.DoubleType()) for c in starts_of], T.StructField("_fresh", T.BooleanType())])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list[float] | None = None
+        for batch in batches:
+            starts, fresh = [], []
+            for begins, row in zip(affine.flags(batch), batch.select([f"_{c}" for c in figures]).to_pylist(), strict=True):
+                m = {c: row[f"_{c}"] for c in figures}
+                state = None if begins else state
+                fresh.append(state is None)
+                if state is None and m["begin"] == m["begin"]:
+                    # The first price is the first mean, and the first difference of two means is 0.
+                    state = [m["begin"]] * len(straight) + [0.0] * (len(spans) - len(straight))
+                starts.append(state or [float("nan")] * len(spans))
+                if state is not None:
+                    after = [m[f"decay{k}"] * state[k] + m[f"shift{k}"] for k in range(len(straight))]
+                    if len(spans) == 3:
+                        after.append(m["decay_s"] * state[2] + m["shift_s"] + m["of_fast"] * state[0] + m["of_slow"] * state[1])
+                    state = after
+            columns = [pa.array(list(c), pa.float64()) for c in zip(*starts, strict=True)] if starts else [pa.array([], pa.float64())] * len(spans)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cluster), *columns, pa.array(fresh, pa.bool_())], names=started.fieldNames())
+
+    starts = affine.in_groups(maps, series.keys, [series.seg]).mapInArrow(chain, started)
+    kept = [c for c in bars.columns if c not in outs]
+    schema = T.StructType([marked.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in outs])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, seen = [0.0] * len(spans), 0.0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            first, fresh = affine.flags(batch), affine.flags(batch, "_fresh")
+            x, *begin = affine.numbers(batch, "_x", *starts_of)
+            means = [affine.grouped_walk(*_steps(x, span), first, begin[k], carried[k]) for k, span in enumerate(straight)]
+            if len(spans) == 3:
+                line = np.where(np.isnan(x), np.nan, means[0] - means[1])
+                means.append(affine.grouped_walk(*_steps(line, spans[2]), first, begin[2], carried[2]))
+            carried = [float(m[-1]) for m in means]
+            prices = affine.grouped_walk(np.ones(len(x)), (~np.isnan(x)).astype(float), first, 0.0, seen)
+            seen = float(prices[-1])
+            none = (fresh & (prices == 0)) | np.isnan(means[0])
+            shown = means if len(spans) == 1 else [means[0] - means[1], means[2], means[0] - means[1] - means[2]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(m, mask=none) for m in shown)], names=schema.fieldNames())
+
+    return affine.in_groups(marked.join(starts, cluster), cluster, series.order).mapInArrow(walk, schema)
 
 
 def ema(bars: DataFrame, span: int, price: str = "close", out: str = "ema", series: Series = BARS) -> DataFrame:
     """Exponential mean with weight 2/(span+1), starting at the first price."""
     _at_least("ema: span", span, 1)
-    rows = _block_rows([span])
-    numbered = _numbered(bars, price, series)
-    return tidy(_smooth(numbered, {out: (_present(_num(price)), span)}, rows, series)).drop(_MISSING)
+    return _means(bars, price, [span], [out], series)
 
 
 def macd(
@@ -241,17 +276,4 @@ def macd(
         _at_least(f"macd: {name} span", span, 1)
     if fast >= slow:
         raise ValueError("macd: fast span must be < slow span")
-    rows = _block_rows([fast, slow, signal])
-    indexed = _numbered(bars, price, series)
-    both = {"_fast": (_present(_num(price)), fast), "_slow": (_present(_num(price)), slow)}
-    if rows is not None:
-        lines = _smooth(indexed, both, rows, series)
-    else:
-        lines = indexed
-        for name, value in both.items():
-            lines = _smooth(lines, {name: value}, _block_rows([value[1]]), series)
-    lines = lines.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    smoothed = _smooth(
-        lines, {"macd_signal": (_present(F.col("macd")), signal)}, rows or _block_rows([signal]), series
-    )
-    return tidy(smoothed.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))).drop(_MISSING)
+    return _means(bars, price, [fast, slow, signal], ["macd", "macd_signal", "macd_hist"], series)

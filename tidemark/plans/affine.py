@@ -7,7 +7,7 @@ by their ends and run again from their starts; between batches one value is carr
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,35 @@ def in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Data
     return df.withColumn(FIRST, F.row_number().over(window) == 1).sortWithinPartitions(*group, *order)
 
 
+def group_ends(
+    batches: Iterator[pa.RecordBatch], group: Sequence[str], running: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], out: Sequence[str]
+) -> Iterator[pa.RecordBatch]:
+    """One row per group with the last of its ``running`` figures.
+
+    ``running`` gives a row of figures per row of a batch, from the batch, its ``first`` flags and the figures carried so far.
+    """
+    pending: pa.RecordBatch | None = None
+    carried = np.zeros(len(out))
+
+    def rows(keys: pa.RecordBatch, figures: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(f) for f in np.atleast_2d(figures).T)], names=[*group, *out])
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        first = flags(batch)
+        figures = running(batch, first, carried)
+        if first[0] and pending is not None:
+            yield rows(pending, carried)
+        ends = np.append(np.flatnonzero(first[1:]), len(first) - 1)
+        keys = batch.select(list(group))
+        if len(ends) > 1:
+            yield rows(keys.take(pa.array(ends[:-1])), figures[ends[:-1]])
+        pending, carried = keys.slice(int(ends[-1]), 1), figures[ends[-1]]
+    if pending is not None:
+        yield rows(pending, carried)
+
+
 def group_maps(batches: Iterator[pa.RecordBatch], group: Sequence[str], inputs: Sequence[str], out: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """One row per group: the map (a, b) its rows compose to for the average, and (p, q) with gain = p + q * average before it.
 
