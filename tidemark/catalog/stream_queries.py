@@ -154,6 +154,34 @@ def j7_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return bar_streams.ingested(spark.read.parquet(f"{path}/candles")).select("instrument_id", "open_time", "close")
 
 
+_MID = "2024-01-12"
+
+
+@query("j3_stream_from_store", f"SELECT * FROM ({_PANEL_SQL}) WHERE open_time >= epoch_us(TIMESTAMP '{_MID}')")
+def j3_stream_from_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream that begins in the middle of the bars goes on from the stored ones as if it had seen them."""
+    rows = candles(spark, sf).select("instrument_id", "interval", "open_time", "high", "low", "close")
+    cut = F.lit(_MID).cast("timestamp")
+    stored = rows.where(F.col("open_time") < cut)
+    done = collected(rows.where(F.col("open_time") >= cut), "open_time", "from-store", lambda s: indicators.stream_indicators(s, stored=stored)).drop("interval")
+    return done.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in indicators.OUTPUTS})
+
+
+@query(
+    "j6_gate_from_store",
+    f"""{WITH_CANDLES}, kept AS (SELECT instrument_id, max(open_time) AS last FROM candles WHERE open_time < TIMESTAMP '{_MID}' GROUP BY 1),
+    rest AS (SELECT c.*, last, row_number() OVER (PARTITION BY c.instrument_id ORDER BY open_time) AS rn FROM candles c JOIN kept k ON k.instrument_id = c.instrument_id AND open_time > last)
+    SELECT {_AT}, {r6('close')} AS close FROM rest WHERE epoch_us(open_time) - epoch_us(last) = rn * 3600000000""",
+)
+def j6_gate_from_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The first slot a gate waits for is the one after the last stored bar; bars of the day before it come again."""
+    rows, cut = candles(spark, sf), F.lit(_MID).cast("timestamp")
+    stored = rows.where(F.col("open_time") < cut)
+    live = rows.where(F.col("open_time") >= cut - F.expr("interval 1 day")).select("instrument_id", "interval", "open_time", *gapgate.FIGURES)
+    sent = live.withColumn("sent", F.when(F.hour("open_time") % 5 == 0, F.col("open_time") + F.expr("interval 10 days")).otherwise(F.col("open_time")))
+    return collected(sent, "sent", "gate-from-store", lambda s: gapgate.released(s, stored=stored)).select("instrument_id", "open_time", "close")
+
+
 _LATE_SQL = f"""{WITH_DIRTY}, late AS (SELECT * REPLACE (arrival * 2 + CASE WHEN arrival % 7 = 0 THEN 801 ELSE 0 END AS arrival) FROM dirty)"""
 
 

@@ -180,8 +180,11 @@ def _first_price(x: np.ndarray, first: np.ndarray, carried: float) -> np.ndarray
     return found[number]
 
 
-def _means(bars: DataFrame, price: str, spans: Sequence[int], outs: Sequence[str], series: Series) -> DataFrame:
-    """Add exponential means of ``price``: one span, or a fast and a slow one and the signal of their difference."""
+def _chained(bars: DataFrame, price: str, spans: Sequence[int], series: Series) -> tuple[DataFrame, DataFrame]:
+    """(bars in segments, per segment the means in front of it ``_s0``... and behind it ``_e0``...).
+
+    One span, or a fast and a slow one and that of the signal of their difference.
+    """
     cluster = [*series.keys, series.seg]
     marked = series.segment(bars).withColumn("_x", _num(price))
     places = T.StructType([marked.schema[c] for c in cluster])
@@ -209,8 +212,8 @@ def _means(bars: DataFrame, price: str, spans: Sequence[int], outs: Sequence[str
     mapped = T.StructType([*places.fields, *[T.StructField(f"_{c}", T.DoubleType()) for c in figures]])
     narrow = affine.in_groups(marked.select(*cluster, *[c for c in series.order if c not in cluster], "_x"), cluster, series.order)
     maps = narrow.mapInArrow(lambda batches: affine.group_ends(batches, cluster, running, [f"_{c}" for c in figures]), mapped)
-    starts_of = [f"_s{k}" for k in range(len(spans))]
-    started = T.StructType([*places.fields, *[T.StructField(c, T.DoubleType()) for c in starts_of], T.StructField("_fresh", T.BooleanType())])
+    bounds = [f"_{side}{k}" for side in "se" for k in range(len(spans))]
+    started = T.StructType([*places.fields, *[T.StructField(c, T.DoubleType()) for c in bounds], T.StructField("_fresh", T.BooleanType())])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list[float] | None = None
@@ -223,16 +226,32 @@ def _means(bars: DataFrame, price: str, spans: Sequence[int], outs: Sequence[str
                 if state is None and m["begin"] == m["begin"]:
                     # The first price is the first mean, and the first difference of two means is 0.
                     state = [m["begin"]] * len(straight) + [0.0] * (len(spans) - len(straight))
-                starts.append(state or [float("nan")] * len(spans))
+                start = state
                 if state is not None:
                     after = [m[f"decay{k}"] * state[k] + m[f"shift{k}"] for k in range(len(straight))]
                     if len(spans) == 3:
                         after.append(m["decay_s"] * state[2] + m["shift_s"] + m["of_fast"] * state[0] + m["of_slow"] * state[1])
                     state = after
-            columns = [pa.array(list(c), pa.float64()) for c in zip(*starts, strict=True)] if starts else [pa.array([], pa.float64())] * len(spans)
+                none = [float("nan")] * len(spans)
+                starts.append([*(start or none), *(state or none)])
+            columns = [pa.array([row[k] for row in starts], pa.float64()) for k in range(len(bounds))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cluster), *columns, pa.array(fresh, pa.bool_())], names=started.fieldNames())
 
-    starts = affine.in_groups(maps, series.keys, [series.seg]).mapInArrow(chain, started)
+    return marked, affine.in_groups(maps, series.keys, [series.seg]).mapInArrow(chain, started)
+
+
+def last_means(bars: DataFrame, price: str, spans: Sequence[int], series: Series = BARS) -> DataFrame:
+    """Per series the means after its last bar, as ``m0``, ``m1``...: of one span, or of fast, slow and signal; NaN without a price."""
+    _, chained = _chained(bars, price, spans, series)
+    ends = F.max_by(F.struct(*[F.col(f"_e{k}").alias(f"m{k}") for k in range(len(spans))]), series.seg)
+    return chained.groupBy(*series.keys).agg(ends.alias("m")).select(*series.keys, "m.*")
+
+
+def _means(bars: DataFrame, price: str, spans: Sequence[int], outs: Sequence[str], series: Series) -> DataFrame:
+    """Add exponential means of ``price``, or those of fast, slow and signal as line, signal and difference."""
+    marked, starts = _chained(bars, price, spans, series)
+    cluster, straight = [*series.keys, series.seg], spans[:2]
+    starts_of = [f"_s{k}" for k in range(len(spans))]
     kept = [c for c in bars.columns if c not in outs]
     schema = T.StructType([marked.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in outs])
 
@@ -254,6 +273,7 @@ def _means(bars: DataFrame, price: str, spans: Sequence[int], outs: Sequence[str
             shown = means if len(spans) == 1 else [means[0] - means[1], means[2], means[0] - means[1] - means[2]]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(m, mask=none) for m in shown)], names=schema.fieldNames())
 
+    starts = starts.select(*cluster, *starts_of, "_fresh")
     return affine.in_groups(marked.join(starts, cluster), cluster, series.order).mapInArrow(walk, schema)
 
 

@@ -46,6 +46,10 @@ class GapGate(StatefulProcessor):
         self.place = handle.getValueState("place", _PLACE)
         self.held = handle.getMapState("held", _SLOT, _BAR)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.iloc[0]
+        self.place.update((int(row["start_us"]), int(row["next_us"]), 0))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known = self.place.exists()
         start, slot, held = self.place.get() if known else (None, None, 0)
@@ -117,10 +121,12 @@ def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=GATED.fieldNames()).astype({"open_us": "int64"})
 
 
-def gated(bars: DataFrame, patience_seconds: float | None = None) -> DataFrame:
+def gated(bars: DataFrame, patience_seconds: float | None = None, stored: DataFrame | None = None) -> DataFrame:
     """Bars (instrument_id, interval, open_time and their figures as exact decimals) with their ``status``.
 
-    A series starts at the earliest bar of its first micro-batch. Use ``released`` for what may go on.
+    With ``stored``, bars in front of the stream, a series waits for the slot after its last stored bar; a bar that is
+    stored, or lies among stored ones, is a ``repeat``. Other series start at the earliest bar of their first micro-batch.
+    Use ``released`` for what may go on.
     """
     rows = bars.select(
         "instrument_id",
@@ -131,11 +137,18 @@ def gated(bars: DataFrame, patience_seconds: float | None = None) -> DataFrame:
     )
     gate = GapGate(None if patience_seconds is None else int(patience_seconds * 1000))
     done = rows.groupBy("instrument_id", "interval").transformWithStateInPandas(
-        statefulProcessor=gate, outputStructType=GATED, outputMode="Append", timeMode="None" if patience_seconds is None else "ProcessingTime"
+        statefulProcessor=gate, outputStructType=GATED, outputMode="Append", timeMode="None" if patience_seconds is None else "ProcessingTime",
+        initialState=None if stored is None else _places(stored).groupBy("instrument_id", "interval"),
     )
     return done.select("instrument_id", "interval", F.timestamp_micros("open_us").alias("open_time"), *[F.col(c).cast(MONEY).alias(c) for c in FIGURES], "status")
 
 
-def released(bars: DataFrame, patience_seconds: float | None = None) -> DataFrame:
+def _places(stored: DataFrame) -> DataFrame:
+    """First slot and next slot of every stored series."""
+    opened, step = F.unix_micros("open_time"), F.first(step_seconds("interval")) * 1_000_000
+    return stored.groupBy("instrument_id", "interval").agg(F.min(opened).alias("start_us"), (F.max(opened) + step).cast("long").alias("next_us"))
+
+
+def released(bars: DataFrame, patience_seconds: float | None = None, stored: DataFrame | None = None) -> DataFrame:
     """Only what is in order and without a gap."""
-    return gated(bars, patience_seconds).where("status = 'released'").drop("status")
+    return gated(bars, patience_seconds, stored).where("status = 'released'").drop("status")

@@ -11,10 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators import indicators as batch
+
 OUTPUTS = ("sma", "ema", "rsi", "atr", "bb_upper", "bb_middle", "bb_lower", "macd", "macd_signal", "macd_hist", "volatility")
 _PIECE = 1 << 16
 _STATE = T.StructType(
@@ -57,6 +60,12 @@ class IndicatorProcessor(StatefulProcessor):
             yield result
         self.state.update(state)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.iloc[0]
+        tails = [[float(v) for v in row[c]] for c in ("high", "low", "close")]
+        means = [None if m != m else float(m) for m in row["means"]]
+        self.state.update((int(row["rows"]), *tails, means))
+
     def _walk(self, key, fresh: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
         """Bars in order, and what has been carried up to them: their indicators, and what is carried on."""
         seen, high, low, close, means = state
@@ -110,6 +119,24 @@ class IndicatorProcessor(StatefulProcessor):
         pass
 
 
+def _ends(stored: DataFrame, processor: IndicatorProcessor) -> DataFrame:
+    """Per series what the processor carries after the stored bars: how many there are, the last few, and the means.
+
+    The last bars are picked by a ranked window that Spark cuts before the shuffle; only they are collected.
+    """
+    keys = ["instrument_id", "interval"]
+    bars = stored.select(*keys, "open_time", *[stored[c].cast("double").alias(c) for c in ("high", "low", "close")])
+    newest = Window.partitionBy(*keys).orderBy(F.desc("open_time"))
+    last = bars.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= max(processor.keep, 1))
+    tails = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("open_time", "high", "low", "close"))).alias("t"))
+    keep = [F.slice(F.col(f"t.{c}"), F.lit(1), F.lit(processor.keep or 0)).alias(c) for c in ("high", "low", "close")]
+    counts = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    single = batch.last_means(bars, "close", [processor.ema]).withColumnRenamed("m0", "e")
+    lines = batch.last_means(bars, "close", list(processor.macd))
+    joined = counts.join(tails.select(*keys, *keep), keys).join(single, keys).join(lines, keys)
+    return joined.select(*keys, "rows", "high", "low", "close", F.array("e", "m0", "m1", "m2").alias("means"))
+
+
 def stream_indicators(
     bars: DataFrame,
     sma: int = 20,
@@ -119,8 +146,13 @@ def stream_indicators(
     bollinger: int = 20,
     macd: Sequence[int] = (12, 26, 9),
     volatility: int = 20,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """All indicators for every bar of a stream (instrument_id, interval, open_time, high, low, close)."""
+    """All indicators for every bar of a stream (instrument_id, interval, open_time, high, low, close).
+
+    With ``stored``, bars in front of the stream, a series goes on from where its stored bars end as if they had been
+    streamed; prices there must not be NULL.
+    """
     if min(sma, ema, rsi, atr, *macd) < 1 or min(bollinger, volatility) < 2 or macd[0] >= macd[1]:
         raise ValueError("indicator periods out of range")
     schema = T.StructType([bars.schema[c] for c in ("instrument_id", "interval", "open_time")])
@@ -129,5 +161,6 @@ def stream_indicators(
     processor = IndicatorProcessor(sma, ema, rsi, atr, bollinger, tuple(macd), volatility)
     numbers = bars.select("instrument_id", "interval", "open_time", *[bars[c].cast("double").alias(c) for c in ("high", "low", "close")])
     return numbers.groupBy("instrument_id", "interval").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None",
+        initialState=None if stored is None else _ends(stored, processor).groupBy("instrument_id", "interval"),
     )
