@@ -9,6 +9,25 @@ from tidemark.llm import decontaminate, language, mixing, simhash
 SF = "/root/testdata/sf0.001"
 
 
+def plain_near_dedup(rows):
+    """Smallest ids of the components of all pairs of five-word shingle sets that are similar enough."""
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    sets = [set(simhash.shingle_set(r["text"], 5).tolist()) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) / len(a | sets[j]) >= corpus_pipeline.SIMILARITY:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [r["doc_id"] for i, r in enumerate(rows) if find(i) == i]
+
+
 def test_stages_against_plain_versions(spark):
     """Each stage on what its predecessor kept, compared with a version on the driver."""
     stages = dict(corpus_pipeline.STAGES)
@@ -25,24 +44,7 @@ def test_stages_against_plain_versions(spark):
     single = stages["near_dedup"](spark, known, SF).cache()
     kept = {r["doc_id"]: r["text"] for r in single.collect()}
     assert single.columns == docs.columns and len(kept) == single.count()
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"], 5, simhash.WIDE_LANES) for r in known.collect()}
-    radius = simhash.wide_radius(corpus_pipeline.SIMILARITY)
-    near = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= radius
-    parent = {i: i for i in prints}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(prints)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if near(a, b):
-                low, high = sorted((find(a), find(b)))
-                parent[high] = low
-    roots = {i for i in ids if find(i) == i}
-    assert roots <= set(kept) and len(set(kept) - roots) <= 0.02 * len(roots)
+    assert set(kept) == set(plain_near_dedup(known.collect()))
 
     clean = stages["decontaminate"](spark, single, SF).cache()
     items = [decontaminate.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -87,20 +89,20 @@ def test_operators_replace_a_column_of_the_name_they_give(spark):
 def test_near_dedup_is_exact(spark):
     """What stays is what comparing the shingle sets of all pairs leaves."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rows = sorted(docs.collect())
-    sets = [set(simhash.shingle_set(r["text"], 5).tolist()) for r in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and sets[j] and len(a & sets[j]) / len(a | sets[j]) >= corpus_pipeline.SIMILARITY:
-                low, high = sorted((find(i), find(j)))
-                root[high] = low
-    want = [r["doc_id"] for i, r in enumerate(rows) if find(i) == i]
+    rows = docs.collect()
+    want = plain_near_dedup(rows)
     assert len(want) < len(rows)
     assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()) == want
+
+
+def test_near_dedup_of_groups_chains_and_common_lines(spark):
+    """A large group of near copies, a chain whose ends are far apart, and a line that all documents share."""
+    word = lambda *parts: "w" + "x".join(map(str, parts))
+    line = " ".join(word("common", k) for k in range(30))
+    rows = [(i, " ".join(word(i, k) for k in range(40)) + " " + line) for i in range(150)]
+    base = [word("base", k) for k in range(120)]
+    rows += [(1000 + i, " ".join(base[:60] + [word("edit", i)] + base[61:])) for i in range(90)]
+    rows += [(2000 + i, " ".join(word("chain", k) for k in range(i * 5, i * 5 + 100))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert found == plain_near_dedup(docs.collect()) == [*range(150), 1000, 2000]

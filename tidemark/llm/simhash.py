@@ -246,21 +246,6 @@ def groups(
     return seen.join(named, "node").select(F.col("id").alias(id_column), "bits", hex_digits(F.col("bits"), lanes).alias("fingerprint"), "component_id")
 
 
-# For wide prints: four lanes and a radius that stands for a similarity (the corpus stage counts common shingles instead, see below).
-# Keys of b bits let n fingerprints meet n * n / 2 ** b times by chance: b should grow with the corpus, and with b the
-# number of keys that keep the chance to meet.
-WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 160, 26
-
-
-def wide_radius(similarity: float, lanes: int = WIDE_LANES) -> int:
-    """Bits in which texts of this Jaccard similarity differ, and one standard deviation more.
-
-    The mean is the angle between their shingle sets over pi. Without the margin half of the texts just at the limit were lost.
-    """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.floor(64 * lanes * share + np.sqrt(64 * lanes * share * (1 - share))))
-
-
 # Exact near copies. Keys of the first turn, and least values each is made of; they only save pairs, as every link is verified.
 FIRST_KEYS, FIRST_VALUES = 8, 4
 # Shingles that occur often come last in the order of a prefix: counted in one set of SAMPLE, this many at most.
@@ -293,59 +278,94 @@ def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts
     return shingles[np.lexsort((shingles, rank))[: len(shingles) - least + 1]]
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(texts: DataFrame, shingles: Callable[[str], Column]) -> tuple[np.ndarray, np.ndarray]:
     """(shingles in order, counts) of the most frequent ones of a sample; bounded, as it goes along with the tasks."""
-    sample = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("shingle"))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.explode(shingles("text")).alias("shingle"))
     rows = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
     return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have this Jaccard similarity: counted, not estimated. Only sets that are in a pair are made."""
-    pairs = stored(pairs.distinct(), "pairs")
-    held = sets_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return stored(both.where(common / (F.size("of_a") + F.size("of_b") - common) >= similarity).select("a", "b"), "verified")
+# Bytes of a packed shingle: 40 bits tell the shingles of two texts apart. Words of a bitmap, which only rules pairs out.
+PACKED, MAP_WORDS = 5, 32
 
 
-def near_roots(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(node, root): components of all pairs of sets (node, shingles) with a Jaccard similarity of ``similarity`` or more.
+def pack(shingles: np.ndarray) -> bytes:
+    """A set of shingle hashes, five bytes each."""
+    return np.ascontiguousarray(np.unique(shingles.view(np.uint64) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // PACKED, 8), np.uint8)
+    wide[:, :PACKED] = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
+    return wide.view(np.uint64).ravel()
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for every shingle, by its hash. Each bit in which two maps differ is a shingle that one set lacks."""
+    at = np.unique(shingles.view(np.uint64) % np.uint64(64 * MAP_WORDS)).astype(np.int64)
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[at] = 1
+    return np.packbits(bits).view(np.int64)
 
-    Sets meet in keys: first in a few that connect most of a large group, then in all shingles of their prefixes, in which every
-    pair meets that is similar enough. In a bucket that holds several components each member is compared with the smallest, and
-    those it leaves outside with all members of other components, so pairs are never formed within what is connected already. Sets
-    too different in size are not compared; every other comparison counts the common shingles. ``sets`` may repeat; it is read anew
-    for each turn, and ``sets_of`` gives the sets of a table of nodes, each once, so that the sets are never written.
+
+def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarities of packed sets."""
+    found = []
+    for x, y in zip(a, b, strict=True):
+        x, y = _unpacked(x), _unpacked(y)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        found.append(common / (len(x) + len(y) - common))
+    return pd.Series(found, dtype=float)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity: counted, not estimated.
+
+    Bitmaps rule out pairs that surely differ in too many shingles; only the sets of the others are made.
     """
-    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+    maps = sets.select("node", "size", "map")
+    end = lambda side: maps.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("map").alias(f"map_{side}"))
+    both = pairs.distinct().join(end("a"), "a").join(end("b"), "b")
+    apart = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    likely = stored(both.where(apart <= most).select("a", "b"), "pairs")
+    if likely.isEmpty():
+        return likely
+    held = stored(sets_of(stored(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")), "sets")
+    both = likely.join(held.select(F.col("node").alias("a"), F.col("packed").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("packed").alias("of_b")), "b")
+    jaccard = F.pandas_udf(_similarities, "double")
+    return stored(both.where(jaccard("of_a", "of_b") >= similarity).select("a", "b"), "verified")
 
-    @F.pandas_udf("array<bigint>")
-    def first(shingles: pd.Series) -> pd.Series:
-        return pd.Series([first_keys(s) for s in shingles], dtype=object)
 
-    @F.pandas_udf("array<bigint>")
-    def prefixes(shingles: pd.Series) -> pd.Series:
-        return pd.Series([prefix(s, similarity, *frequent.value) for s in shingles], dtype=object)
+def near_roots(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, root): components of all pairs of sets with a Jaccard similarity of ``similarity`` or more.
+
+    ``sets`` has, for each different set, node, size, bitmap, ``first`` (a few keys that connect most of a large group) and
+    ``keys`` (the shingles of its prefix, in which every pair meets that is similar enough); ``sets_of`` makes the packed sets of
+    a table of nodes. Sets meet by the first keys, then by the others. In a bucket that holds several components, members
+    are compared with the smallest node unless they are connected to it, and those still outside with the members of
+    other components: pairs are never formed within what is connected already. Sets too different in size are not
+    compared; every other comparison counts the common shingles.
+    """
 
     def alike(a: str, b: str) -> Column:
         return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
 
     edges, roots = None, None
-    for keys in (first, prefixes):
+    for keys in ("first", "keys"):
         known = sets.withColumn("root", F.col("node")) if roots is None else sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = known.select("node", "root", F.size("shingles").alias("size"), F.explode(keys("shingles")).alias("key"))
+        rows = known.select("node", "root", "size", F.explode(keys).alias("key"))
         busy = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("leader")).where("low < high")
         busy = stored(busy.select("key", "leader"), "busy")
-        members = stored(rows.join(busy, "key").select("key", "node", "size", "leader").distinct(), "buckets")
-        sizes = members.where("node = leader").select("key", F.col("size").alias("leader_size"))
-        led = members.join(sizes, "key").where((F.col("node") != F.col("leader")) & alike("size", "leader_size")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        led = _verified(led, sets_of, similarity)
+        members = stored(rows.join(busy, "key").select("key", "node", "size", "root", "leader"), "buckets")
+        heads = members.where("node = leader").select("key", F.col("size").alias("leader_size"), F.col("root").alias("leader_root"))
+        apart = members.join(heads, "key").where((F.col("root") != F.col("leader_root")) & alike("size", "leader_size"))
+        led = _verified(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, sets_of, similarity)
         edges = led if edges is None else edges.union(led)
         roots = stored(components(edges, "a", "b"), "roots")
-        named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        heads = named.where("node = leader").select("key", F.col("root").alias("head"))
-        named = stored(named.join(heads, "key").select("key", "node", "size", "root", "head"), "named")
+        found = roots.select(F.col("node").alias("leader"), F.col("root").alias("head"))
+        named = members.drop("root").join(roots, "node", "left").join(found, "leader", "left")
+        named = stored(named.select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("head", "leader").alias("head")), "named")
         rest = named.toDF("key_b", "node_b", "size_b", "root_b", "head_b")
         meets = (
             (F.col("key") == F.col("key_b"))
@@ -354,14 +374,14 @@ def near_roots(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simil
             & alike("size", "size_b")
         )
         crossing = named.where("root != head").join(rest, meets).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
-        crossing = _verified(crossing, sets_of, similarity)
+        crossing = _verified(crossing, sets, sets_of, similarity)
         if not crossing.isEmpty():
             edges = edges.union(crossing)
             roots = stored(components(edges, "a", "b"), "roots")
     return roots
 
 
-def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The input without near copies: of each group of linked texts the row with the smallest id stays.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is ``similarity`` or more, all such pairs and
@@ -374,19 +394,43 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", si
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
 
     @F.pandas_udf("array<bigint>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle) for t in texts], dtype=object)
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, size) for t in texts], dtype=object)
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([pack(shingle_set(t, size)) for t in texts], dtype=object)
 
     texts = keyed.where(worded).select(F.col(row).alias("row"), F.col(text).alias("text"))
-    made = texts.select("row", sets("text").alias("shingles")).withColumn("node", F.xxhash64("shingles"))
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(texts, shingles))
+
+    @F.pandas_udf("struct<node:bigint,size:int,map:array<bigint>,first:array<bigint>,keys:array<int>>")
+    def profile(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for each in texts:
+            s = shingle_set(each, size)
+            # Folded keys only let a few more sets meet; what is linked is counted on whole hashes.
+            keys = np.unique(prefix(s, similarity, *frequent.value).astype(np.uint64).astype(np.uint32)).view(np.int32)
+            rows.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), len(s), bitmap(s), sorted(set(first_keys(s))), keys))
+        return pd.DataFrame(rows, columns=["node", "size", "map", "first", "keys"])
+
+    # Every text is cut once; what goes on is a fifth of its shingles, four bytes each.
+    made = stored(texts.select("row", profile("text").alias("p")).select("row", "p.*"), "profiles")
     least = stored(made.groupBy("node").agg(F.min("row").alias("row")), "least")
+    sets = stored(made.join(least.select("row"), "row", "left_semi").dropDuplicates(["node"]).drop("row"), "distinct")
+
+    # Only rows that repeat a key have to be brought together; as a rule there are none.
+    repeated = stored(made.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row"), "repeated")
+
+    def single(rows: DataFrame, key: str) -> DataFrame:
+        again = repeated.withColumnRenamed("row", key)
+        return rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = least.join(nodes, "node", "left_semi")
-        return texts.join(wanted, "row").select("node", "text").dropDuplicates(["node"]).select("node", sets("text").alias("shingles"))
+        return single(texts.join(least.join(nodes, "node", "left_semi"), "row"), "row").select("node", packed("text").alias("packed"))
 
-    roots = near_roots(made.select("node", "shingles"), sets_of, similarity)
+    roots = near_roots(sets, sets_of, similarity)
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("row").alias(row)).select(row)
-    stay = keyed.where(worded).join(kept, row, "left_semi").dropDuplicates([row])
-    return stay.drop(row).unionByName(keyed.where(~worded).drop(row))
+    once = single(keyed.where(worded).join(kept, row, "left_semi"), row)
+    return once.drop(row).unionByName(keyed.where(~worded).drop(row))

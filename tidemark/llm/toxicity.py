@@ -33,9 +33,9 @@ FEATURES = 1 << 18
 ROUNDS = (30, 15)
 PENALTY = 0.1
 # A chain is cut after so many tokens, so that the longest text takes bounded memory.
-CHAIN = 1 << 18
+CHAIN = 1 << 16
 # Different words whose weights a task remembers.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 SPAN = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -46,22 +46,40 @@ TAGS = "struct<score:double,n_tokens:bigint,expected:double,spans:array<struct<s
 # -- features -----------------------------------------------------------------------------------------------
 
 
-def _slot(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & (FEATURES - 1)
+_BIAS = FEATURES - 1
 
 
-def word_features(word: str) -> list[int]:
-    """The word itself, its beginnings, and its groups of three letters (of a very long word the first 64 letters)."""
-    word = word.lower()
-    start = f"<{word[:64]}>"
-    parts = {f"w{word}", *(f"b{word[:n]}" for n in range(3, min(len(word), 9))), *(f"g{start[i : i + 3]}" for i in range(len(start) - 2))}
-    return [_slot(p) for p in parts]
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes as slots of the weight table."""
+    h = (h ^ np.uint32(salt)) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return ((h ^ (h >> np.uint32(16))) & np.uint32(FEATURES - 1)).astype(np.int64)
 
 
-def neighbour_features(word: str) -> tuple[int, int]:
-    """What a word says about the token after it, and about the one before it."""
-    word = word.lower()
-    return _slot(f"a{word}"), _slot(f"f{word}")
+def word_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, the word each belongs to, slots of what a word lends the token after it and the one before it).
+
+    Features of a word, without case: itself, its beginnings of three to eight letters and its groups of three
+    letters (of a very long word the first 64 letters).
+    """
+    lower = [w.lower() for w in words]
+    whole = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in lower], np.uint32)
+    cut = [w[:64] for w in lower]
+    sizes = np.array([len(w) for w in cut], np.int64)
+    codes = np.frombuffer("".join(f"<{w}>" for w in cut).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words)), sizes + 2)
+    begin = np.cumsum(np.append(0, sizes + 2))[:-1]
+    grams = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x7FEB352D) + codes[2:] * np.uint32(0x846CA68B)
+    inside = owner[:-2] == owner[2:]
+    slots, owners = [_mixed(whole, 1), _mixed(grams[inside], 2)], [np.arange(len(words)), owner[:-2][inside]]
+    h = np.zeros(len(words), np.uint32)
+    for n in range(1, 9):
+        there = np.flatnonzero(sizes >= n)
+        h[there] = h[there] * np.uint32(0x01000193) + codes[begin[there] + n]
+        if n > 2:
+            slots.append(_mixed(h[there] + np.uint32(n), 3))
+            owners.append(there)
+    return np.concatenate(slots), np.concatenate(owners), np.stack((_mixed(whole, 4), _mixed(whole, 5)))
 
 
 def tokens(text: str) -> Iterator[tuple[int, list[str]]]:
@@ -161,15 +179,12 @@ def _fit_chain(texts: list[list[str]], toxic: list[bool], seeds: set[str]) -> tu
     listed = np.array([w.lower() in seeds for w in number], bool)[ids]
     held = np.repeat(np.array(toxic, bool), lengths)
     y = (listed & held).astype(float)
-    lists = [word_features(w) for w in number]
-    flat, owner = np.concatenate([np.array(f) for f in lists]), np.repeat(np.arange(len(lists)), [len(f) for f in lists])
-    sides = np.array([neighbour_features(w) for w in number])
+    flat, owner, sides = word_slots(list(number))
     weights, turns = np.zeros(FEATURES), np.zeros((2, 2))
-    bias_slot = _slot("bias")
 
     def scored() -> np.ndarray:
-        own = np.bincount(owner, weights[flat], len(lists)) + weights[bias_slot]
-        return _emissions(own, weights[sides[:, 0]], weights[sides[:, 1]], ids, first)
+        own = np.bincount(owner, weights[flat], len(number)) + weights[_BIAS]
+        return _emissions(own, weights[sides[0]], weights[sides[1]], ids, first)
 
     inner = ~first[1:]
     for stage, rounds in enumerate(ROUNDS):
@@ -183,11 +198,11 @@ def _fit_chain(texts: list[list[str]], toxic: list[bool], seeds: set[str]) -> tu
             scores = scored()
             marginal, ahead, behind = forward_backward(scores, first, np.exp(turns))
             miss = marginal - y
-            by_word = np.bincount(ids, miss, len(lists))
+            by_word = np.bincount(ids, miss, len(number))
             slope = np.bincount(flat, by_word[owner], FEATURES)
-            slope += np.bincount(sides[ids[:-1], 0], np.where(inner, miss[1:], 0.0), FEATURES)
-            slope += np.bincount(sides[ids[1:], 1], np.where(inner, miss[:-1], 0.0), FEATURES)
-            slope[bias_slot] += miss.sum()
+            slope += np.bincount(sides[0][ids[:-1]], np.where(inner, miss[1:], 0.0), FEATURES)
+            slope += np.bincount(sides[1][ids[1:]], np.where(inner, miss[:-1], 0.0), FEATURES)
+            slope[_BIAS] += miss.sum()
             slope += PENALTY * weights
             turn_slope = _turn_shares(scores, first, np.exp(turns), ahead, behind) - seen + PENALTY * turns
             turn_slope[0, 0] = 0.0
@@ -208,24 +223,28 @@ class Tagger:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.bias = model.weights[_slot("bias")]
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.lent: list[tuple[float, float, float]] = []
-
-    def ids(self, words: list[str]) -> list[int]:
-        out, number = [], self.number
-        for w in words:
-            i = number.get(w)
-            if i is None:
-                i = number[w] = len(number)
-                a, f = neighbour_features(w)
-                weights = self.model.weights
-                self.lent.append((float(weights[word_features(w)].sum() + self.bias), float(weights[a]), float(weights[f])))
-            out.append(i)
-        return out
+        self.lent = np.empty((3, 1024))
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Numbers of words; weights of new ones are looked up."""
+        get = self.number.get
+        found = list(map(get, words))
+        if None in found:
+            fresh = list(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None))
+            known = len(self.number)
+            self.number.update(zip(fresh, range(known, known + len(fresh)), strict=True))
+            while self.lent.shape[1] < len(self.number):
+                self.lent = np.concatenate((self.lent, np.empty_like(self.lent)), axis=1)
+            slots, owner, sides = word_slots(fresh)
+            weights = self.model.weights
+            self.lent[0, known : len(self.number)] = np.bincount(owner, weights[slots], len(fresh)) + weights[_BIAS]
+            self.lent[1:, known : len(self.number)] = weights[sides]
+            found = list(map(get, words))
+        return np.array(found, np.int64)
 
     def marginals(self, texts: list[str]) -> list[list[np.ndarray]]:
         """Per text the marginals of its tokens, in chains of CHAIN tokens; short texts are worked on together."""
@@ -233,12 +252,11 @@ class Tagger:
         waiting: list[tuple[int, list[str]]] = []
 
         def work() -> None:
-            ids = [np.array(self.ids(chain), np.int64) for _, chain in waiting]
-            ends = np.cumsum([len(chain) for chain in ids])
+            ids = self.ids([w for _, chain in waiting for w in chain])
+            ends = np.cumsum([len(chain) for _, chain in waiting])
             first = np.zeros(ends[-1], bool)
             first[ends[:-1]] = first[0] = True
-            own, ahead, before = np.array(self.lent).T
-            marginal = forward_backward(_emissions(own, ahead, before, np.concatenate(ids), first), first, self.model.turns)[0]
+            marginal = forward_backward(_emissions(*self.lent, ids, first), first, self.model.turns)[0]
             for (at, _), part in zip(waiting, np.split(marginal, ends[:-1]), strict=True):
                 done[at].append(part)
             waiting.clear()
@@ -334,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     all texts: 1 if all are toxic, else 0.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
-    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known.hint("merge"), "doc_id")
     labelled = stored(labelled.select("text", "toxic", F.xxhash64("text").alias("print")), "labelled")
     count = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = count.get(True, 0) / max(1, sum(count.values()))
