@@ -5,6 +5,10 @@ does the same from the command line.
 """
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -34,3 +38,15 @@ def test_entry_point(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.FLAGSHIP in entry.queries()
+
+
+def test_everything_else_works_without_the_text_operators(tmp_path):
+    """A copy of the repository without the operators for training text still names its queries."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), 'pipeline' in q)"
+    told = [subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": ""}).stdout]
+    (tmp_path / "corpus_pipeline.py").write_text("from tidemark.llm import text  # left behind")
+    told.append(subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": ""}).stdout)
+    assert told[0] == told[1] == f"{len(CATALOG)} {sum(e.sql is not None for e in CATALOG.values())} False\n"
