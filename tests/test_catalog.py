@@ -19,7 +19,8 @@ SF = "/root/testdata/sf0.001"
 SPREAD = (
     "a2_kline_files", "a7_verify_then_trim", "a9_candle_upsert", "b6_normalised_instruments", "c4_reference_merge", "c6_last_n_bars", "d3_violation_counts",
     "d13_trade_metrics", "e6_macd", "e10_zero_volume_streaks", "e12_missing_runs", "e17_funding", "f1_event_order", "h2_content_hash", "i2_evaluate_orders",
-    "i4_order_states", "j2_latest_open_bar", "k4_backtest_tearsheet", "l3_orphans",
+    "i2_resting_orders", "i4_order_states", "j2_latest_open_bar", "j3_stream_from_store", "j6_gate_from_store", "j7_stream_events", "k1_events", "k4_backtest_tearsheet",
+    "k4_two_symbols", "k6_stateful_rule", "h2_version_diff", "h2_changed_rows", "b10_latency_sketches", "l3_orphans", "l_audit_all",
 )
 
 

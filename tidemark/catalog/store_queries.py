@@ -435,6 +435,56 @@ def h3_register_version(spark: SparkSession, sf: str) -> DataFrame:
     return everything.groupBy(F.element_at("symbol_set", 1).alias("instrument_id")).agg(F.count(F.lit(1)).alias("registrations"))
 
 
+_EDITED_SQL = """edited AS (SELECT * REPLACE (CASE WHEN arrival % 101 = 0 THEN close + 1 ELSE close END AS close) FROM candles WHERE arrival % 151 <> 0 AND NOT (instrument_id = 'click' AND CAST(open_time AS DATE) = DATE '2024-01-05')),
+ old_days AS (SELECT instrument_id, CAST(open_time AS DATE) AS day, count(*) AS n FROM candles GROUP BY 1, 2), new_days AS (SELECT instrument_id, CAST(open_time AS DATE) AS day, count(*) AS n FROM edited GROUP BY 1, 2),
+ touched AS (SELECT DISTINCT instrument_id, CAST(open_time AS DATE) AS day FROM candles WHERE arrival % 101 = 0 OR arrival % 151 = 0 OR (instrument_id = 'click' AND CAST(open_time AS DATE) = DATE '2024-01-05'))"""
+
+
+def edited(spark: SparkSession, sf: str) -> DataFrame:
+    """The bars with some closes changed, some bars gone, and one day of one series gone whole."""
+    bars, i = candles(spark, sf), F.col("arrival")
+    lost = (F.col("instrument_id") == "click") & (F.to_date("open_time") == F.lit("2024-01-05").cast("date"))
+    return bars.where((i % 151 != 0) & ~lost).withColumn("close", F.when(i % 101 == 0, F.col("close") + 1).otherwise(F.col("close")).cast(MONEY))
+
+
+@query(
+    "h2_version_diff",
+    f"""{WITH_CANDLES}, {_EDITED_SQL} SELECT instrument_id, CAST(day AS VARCHAR) AS day, CASE WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change, a.n AS rows_before, coalesce(b.n, 0) AS rows_after
+    FROM touched JOIN old_days a USING (instrument_id, day) LEFT JOIN new_days b USING (instrument_id, day)""",
+)
+def h2_version_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The days in which two stored versions differ, from their trees alone."""
+    paths = []
+    for rows in (candles(spark, sf), edited(spark, sf)):
+        paths.append(scratch(spark, "tree"))
+        versioning.store_tree(versioning.version_tree(rows, _HASH_COLUMNS), paths[-1])
+    before, after = (spark.read.parquet(p) for p in paths)
+    return versioning.version_diff(before, after).drop("interval")
+
+
+@query(
+    "h2_merkle_tree",
+    f"""{WITH_CANDLES}, {_HASHED}, days AS (SELECT instrument_id, CAST(open_time AS DATE) AS day, sha256(string_agg(row_hash, '' ORDER BY open_time)) AS hash, count(*) AS n FROM hashed GROUP BY 1, 2),
+    series AS (SELECT instrument_id, sha256(string_agg(sha256(CAST(day AS VARCHAR) || '|' || hash), '' ORDER BY day)) AS hash, sum(n) AS n FROM days GROUP BY 1)
+    SELECT 'day' AS level, instrument_id, CAST(day AS VARCHAR) AS day, hash, n AS row_count FROM days UNION ALL SELECT 'series', instrument_id, NULL, hash, CAST(n AS BIGINT) FROM series
+    UNION ALL SELECT 'whole', NULL, NULL, sha256(string_agg(sha256(instrument_id || '|1h|' || hash), '' ORDER BY instrument_id)), CAST(sum(n) AS BIGINT) FROM series""",
+)
+def h2_merkle_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return versioning.version_tree(candles(spark, sf), _HASH_COLUMNS).drop("interval")
+
+
+@query(
+    "h2_changed_rows",
+    f"""{WITH_CANDLES}, {_EDITED_SQL} SELECT 'removed' AS change, {_AT}, {r6('close')} AS close FROM candles WHERE arrival % 101 = 0 OR arrival % 151 = 0 OR (instrument_id = 'click' AND CAST(open_time AS DATE) = DATE '2024-01-05')
+    UNION ALL SELECT 'added', {_AT}, {r6('close')} FROM edited WHERE arrival % 101 = 0""",
+)
+def h2_changed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The bars behind a difference, read from the differing days only."""
+    before, after = candles(spark, sf), edited(spark, sf)
+    days = versioning.version_diff(versioning.version_tree(before), versioning.version_tree(after))
+    return versioning.changed_rows(before, after, days).select("change", "instrument_id", "open_time", "close")
+
+
 @query(
     "h4_month_slices",
     """WITH c AS (SELECT o_custkey AS id, min(o_orderdate) AS s, max(o_orderdate) AS e FROM orders GROUP BY 1),
@@ -508,6 +558,25 @@ def b10_venue_latency(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("symbol", "bars", F.round(F.col("mean_ms") * F.col("bars")).cast("long").alias("total_ms"), "max_ms")
 
 
+@query(
+    "b10_latency_sketches",
+    """WITH l AS (SELECT event_type AS symbol, CAST(user_id % 100 AS BIGINT) AS ms FROM events), n AS (SELECT symbol, ms, row_number() OVER (PARTITION BY symbol ORDER BY ms) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM l)
+    SELECT symbol, count(*) AS bars, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS max_ms, true AS p50_ok, true AS p99_ok FROM n GROUP BY 1""",
+)
+def b10_latency_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles from sketches of single days, stored and merged; each is checked to have its rank among the exact latencies, within 1 in 100."""
+    e = table(spark, sf, "events")
+    received = F.timestamp_micros(F.unix_micros("ts") + (F.col("user_id") % 100) * 1000)
+    rows = e.select(F.col("event_type").alias("symbol"), F.col("ts").alias("exchange_ts"), received.alias("local_recv_ts"))
+    found = landing.merged_latency(jobs.staged(landing.latency_sketches(rows), scratch(spark, "sketches")))
+    exact = rows.select("symbol", (F.unix_millis("local_recv_ts") - F.unix_millis("exchange_ts")).alias("ms")).join(found, "symbol")
+    below = lambda c: F.count_if(F.col("ms") < F.col(c)) / F.count(F.lit(1))
+    upto = lambda c: F.count_if(F.col("ms") <= F.col(c)) / F.count(F.lit(1))
+    fits = lambda c, r: ((below(c) <= r + 0.01) & (upto(c) >= r - 0.01)).alias(c.replace("_ms", "_ok"))
+    total = F.round(F.first("mean_ms") * F.first("bars")).cast("long").alias("total_ms")
+    return exact.groupBy("symbol").agg(F.first("bars").alias("bars"), total, F.first("max_ms").alias("max_ms"), fits("p50_ms", 0.5), fits("p99_ms", 0.99))
+
+
 # -- audits -------------------------------------------------------------------------------------
 
 
@@ -542,6 +611,49 @@ def l3_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return audit.orphans(table(spark, sf, "lineitem"), "l_partkey", known, "p_partkey").select("l_orderkey", "l_partkey")
 
 
+# Rows for every table with rules, as expressions that both engines read.
+_RULE_TABLES: dict[str, tuple[str, list[str]]] = {
+    "venue": ("nation", ["n_nationkey AS id", "CASE WHEN n_nationkey = 3 THEN 'KENYA' ELSE n_name END AS name"]),
+    "account": ("customer", ["c_custkey AS id", "c_nationkey AS venue_id", "c_mktsegment AS name"]),
+    "strategy": ("supplier", ["s_suppkey AS id", "s_nationkey % 5 AS name", "s_suppkey % 40 AS code_hash"]),
+    "strategy_instance": ("supplier", ["s_acctbal AS allocated_capital", "s_acctbal + 500 AS capacity_usd"]),
+    "instrument": ("part", ["p_partkey AS id", "CASE WHEN p_partkey % 17 = 0 THEN 99 ELSE p_size % 25 END AS venue_id", "p_type AS symbol", "p_retailprice - 905 AS tick_size", "p_size - 1 AS lot_size", "p_size - 2 AS min_notional"]),
+    "universe_snapshot": ("lineitem", ["l_shipdate AS snapshot_date", "l_linenumber AS venue_id", "CASE WHEN l_partkey % 50 = 0 THEN -1 ELSE l_partkey END AS instrument_id"]),
+    "order": ("orders", ["o_orderkey AS id", "o_custkey % 25 AS venue_id", "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS client_order_id", "o_totalprice AS qty", "o_totalprice - 1000 + o_orderkey % 3000 AS filled_qty"]),
+    "order_event": ("lineitem", ["CASE WHEN l_orderkey % 31 = 0 THEN -l_orderkey ELSE l_orderkey END AS order_id", "l_linenumber % 4 AS seq"]),
+    "fill": ("lineitem", ["l_orderkey * 10 + l_linenumber AS id", "l_suppkey % 3 AS venue_id", "l_orderkey AS venue_fill_id", "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey + l_linenumber END AS order_id", "l_quantity - 1 AS qty", "l_discount AS price"]),
+    "ledger_entry": ("lineitem", ["l_suppkey AS account_id", "l_orderkey * 10 + l_linenumber + l_partkey % 2 AS ref_fill_id", "l_tax AS amount"]),
+    "signal": ("events", ["value / 95 AS strength"]),
+    "order_intent": ("events", ["user_id % 7 AS target_qty", "CASE WHEN event_id % 3 = 0 THEN 'limit' ELSE 'market' END AS order_type", "CASE WHEN event_id % 2 = 0 THEN value END AS limit_price"]),
+    "risk_decision": ("events", ["event_id % 900 AS order_intent_id", "value > 20 AS approved", "CASE WHEN event_id % 4 = 0 THEN 'limit' END AS rejection_reason"]),
+    "system_halt_event": ("events", ["CASE WHEN event_id % 5 = 0 THEN ts END AS cleared_at", "CASE WHEN event_id % 10 = 0 THEN 'desk' END AS cleared_by"]),
+    "backtest_trade": ("lineitem", ["l_linenumber AS entry_ts", "CASE WHEN l_linenumber > 1 THEN l_quantity END AS exit_ts", "l_orderkey AS backtest_run_id", "l_partkey AS instrument_id"]),
+    "equity_snapshot": ("events", ["user_id AS id", "ts AS ts"]),
+    "position": ("lineitem", ["l_suppkey AS account_id", "l_partkey AS instrument_id", "l_linenumber AS strategy_instance_id"]),
+}
+
+
+def _audit_sql() -> str:
+    """Every rule as a query of its own."""
+    named = ", ".join(f'"t_{name}" AS (SELECT {", ".join(columns)} FROM {source})' for name, (source, columns) in _RULE_TABLES.items())
+    parts = []
+    for name in _RULE_TABLES:
+        parts += [f"SELECT '{name}: {rule}' AS rule, count(*) AS offences FROM \"t_{name}\" WHERE NOT ({text})" for rule, text in audit.CHECKS.get(name, {}).items()]
+        for key in audit.UNIQUE_KEYS.get(name, ()):
+            whole, columns = " AND ".join(f"{c} IS NOT NULL" for c in key), ", ".join(key)
+            parts.append(f"SELECT '{name}: unique({columns})', count(*) FROM (SELECT 1 FROM \"t_{name}\" WHERE {whole} GROUP BY {columns} HAVING count(*) > 1)")
+        for column, target, target_column in audit.REFERENCES.get(name, ()):
+            if target in _RULE_TABLES:
+                parts.append(f"SELECT '{name}: {column} -> {target}.{target_column}', count(*) FROM \"t_{name}\" WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {target_column} FROM \"t_{target}\")")
+    return f"WITH {named} SELECT * FROM ({' UNION ALL '.join(parts)}) AS t(rule, offences) WHERE offences > 0"
+
+
+@query("l_audit_all", _audit_sql())
+def l_audit_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of seventeen tables: checks, keys and references in one pass over each."""
+    return audit.audit_all({name: table(spark, sf, source).selectExpr(*columns) for name, (source, columns) in _RULE_TABLES.items()})
+
+
 # -- composite jobs -----------------------------------------------------------------------------
 
 _GOOD = "high >= greatest(open, close) AND low <= least(open, close) AND high >= low AND volume >= 0 AND epoch_us(open_time) % 3600000000 = 0"

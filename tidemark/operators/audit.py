@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Row rules per table.
@@ -119,3 +120,52 @@ def audit(name: str, rows: DataFrame, tables: Mapping[str, DataFrame] | None = N
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.where(F.col("offences") > 0)
+
+
+# What a row says about a rule: it breaks it, it holds a key, it refers to a key, it is a key referred to.
+_BROKEN, _HOLDS, _REFERS, _IS = 0, 1, 2, 3
+
+
+def _key(columns: Sequence[str]) -> Column:
+    """Values as text that tells all keys apart; NULL if one of them is."""
+    whole = [F.col(c).isNotNull() for c in columns]
+    text = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+    return F.when(reduce(Column.__and__, whole), text)
+
+
+def _statements(name: str, tables: Mapping[str, DataFrame]) -> list[Column]:
+    """Everything the rules ask of a row of a table: (rule, kind, key), NULL where it says nothing."""
+
+    def said(rule: str, kind: int, key: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), key.alias("key")))
+
+    found = [said(f"{name}: {rule}", _BROKEN, F.lit(""), ~F.expr(f"({text})")) for rule, text in CHECKS.get(name, {}).items()]
+    for columns in UNIQUE_KEYS.get(name, ()):
+        found.append(said(f"{name}: unique({', '.join(columns)})", _HOLDS, _key(columns), _key(columns).isNotNull()))
+    for child, references in REFERENCES.items():
+        for column, target, target_column in references:
+            rule = f"{child}: {column} -> {target}.{target_column}"
+            if child == name and target in tables:
+                found.append(said(rule, _REFERS, _key([column]), F.col(column).isNotNull()))
+            if target == name and child in tables:
+                found.append(said(rule, _IS, _key([target_column]), F.col(target_column).isNotNull()))
+    return found
+
+
+def audit_all(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(rule, offences) of all rules of all ``tables`` at once, zero counts left out.
+
+    Every row says what it has to say about all rules, checks, keys and references alike, so each table is read once and
+    there is one shuffle, on (rule, key), for all of them; broken checks combine before it. Offences are rows for checks and
+    references, repeated keys for unique rules. As in SQL a key with a NULL in it never repeats and a NULL reference is
+    allowed. References into tables that are not given are left out.
+    """
+    parts = []
+    for name, rows in tables.items():
+        said = _statements(name, tables)
+        if not said:
+            raise ValueError(f"no rules for table {name!r}")
+        parts.append(rows.select(F.explode(F.array_compact(F.array(*said))).alias("s")).select("s.*"))
+    counted = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in (_BROKEN, _HOLDS, _REFERS, _IS)])
+    offences = F.col(f"_{_BROKEN}") + (F.col(f"_{_HOLDS}") > 1).cast("long") + F.when(F.col(f"_{_IS}") == 0, F.col(f"_{_REFERS}")).otherwise(0)
+    return counted.groupBy("rule").agg(F.sum(offences).alias("offences")).where(F.col("offences") > 0)
