@@ -98,3 +98,18 @@ def test_query(spark):
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
         assert 0 <= r["score"] <= 1 and r["lang_pred"] in {"en", "fr", "de", "es", "und"}
+
+
+def test_texts_of_five_and_six_languages(spark):
+    """As many languages as a text has, each with its share; nothing limits their number."""
+    draw = np.random.default_rng(4)
+    alphabets = ["abcdefgh", "ijklmnop", "qrstuvwx", "αβγδεζηθ", "абвгдежз", "ابتثجحخد", "אבגדהוזח"]
+    text = lambda letters, n: " ".join("".join(draw.choice(list(letters), draw.integers(3, 9))) for _ in range(n))
+    rows = [(k, text(a, 400), f"l{k}", None) for k, a in enumerate(alphabets)]
+    model = language.fit(documents(spark, rows))
+    for n in (5, 6, 7):
+        mixed = " ".join(text(a, 120) for a in alphabets[:n])
+        (found,) = language.mixtures([mixed], model)
+        sizes = [len("".join(c for c in mixed if c in a)) for a in alphabets[:n]]
+        assert set(found) == {f"l{k}" for k in range(n)}
+        assert all(abs(found[f"l{k}"] - size / sum(sizes)) < 0.03 for k, size in enumerate(sizes))

@@ -114,3 +114,15 @@ def test_query(spark):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert (r["media_bytes"], r["media_sha256"]) == (len(gif), hashlib.sha256(gif).hexdigest())
         assert sum(map(int, r["feature"].split(":")[1].split(","))) == len(payload)
+
+
+def test_streams_that_end_early_or_have_no_sound_code_size():
+    data = image(2, 2, [([0, 1, 2, 3], 0, 0, 2, 2, 1, None, False, None)])
+    assert len(list(media.frames(data))) == 1
+    short = image(2, 2, [([0, 1, 2], 0, 0, 2, 2, 1, None, False, None)])
+    with pytest.raises(ValueError, match="ends after 3"):
+        list(media.frames(short))
+    at = data.index(b"\x2c") + 10
+    for size in (0, 1, 9, 12):
+        with pytest.raises(ValueError, match="code size"):
+            list(media.frames(data[:at] + bytes([size]) + data[at + 1 :]))

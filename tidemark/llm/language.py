@@ -19,8 +19,7 @@ SMOOTHING = 0.5
 ROUNDS = 16
 # A language joins the set if it raises the log likelihood by more than this times log(n-grams).
 PENALTY = 3.0
-# Languages of a document at most. A share below LEAST_SHARE is no candidate.
-MOST = 4
+# A language whose share of a text is below this is no candidate for its set.
 LEAST_SHARE = 0.02
 UNKNOWN = "und"
 
@@ -151,7 +150,7 @@ def mixtures(texts: list[str | None], model: Model) -> list[dict[str, float]]:
     rank = np.argsort(order, axis=1, kind="stable")
     best, score = np.zeros((len(which), k)), np.full(len(which), -np.inf)
     penalty = PENALTY * np.log(batch.total + 1)
-    for n in range(1, min(MOST, k) + 1):
+    for n in range(1, k + 1):
         docs = np.take_along_axis(free, order[:, n - 1 : n], axis=1)[:, 0] >= LEAST_SHARE if n > 1 else np.ones(len(which), bool)
         if not docs.any():
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +85,6 @@ RULES: list[tuple[str, str]] = [
     ("all-rights-reserved", ",(copyright,)*(reserved,)+"),
 ]
 
-# What the SQL looks at first. Not every sentence above holds one of these ("released under the GPL v3"), so the operator does not use it.
-HINT = r"(?i)licen[sc]e|copyright|\bc\)? *[0-9]{4}|permission is hereby|redistribut|all rights|public domain|warrant|provided as is|provided .as is|above copyright|liable|neither the name|free software|\bcc0\b"
 # A line that names a licence by its identifier is a sentence of its own; others end at . ! ? before white space, or at an empty line.
 _IDENTIFIER = r"(?im)^(.*SPDX-License-Identifier:.*)$"
 _END = r"[.!?]+[\s]+|\n[ \t]*\n|\n\n"
@@ -148,23 +148,26 @@ def scan(df: DataFrame, text: str = "text", out: str = "licences") -> DataFrame:
 
 def _sql_step(previous: str, index: int, name: str, pattern: str) -> str:
     found = f"CASE WHEN regexp_matches(seq, '{pattern}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END"
-    return f"r{index} AS (SELECT doc_id, ids, regexp_replace(seq, '{pattern}', ',', 'g') AS seq, {found} AS found FROM {previous})"
+    return f"r{index} AS (SELECT doc_id, ids, regexp_replace(seq, '{pattern}', '', 'g') AS seq, {found} AS found FROM {previous})"
 
 
 def scan_sql() -> str:
-    """The same as SQL over ``documents``: (doc_id, sentence_ids, licences, rest)."""
+    """The same as SQL over ``documents``: (doc_id, sentence_ids, licences, rest).
+
+    Identifiers stand between commas of their own there (``,a,,b,``), as its patterns cannot look at a comma without taking it.
+    """
     case = " ".join(f"WHEN regexp_matches(s, '^(?:{p})$') THEN '{n}'" for n, p in SENTENCES)
     marked = f"regexp_replace(regexp_replace(text, '{_MARGIN}', '', 'g'), '{_IDENTIFIER}', '\n\n\\1\n\n', 'g')"
     words = "trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '[. ]+$|^[. ]+', '', 'g'))"
     steps, previous = [], "named"
     for i, (name, pattern) in enumerate(RULES):
-        steps.append(_sql_step(previous, i, name, pattern))
+        steps.append(_sql_step(previous, i, name, re.sub(r"(\([^()]*\)|[a-z0-9.-]+),", r",\1,", pattern[1:])))
         previous = f"r{i}"
-    return f"""WITH cut AS (SELECT doc_id, list_transform(string_split_regex({marked}, '{_END}'), lambda s: {words}) AS s FROM documents WHERE regexp_matches(text, '{HINT}')),
-named AS (SELECT doc_id, array_to_string(list_filter(list_transform(s, lambda s: CASE {case} END), lambda i: i IS NOT NULL), ',') AS ids, ',' || ids || ',' AS seq, CAST([] AS VARCHAR[]) AS found
+    return f"""WITH cut AS (SELECT doc_id, list_transform(string_split_regex({marked}, '{_END}'), lambda s: {words}) AS s FROM documents),
+named AS (SELECT doc_id, array_to_string(list_filter(list_transform(s, lambda s: CASE {case} END), lambda i: i IS NOT NULL), ',') AS ids, CASE WHEN ids = '' THEN '' ELSE ',' || replace(ids, ',', ',,') || ',' END AS seq, CAST([] AS VARCHAR[]) AS found
           FROM cut),
 {", ".join(steps)}
-SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licences, coalesce(trim(seq, ','), '') AS rest
+SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licences, coalesce(trim(replace(seq, ',,', ','), ','), '') AS rest
 FROM documents LEFT JOIN (SELECT * FROM {previous} WHERE ids <> '') USING (doc_id)"""
 
 

@@ -226,7 +226,12 @@ def _frames(data: bytes) -> Iterator[dict]:
             raise ValueError("a frame has no palette")
         size = data[at]
         stream, at = joined(at + 1)
-        pixels = np.frombuffer(lzw_decode(stream, size, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        if not 2 <= size <= 8:
+            raise ValueError(f"a code size of {size}")
+        decoded = lzw_decode(stream, size, w * h)
+        if len(decoded) < w * h:
+            raise ValueError(f"a frame of {w * h} pixels ends after {len(decoded)}")
+        pixels = np.frombuffer(decoded, np.uint8).reshape(h, w)
         if packed & 0x40:
             straight = np.empty_like(pixels)
             straight[_rows_of_passes(h)] = pixels

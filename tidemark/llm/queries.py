@@ -197,7 +197,7 @@ entries AS (
  UNION ALL SELECT 'allow', host || '/en', DATE '2024-01-01' + (n % 150 + 100), 1 FROM hosts WHERE n % 4 = 0
  UNION ALL SELECT 'urls', host || rtrim(path, '/'), DATE '2024-01-01' + n % 366, 0
    FROM (SELECT host, path, ('0x' || substr(md5(url), 1, 4))::INT AS n FROM page) WHERE n % 7 = 0),
-daily AS (SELECT list, lower(pattern) AS pattern, day, max(gone) AS gone FROM entries GROUP BY ALL),
+daily AS (SELECT list, pattern, day, max(gone) AS gone FROM entries GROUP BY ALL),
 changes AS (SELECT * FROM (SELECT *, lag(gone, 1, 1) OVER (PARTITION BY list, pattern ORDER BY day) AS before FROM daily) WHERE gone <> before),
 intervals AS (SELECT * FROM (SELECT list, pattern, gone, day AS valid_from, lead(day, 1, DATE '9999-12-31') OVER (PARTITION BY list, pattern ORDER BY day) AS valid_to FROM changes) WHERE gone = 0),
 names AS (SELECT page_id, day, unnest(list_distinct(list_concat(
