@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Scratch folders of sessions on one machine, by application: the setting itself cannot be changed once a session runs.
+_LOCAL: dict[str, str] = {}
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Runtime settings that results depend on (UTC days, keyed state with timers).
@@ -52,6 +54,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
