@@ -199,3 +199,24 @@ def test_recorded_staleness(spark):
 def test_bad_stream_periods_raise(spark):
     with pytest.raises(ValueError):
         live.stream_indicators(bars(spark, [1]), sma=0)
+
+
+def test_bucketed_upsert_does_not_shuffle_what_is_stored(spark):
+    from tidemark.sources import buckets
+
+    old = bars(spark, range(60), key="a").unionByName(bars(spark, range(9), key="b"))
+    new = bars(spark, range(100, 130), key="a").withColumn("open_time", F.col("open_time") + F.expr("interval 45 minutes"))
+    twice = new.unionByName(new.withColumns({"arrival": F.col("arrival") + 1000, "close": (F.col("close") + 1).cast("decimal(18,8)"), "volume": F.lit(None).cast("decimal(18,8)")}))
+    name = buckets.create(old.drop("arrival"), buckets=16)
+    table = buckets.merged(spark.table(name), twice)
+    expected = store.upsert(old.drop("arrival"), twice)
+    assert sorted(map(str, table.collect())) == sorted(map(str, expected.select(table.columns).collect()))
+    plan = table._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1]
+    scan = next(line for line in plan.splitlines() if name in line)
+    assert "Bucketed: true" in scan and "SelectedBucketsCount: 16 out of 16" in plan
+    left = [line for line in plan.splitlines() if line.lstrip().startswith(":")]
+    assert left and not any("Exchange" in line for line in left)
+    after = buckets.upsert(name, twice, buckets=16)
+    again = buckets.merged(spark.table(after), twice)
+    assert sorted(map(str, again.collect())) == sorted(map(str, table.collect()))
+    assert spark.table(name).count() == 69

@@ -27,7 +27,7 @@ from tidemark.operators import audit, quality, reference, registry, versioning
 from tidemark.plans import jobs
 from tidemark.schemas import MONEY, money
 from tidemark.session import scratch
-from tidemark.sources import archive, landing, store
+from tidemark.sources import archive, buckets, landing, store
 from tidemark.sources.candles import DatasetVersion, load_version, registered_version
 
 _AT = f"instrument_id, {us('open_time')} AS open_time"
@@ -261,6 +261,17 @@ def a9_candle_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert(bars.drop("arrival"), revised).select("instrument_id", "open_time", "close")
 
 
+@query("a9_bucketed_upsert", CATALOG["a9_candle_upsert"].sql)
+def a9_bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same bars written over a bucketed table: what is stored is not shuffled."""
+    bars = candles(spark, sf)
+    again = bars.where(F.col("arrival") % 3 == 0).withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
+    revised = again.withColumn("close", (F.col("close") + F.col("turn")).cast(MONEY)).withColumn("arrival", F.col("turn").cast("long")).drop("turn")
+    count = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    after = buckets.upsert(buckets.create(bars.drop("arrival"), buckets=count), revised, buckets=count)
+    return spark.table(after).select("instrument_id", "open_time", "close")
+
+
 _SNAPS = """(SELECT s_suppkey, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS snapshot_date, d, CASE WHEN s_suppkey % 7 = d THEN s_acctbal <= 0 ELSE s_acctbal > 0 END AS tradeable
  FROM supplier, (VALUES (0), (1), (2)) t(d))"""
 
