@@ -426,11 +426,13 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", si
         again = repeated.withColumnRenamed("row", key)
         return rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
 
+    # What texts are joined with is a table by then, so that Spark knows its size and moves no text where it is small.
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return single(texts.join(least.join(nodes, "node", "left_semi"), "row"), "row").select("node", packed("text").alias("packed"))
+        wanted = stored(least.join(nodes, "node", "left_semi"), "wanted")
+        return single(texts.join(wanted, "row"), "row").select("node", packed("text").alias("packed"))
 
     roots = near_roots(sets, sets_of, similarity)
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("row").alias(row)).select(row)
+    kept = stored(rooted.groupBy("root").agg(F.min("row").alias(row)).select(row), "kept")
     once = single(keyed.where(worded).join(kept, row, "left_semi"), row)
     return once.drop(row).unionByName(keyed.where(~worded).drop(row))
