@@ -106,3 +106,46 @@ def test_near_dedup_of_groups_chains_and_common_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
     assert found == plain_near_dedup(docs.collect()) == [*range(150), 1000, 2000]
+
+
+def near_copies(n):
+    """A text, copies with two words of their own each (near the text, not near each other), and others that share a line only."""
+    word = lambda *parts: "w" + "x".join(map(str, parts))
+    base = [word("base", k) for k in range(124)]
+    rows = [(5000, " ".join(base))]
+    for i in range(n):
+        words = list(base)
+        words[5 + i % 50], words[65 + (i * 7) % 50] = word("a", i), word("b", i)
+        rows.append((6000 + i, " ".join(words)))
+    return rows + [(9000 + i, " ".join([word("own", i, k) for k in range(12)] + base[:40])) for i in range(n)]
+
+
+def test_near_dedup_forms_no_pairs_of_a_large_group(spark, monkeypatch):
+    """Pairs that are formed stay in proportion to the rows, where a group's members are near one text and not each other."""
+    n, formed, verified = 400, [], simhash._verified
+
+    def counted(pairs, *rest):
+        formed.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    docs = spark.createDataFrame(near_copies(n), "doc_id long, text string").repartition(4)
+    found = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert found == [5000, *range(9000, 9000 + n)]
+    assert sum(formed) < 100 * n
+
+
+def test_near_dedup_meets_by_fingerprints_first(spark):
+    """Links of the fingerprints are found by themselves, counted before they are taken, and not looked for again."""
+    base = [f"w{k}" for k in range(600)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(f"v{k}" for k in range(600))]
+    prints = [simhash.fingerprint(t, 5)[0] for t in texts]
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert apart(prints[0], prints[1]) <= simhash.DISTANCE < apart(prints[0], prints[2])
+    # The last set is given the fingerprint of one it has nothing in common with.
+    rows = [(0, prints[0]), (1, prints[1]), (2, prints[2]), (3, prints[2])]
+    sets = [simhash.shingle_set(t, 5) for t in [*texts, "a b c d e f"]]
+    frame = spark.createDataFrame([(n, len(sets[n]), simhash.bitmap(sets[n]).tolist(), bits, []) for n, bits in rows], "node long, size int, map array<long>, bits long, keys array<int>")
+    packed = spark.createDataFrame([(n, bytearray(simhash.pack(s))) for n, s in enumerate(sets)], "node long, packed binary")
+    roots = simhash.near_roots(frame, lambda nodes: packed.join(nodes, "node", "left_semi"), 0.8)
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(0, 0), (1, 0)}

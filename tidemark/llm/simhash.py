@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -55,8 +55,12 @@ def fingerprint(text: str | None, shingle: int, lanes: int = 1) -> list[int]:
 
     Shingles are taken block by block. No words: all zero. Fewer words than a shingle: the words are the shingle.
     """
+    return _majority(shingle_hashes(text, shingle), lanes)
+
+
+def _majority(blocks: Iterable[np.ndarray], lanes: int = 1) -> list[int]:
     ones, total = np.zeros(64 * lanes, np.int64), 0
-    for hashes in shingle_hashes(text, shingle):
+    for hashes in blocks:
         ones += _ones(hashes, lanes)
         total += len(hashes)
     bits = np.packbits(ones * 2 > total) if total else np.zeros(8 * lanes, np.uint8)
@@ -246,22 +250,20 @@ def groups(
     return seen.join(named, "node").select(F.col("id").alias(id_column), "bits", hex_digits(F.col("bits"), lanes).alias("fingerprint"), "component_id")
 
 
-# Exact near copies. Keys of the first turn, and least values each is made of; they only save pairs, as every link is verified.
-FIRST_KEYS, FIRST_VALUES = 8, 4
+# Exact near copies. Bits in which the fingerprints of the first turn may differ, and the blocks they are cut into.
+DISTANCE, BLOCKS = 2, 5
 # Shingles that occur often come last in the order of a prefix: counted in one set of SAMPLE, this many at most.
 SAMPLE, FREQUENT = 16, 1 << 20
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The different shingle hashes of a whole text, as signed numbers."""
-    parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
-    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    each = [np.unique(h) for h in parts]
+    return np.unique(np.concatenate(each)).view(np.int64) if each else np.zeros(0, np.int64)
 
 
-def first_keys(shingles: np.ndarray) -> list[int]:
-    """Keys in which sets meet that have most in common: each a hash of a few least values under mixes of their own."""
-    least = [int(_lane(shingles.view(np.uint64), lane).min()) for lane in range(1, FIRST_KEYS * FIRST_VALUES + 1)]
-    return [hash(tuple(least[i : i + FIRST_VALUES])) for i in range(0, len(least), FIRST_VALUES)]
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a whole text, as signed numbers."""
+    return _distinct(shingle_hashes(text, shingle))
 
 
 def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -337,48 +339,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, sets_of: Callable[[DataFrame],
     return stored(both.where(jaccard("of_a", "of_b") >= similarity).select("a", "b"), "verified")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints differ in ``DISTANCE`` bits or fewer, each group of equal ones by its smallest node."""
+    prints = stored(sets.groupBy("bits").agg(F.min("node").alias("least")), "prints")
+    found = links(prints.select(F.col("bits").alias("node"), F.array("bits").alias("bits")), pigeonhole(DISTANCE, BLOCKS), DISTANCE)
+    end = lambda side: prints.select(F.col("bits").alias(side), F.col("least").alias(f"least_{side}"))
+    found = found.join(end("a"), "a").join(end("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return found.union(sets.join(prints, "bits").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+
+
 def near_roots(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, root): components of all pairs of sets with a Jaccard similarity of ``similarity`` or more.
 
-    ``sets`` has, for each different set, node, size, bitmap, ``first`` (a few keys that connect most of a large group) and
-    ``keys`` (the shingles of its prefix, in which every pair meets that is similar enough); ``sets_of`` makes the packed sets of
-    a table of nodes. Sets meet by the first keys, then by the others. In a bucket that holds several components, members
-    are compared with the smallest node unless they are connected to it, and those still outside with the members of
-    other components: pairs are never formed within what is connected already. Sets too different in size are not
-    compared; every other comparison counts the common shingles.
+    ``sets`` has, for each different set, node, size, bitmap, ``bits`` (its SimHash fingerprint) and ``keys`` (its prefix, in order);
+    ``sets_of`` makes the packed sets of a table of nodes. Sets meet by their fingerprints first. Every pair that is similar enough
+    and no fingerprint has brought together meets in a key of both prefixes. In a bucket that holds several components,
+    members are compared with one of them unless they are connected to it, and those still outside with the members of other
+    components: pairs are never formed within what is connected already. What two sets have in common cannot come before the first
+    key they share, so no more than what either has from there on; where that is too little they are not compared. Every
+    other comparison counts the common shingles.
     """
-
-    def alike(a: str, b: str) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
-
-    edges, roots = None, None
-    for keys in ("first", "keys"):
-        known = sets.withColumn("root", F.col("node")) if roots is None else sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = known.select("node", "root", "size", F.explode(keys).alias("key"))
-        busy = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("leader")).where("low < high")
-        busy = stored(busy.select("key", "leader"), "busy")
-        members = stored(rows.join(busy, "key").select("key", "node", "size", "root", "leader"), "buckets")
-        heads = members.where("node = leader").select("key", F.col("size").alias("leader_size"), F.col("root").alias("leader_root"))
-        apart = members.join(heads, "key").where((F.col("root") != F.col("leader_root")) & alike("size", "leader_size"))
-        led = _verified(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, sets_of, similarity)
-        edges = led if edges is None else edges.union(led)
-        roots = stored(components(edges, "a", "b"), "roots")
-        found = roots.select(F.col("node").alias("leader"), F.col("root").alias("head"))
-        named = members.drop("root").join(roots, "node", "left").join(found, "leader", "left")
-        named = stored(named.select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("head", "leader").alias("head")), "named")
-        rest = named.toDF("key_b", "node_b", "size_b", "root_b", "head_b")
-        meets = (
-            (F.col("key") == F.col("key_b"))
-            & (F.col("root") != F.col("root_b"))
-            & ((F.col("root_b") == F.col("head_b")) | (F.col("node") < F.col("node_b")))
-            & alike("size", "size_b")
-        )
-        crossing = named.where("root != head").join(rest, meets).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
-        crossing = _verified(crossing, sets, sets_of, similarity)
-        if not crossing.isEmpty():
-            edges = edges.union(crossing)
-            roots = stored(components(edges, "a", "b"), "roots")
-    return roots
+    share = similarity / (1 + similarity)
+
+    def enough(size: str, at: str, size_b: str, at_b: str) -> Column:
+        return F.least(F.col(size) - F.col(at), F.col(size_b) - F.col(at_b)) >= (F.col(size) + F.col(size_b)) * share - 1e-6
+
+    edges = _verified(fingerprint_pairs(sets), sets, sets_of, similarity)
+    roots = stored(components(edges, "a", "b"), "roots")
+    known = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = known.select("node", "root", "size", F.posexplode("keys").alias("at", "key"))
+    # The member that has the key foremost leads the bucket: it has fewest shingles of its own, so most in common with the others.
+    place = F.shiftleft(F.floor(F.col("at") * 4096 / F.col("size")).cast("long"), 48).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 48) - 1)))
+    first = F.max(enough("size", "at", "size", "at")).alias("first")
+    busy = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(place).alias("lead"), first).where("low < high AND first")
+    busy = stored(busy.select("key", "lead"), "busy")
+    members = stored(rows.join(busy, "key").select("key", "node", "size", "at", "root", (place == F.col("lead")).alias("leads")), "buckets")
+    heads = stored(members.where("leads").select("key", *[F.col(c).alias(f"leader_{c}") for c in ("node", "size", "at", "root")]), "heads")
+    apart = members.join(heads, "key").where((F.col("root") != F.col("leader_root")) & enough("size", "at", "leader_size", "leader_at"))
+    led = _verified(apart.select(F.least("node", "leader_node").alias("a"), F.greatest("node", "leader_node").alias("b")), sets, sets_of, similarity)
+    edges = edges.union(led)
+    roots = stored(components(edges, "a", "b"), "roots")
+    found = roots.select(F.col("node").alias("leader_node"), F.col("root").alias("head"))
+    found = heads.join(found, "leader_node", "left").select("key", F.coalesce("head", "leader_node").alias("head"))
+    named = members.drop("root", "leads").join(roots, "node", "left").join(found, "key")
+    named = stored(named.select("key", "node", "size", "at", F.coalesce("root", "node").alias("root"), "head"), "named")
+    rest = named.toDF("key_b", "node_b", "size_b", "at_b", "root_b", "head_b")
+    meets = (
+        (F.col("key") == F.col("key_b"))
+        & (F.col("root") != F.col("root_b"))
+        & ((F.col("root_b") == F.col("head_b")) | (F.col("node") < F.col("node_b")))
+        & enough("size", "at", "size_b", "at_b")
+    )
+    crossing = named.where("root != head").join(rest, meets).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+    crossing = _verified(crossing, sets, sets_of, similarity)
+    return roots if crossing.isEmpty() else stored(components(edges.union(crossing), "a", "b"), "roots")
 
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
@@ -404,20 +418,20 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", si
     texts = keyed.where(worded).select(F.col(row).alias("row"), F.col(text).alias("text"))
     frequent = df.sparkSession.sparkContext.broadcast(_frequent(texts, shingles))
 
-    @F.pandas_udf("struct<node:bigint,size:int,map:array<bigint>,first:array<bigint>,keys:array<int>>")
+    @F.pandas_udf("struct<node:bigint,size:int,map:array<bigint>,bits:bigint,keys:array<int>>")
     def profile(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for each in texts:
-            s = shingle_set(each, size)
+            parts = list(shingle_hashes(each, size))
+            s = _distinct(parts)
             # Folded keys only let a few more sets meet; what is linked is counted on whole hashes.
-            keys = np.unique(prefix(s, similarity, *frequent.value).astype(np.uint64).astype(np.uint32)).view(np.int32)
-            rows.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), len(s), bitmap(s), sorted(set(first_keys(s))), keys))
-        return pd.DataFrame(rows, columns=["node", "size", "map", "first", "keys"])
+            keys = prefix(s, similarity, *frequent.value).astype(np.uint64).astype(np.uint32).view(np.int32)
+            rows.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), len(s), bitmap(s), _majority(parts)[0], keys))
+        return pd.DataFrame(rows, columns=["node", "size", "map", "bits", "keys"])
 
     # Every text is cut once; what goes on is a fifth of its shingles, four bytes each.
     made = stored(texts.select("row", profile("text").alias("p")).select("row", "p.*"), "profiles")
     least = stored(made.groupBy("node").agg(F.min("row").alias("row")), "least")
-    sets = stored(made.join(least.select("row"), "row", "left_semi").dropDuplicates(["node"]).drop("row"), "distinct")
 
     # Only rows that repeat a key have to be brought together; as a rule there are none.
     repeated = stored(made.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row"), "repeated")
@@ -426,6 +440,8 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", si
         again = repeated.withColumnRenamed("row", key)
         return rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
 
+    sets = stored(single(made.join(least.select("row"), "row", "left_semi"), "row").drop("row"), "distinct")
+
     # What texts are joined with is a table by then, so that Spark knows its size and moves no text where it is small.
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = stored(least.join(nodes, "node", "left_semi"), "wanted")
