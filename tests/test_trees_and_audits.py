@@ -83,3 +83,12 @@ def test_merged_sketches_are_as_good_as_one(spark):
         mine = exact[r["symbol"]]
         assert (r["bars"], r["max_ms"]) == (mine["bars"], mine["max_ms"]) and r["mean_ms"] == pytest.approx(mine["mean_ms"])
         assert abs(r["p50_ms"] - mine["p50_ms"]) < 60 and abs(r["p99_ms"] - mine["p99_ms"]) < 60
+
+
+def test_audit_keys_are_told_apart_and_carry_no_names(spark):
+    """Keys whose texts run together differ; what is shuffled is a rule's number and a plain key, with no JSON made per row."""
+    rows = spark.createDataFrame([("1", "23"), ("12", "3"), ("1:2", "3"), ("1", "2:3"), (None, "3"), (None, "3"), ("a", "b"), ("a", "b")], "name string, code_hash string")
+    found = audit.audit_all({"strategy": rows})
+    assert [tuple(r) for r in found.collect()] == [("strategy: unique(name, code_hash)", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" not in plan and "filter(array" not in plan

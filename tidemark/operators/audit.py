@@ -128,16 +128,15 @@ _BROKEN, _HOLDS, _REFERS, _IS = 0, 1, 2, 3
 
 def _key(columns: Sequence[str]) -> Column:
     """Values as text that tells all keys apart; NULL if one of them is."""
-    whole = [F.col(c).isNotNull() for c in columns]
-    text = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
-    return F.when(reduce(Column.__and__, whole), text)
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[part for text in texts[:-1] for part in (F.length(text).cast("string"), F.lit(":"), text)], texts[-1])
 
 
-def _statements(name: str, tables: Mapping[str, DataFrame]) -> list[Column]:
-    """Everything the rules ask of a row of a table: (rule, kind, key), NULL where it says nothing."""
+def _statements(name: str, tables: Mapping[str, DataFrame], numbers: dict[str, int]) -> list[Column]:
+    """Everything the rules ask of a row of a table: (rule, kind, key), NULL where it says nothing. Rules are ``numbers``; new ones are added."""
 
     def said(rule: str, kind: int, key: Column, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), key.alias("key")))
+        return F.when(when, F.struct(F.lit(numbers.setdefault(rule, len(numbers))).alias("rule"), F.lit(kind).alias("kind"), key.alias("key")))
 
     found = [said(f"{name}: {rule}", _BROKEN, F.lit(""), ~F.expr(f"({text})")) for rule, text in CHECKS.get(name, {}).items()]
     for columns in UNIQUE_KEYS.get(name, ()):
@@ -160,12 +159,14 @@ def audit_all(tables: Mapping[str, DataFrame]) -> DataFrame:
     references, repeated keys for unique rules. As in SQL a key with a NULL in it never repeats and a NULL reference is
     allowed. References into tables that are not given are left out.
     """
-    parts = []
+    parts, numbers = [], {}
     for name, rows in tables.items():
-        said = _statements(name, tables)
+        said = _statements(name, tables, numbers)
         if not said:
             raise ValueError(f"no rules for table {name!r}")
-        parts.append(rows.select(F.explode(F.array_compact(F.array(*said))).alias("s")).select("s.*"))
-    counted = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in (_BROKEN, _HOLDS, _REFERS, _IS)])
-    offences = F.col(f"_{_BROKEN}") + (F.col(f"_{_HOLDS}") > 1).cast("long") + F.when(F.col(f"_{_IS}") == 0, F.col(f"_{_REFERS}")).otherwise(0)
-    return counted.groupBy("rule").agg(F.sum(offences).alias("offences")).where(F.col("offences") > 0)
+        parts.append(rows.select(F.explode(F.array(*said)).alias("s")).where("s IS NOT NULL").select("s.*"))
+    # The rows of a rule and key that are no keys referred to are all of one kind.
+    counted = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(F.count_if(F.col("kind") != _IS).alias("n"), F.count_if(F.col("kind") == _IS).alias("known"), F.max("kind").alias("kind"))
+    offences = F.when(F.col("kind") == _HOLDS, (F.col("n") > 1).cast("long")).otherwise(F.when(F.col("known") == 0, F.col("n")).otherwise(0))
+    found = counted.groupBy("rule").agg(F.sum(offences).alias("offences")).where(F.col("offences") > 0)
+    return found.select(F.element_at(F.array(*map(F.lit, numbers)), F.col("rule") + 1).alias("rule"), "offences")
