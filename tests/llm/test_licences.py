@@ -131,3 +131,28 @@ def test_a_licence_given_twice_leaves_no_rest(spark):
     df = documents(spark, [(1, BSD + "\n" + BSD, None, None)])
     row = licences.scan(df).first()["licences"]
     assert list(row["names"]) == ["BSD-2-Clause"] and row["rest"] == "" and row["ids"].count("bsd-permission") == 2
+
+
+def _beginnings(items):
+    """Every way a parsed pattern can begin, up to the first blank."""
+    out = {""}
+    for op, value in items:
+        name, ways = str(op), {"?"}
+        if name == "LITERAL":
+            ways = {chr(value)}
+        elif name == "SUBPATTERN":
+            ways = _beginnings(value[3])
+        elif name == "BRANCH":
+            ways = {w for branch in value[1] for w in _beginnings(branch)}
+        elif name == "MAX_REPEAT":
+            ways = _beginnings(value[2]) | ({""} if value[0] == 0 else set())
+        out = {h for h in out if " " in h} | {h + w for h in out if " " not in h for w in ways}
+    return out
+
+
+def test_openings_are_those_of_the_sentences():
+    import re
+
+    found = {b.split(" ")[0] for name, p in licences.SENTENCES if name != "reserved" for b in _beginnings(re._parser.parse(p))}
+    assert found == set(licences.OPENINGS)
+    assert dict(licences.SENTENCES)["reserved"].endswith(licences.ENDING)
